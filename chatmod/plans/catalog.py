@@ -195,7 +195,10 @@ def _feed_rows(spark, sf):
 
 @query("rolling_feed")
 def q_rolling_feed(spark, sf):
-    return V.rolling_feed(_feed_rows(spark, sf), SERVED_VIDEO)
+    rows = _feed_rows(spark, sf).where(F.col("video_id") == SERVED_VIDEO)
+    last = views.BATCHES - 1
+    held = V.rolling_feed(rows.where(F.col("batch_id") < last), None).drop("position")
+    return V.push_to_feed(rows.where(F.col("batch_id") == last), held).drop("position")
 
 
 @query("feed_view")

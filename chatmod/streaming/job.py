@@ -47,8 +47,10 @@ def transform_comments(raw: DataFrame, scorer: Scorer | None = None, normalize:
 
 
 def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_id: str | None = None,
-                  window: str = S.METRIC_WINDOW, dedup_within_batch: bool = False) -> None:
-    """Write one micro-batch's partials (comments → channel metrics → author metrics)."""
+                  window: str = S.METRIC_WINDOW, dedup_within_batch: bool = False,
+                  leaderboards: bool = False) -> None:
+    """Write one micro-batch's partials (comments → channel metrics → author metrics),
+    then, with ``leaderboards=True``, the leaderboards this batch changed."""
     if stream_id is None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
     if dedup_within_batch:
@@ -60,20 +62,24 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
         store.write(stream_metric_partials(batch, window, sketch=True), "stream_metric", stream_id, batch_id)
         only_toxic = store.user_filter_scope == "batch"
         store.write(user_metric_partials(batch, window, only_toxic=only_toxic), "user_metric", stream_id, batch_id)
+        if leaderboards:
+            from chatmod.streaming.sinks import emit_leaderboard_changes
+            emit_leaderboard_changes(store, batch, stream_id, batch_id)
     finally:
         batch.unpersist()
 
 
 def start_stream(spark: SparkSession, records: DataFrame, store: PartialStore | None = None,
                  checkpoint: str | None = None, trigger: dict | None = None, scorer: Scorer | None = None,
-                 window: str = S.METRIC_WINDOW, query_name: str | None = None) -> StreamingQuery:
+                 window: str = S.METRIC_WINDOW, query_name: str | None = None,
+                 leaderboards: bool = False) -> StreamingQuery:
     """Start the comment stream. ``records`` is a streaming topic DataFrame
     (``read_comment_stream``); ``trigger`` defaults to a 10-second processing-time trigger."""
     store = store or PartialStore(spark)
     checkpoint = checkpoint or f"{store.root}/_checkpoints/{query_name or 'comments'}"
     scored = transform_comments(decode_comments(records, stamp_processing_time=True), scorer)
     writer = (scored.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, store, window=window))
+              .foreachBatch(lambda df, bid: process_batch(df, bid, store, window=window, leaderboards=leaderboards))
               .option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(**(trigger or {"processingTime": S.TRIGGER_INTERVAL}))
