@@ -25,6 +25,14 @@ from chatmod.session import shared_dir
 
 TABLES = ("comments", "stream_metric", "user_metric")
 
+# Within each written file rows are sorted by these columns (a per-task sort, no
+# shuffle), so Parquet row-group min/max statistics let a video filter skip data.
+SORT_KEYS = {
+    "comments": ["video_id", "published_at"],
+    "stream_metric": ["video_id", "window_start"],
+    "user_metric": ["video_id", "author_id", "window_start"],
+}
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -47,6 +55,9 @@ class PartialStore:
     # -- writing -------------------------------------------------------------
     def write(self, df: DataFrame, table: str, stream_id: str, batch_id: int) -> None:
         """Replace the partial of one (stream, batch)."""
+        keys = [k for k in SORT_KEYS.get(table, []) if k in df.columns]
+        if keys:
+            df = df.sortWithinPartitions(*keys)
         (df.withColumn("written_at", F.current_timestamp())
            .withColumn("stream_id", F.lit(stream_id))
            .withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
@@ -83,16 +94,42 @@ class PartialStore:
                       .drop("max_batch_id"))
         return newer.unionByName(snap, allowMissingColumns=True)
 
-    def stream_metric(self, rounding: str = "half_up") -> DataFrame:
-        return M.merge_stream_metric(self.partials("stream_metric"), rounding)
+    def _video(self, table: str, video_id: str | None) -> DataFrame:
+        parts = self.partials(table)
+        return parts if video_id is None else parts.where(F.col("video_id") == video_id)
+
+    def stream_metric(self, rounding: str = "half_up", video_id: str | None = None) -> DataFrame:
+        return M.merge_stream_metric(self._video("stream_metric", video_id), rounding)
 
-    def user_metric(self, rounding: str = "half_up") -> DataFrame:
-        merged = M.merge_user_metric(self.partials("user_metric"), rounding, order_col="written_at")
+    def user_metric(self, rounding: str = "half_up", video_id: str | None = None) -> DataFrame:
+        merged = M.merge_user_metric(self._video("user_metric", video_id), rounding, order_col="written_at")
         return merged.where(F.col("toxic_count") > 0)
 
-    def comments(self) -> DataFrame:
-        """Comment table after replace-by-id upserts (latest write wins)."""
-        return M.upsert_latest(self.partials("comments"), "comment_id", ["written_at", "batch_id"])
+    def comments(self, video_id: str | None = None) -> DataFrame:
+        """Comment table after replace-by-id upserts (latest write wins).
+
+        A comment never changes video, so the video filter is applied to the
+        partials first and reaches the Parquet scan."""
+        return M.upsert_latest(self._video("comments", video_id), "comment_id", ["written_at", "batch_id"])
+
+    # -- change feeds (snapshot, then changes) ---------------------------------
+    def metric_changes(self, since_batch: int = -1, stream_id: str | None = None,
+                       video_id: str | None = None) -> DataFrame:
+        """Channel-metric change events (insert / update, merged values) of the
+        batches after ``since_batch`` of one stream."""
+        parts = self._video("stream_metric", video_id)
+        if stream_id is not None:
+            parts = parts.where(F.col("stream_id") == stream_id)
+        return M.metric_change_feed(parts).where(F.col("batch_id") > since_batch)
+
+    def comment_inserts(self, since_batch: int = -1, stream_id: str | None = None,
+                        video_id: str | None = None) -> DataFrame:
+        """First deliveries of comments in the batches after ``since_batch`` (the insert-only feed)."""
+        parts = self._video("comments", video_id)
+        if stream_id is not None:
+            parts = parts.where(F.col("stream_id") == stream_id)
+        first = M.first_delivery(parts, "comment_id", ["written_at", "batch_id"])
+        return first.where(F.col("batch_id") > since_batch)
 
     # -- compaction ----------------------------------------------------------
     def compact(self, table: str, snap: int) -> None:

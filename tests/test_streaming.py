@@ -114,3 +114,20 @@ def test_compaction_keeps_results(spark, scratch):
     process_batch(scored.where(F.col("offset") % 3 == 0), 4, store, "s1")
     total = store.stream_metric().agg(F.sum("total_comments")).collect()[0][0]
     assert total == scored.count() + scored.where(F.col("offset") % 3 == 0).count()
+
+
+def test_snapshot_then_changes(spark, scratch):
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    for b in range(3):
+        process_batch(scored.where(F.col("offset") % 3 == b), b, store, "s1")
+    click = store.comments("click")
+    plan = click._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(video_id,click)" in plan                       # reaches the scan
+    assert click.count() == scored.where(F.col("video_id") == "click").count()
+    inserts = store.comment_inserts(since_batch=0)
+    assert inserts.count() == scored.where(F.col("offset") % 3 != 0).count()
+    changes = store.metric_changes(since_batch=1).collect()
+    assert {r.batch_id for r in changes} == {2}
+    merged = {(r.video_id, r.window_start): r.total_comments for r in store.stream_metric().collect()}
+    assert all(merged[(r.video_id, r.window_start)] == r.total_comments for r in changes)
