@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmod.schema import GARBAGE_PATTERN, WHITESPACE_PATTERN
+from chatmod.schema import GARBAGE_PATTERN, LINK_PATTERN, WHITESPACE_PATTERN
 
 
 def _nfc(value: str) -> str:
@@ -27,10 +27,36 @@ def nfc_normalize(s: pd.Series) -> pd.Series:
     return s.fillna("").map(_nfc)
 
 
+@F.pandas_udf(T.StringType())
+def _nfc_or_null(s: pd.Series) -> pd.Series:
+    return s.map(_nfc, na_action="ignore")
+
+
+def nfc(col: Column) -> Column:
+    """NFC with a JVM-side fast path: ASCII text (as many characters as UTF-8
+    bytes) is already NFC, so only other rows carry their text to Python; the
+    rest cross as nulls. Null becomes the empty string."""
+    text = F.coalesce(col, F.lit(""))
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.coalesce(_nfc_or_null(F.when(~ascii_only, text)), text)
+
+
+def strip_garbage(text: Column) -> Column:
+    """Remove link / www / e-mail-like tokens. The full pattern only runs on text
+    that holds an ``@``; text without one can only match the link alternatives
+    (a shorter pattern without the backtracking ``\\S+@``), and text with
+    neither ``@``, ``http`` nor ``www.`` is returned as is — same result."""
+    has_at = text.contains("@")
+    has_link = text.contains("http") | text.contains("www.")
+    return (F.when(has_at, F.regexp_replace(text, GARBAGE_PATTERN, ""))
+             .when(has_link, F.regexp_replace(text, LINK_PATTERN, ""))
+             .otherwise(text))
+
+
 def clean_text(col: Column, normalize: bool = True) -> Column:
     """Column expression of the cleaning chain; everything but NFC stays in the JVM."""
-    text = nfc_normalize(col) if normalize else F.coalesce(col, F.lit(""))
-    text = F.regexp_replace(F.lower(text), GARBAGE_PATTERN, "")
+    text = nfc(col) if normalize else F.coalesce(col, F.lit(""))
+    text = strip_garbage(F.lower(text))
     text = F.regexp_replace(text, WHITESPACE_PATTERN, " ")
     return F.trim(text)
 

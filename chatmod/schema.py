@@ -34,6 +34,7 @@ APPROX_DISTINCT_RSD = 0.01         # relative std. dev. of approximate distinct
 
 # Text cleaning: URL / www / e-mail-like tokens are removed, whitespace collapsed.
 GARBAGE_PATTERN = r"(https?://\S+|www\.\S+|\S+@\S+)"
+LINK_PATTERN = r"(https?://\S+|www\.\S+)"   # the same without the e-mail alternative
 WHITESPACE_PATTERN = r"\s+"
 
 # Chat-page event type that carries a text message, and the payload type tag.

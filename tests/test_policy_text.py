@@ -48,7 +48,7 @@ def test_nfc_f5(spark):
     decomposed = "é"
     df = spark.createDataFrame([(1, decomposed)], "id int, message string")
     out = clean_messages(df).collect()[0].message_clean
-    assert out == "é" and unicodedata.is_normalized("NFC", out)
+    assert out == "\u00e9" and unicodedata.is_normalized("NFC", out)
 
 
 def test_lexicon_scores(spark):
@@ -78,3 +78,27 @@ def test_sigmoid_logits(spark):
     df = spark.createDataFrame([(0.0,), (2.0,), (-2.0,)], "x double")
     out = [r.s for r in df.select(round_score(sigmoid(F.col("x"))).alias("s")).collect()]
     assert out == [0.5, 0.881, 0.119]
+
+
+def test_fast_paths_equal_plain_forms(spark):
+    """The ASCII / no-'@' / no-link shortcuts give the same result as the plain chain."""
+    from hypothesis import given, settings, strategies as st
+    from chatmod.functions.text import nfc, strip_garbage
+    from chatmod.schema import GARBAGE_PATTERN
+
+    alphabet = st.sampled_from(list("ab @.:/") + ["\t", "\n", "http://", "https://x.y", "www.", "WWW.",
+                                                 "HTTP://Q", "\u00e9", "e\u0301", "\u00df", "A\u030a", "\u000b",
+                                                 "\uff71"])
+    texts = st.lists(st.lists(alphabet, max_size=12).map("".join), min_size=1, max_size=40)
+
+    @settings(max_examples=5, deadline=None)
+    @given(texts)
+    def check(batch):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "id int, t string")
+        got = df.select("id", strip_garbage(F.lower("t")).alias("g"), nfc(F.col("t")).alias("n"),
+                        F.regexp_replace(F.lower("t"), GARBAGE_PATTERN, "").alias("g0")).collect()
+        for r in got:
+            assert r.g == r.g0
+            assert r.n == unicodedata.normalize("NFC", batch[r.id])
+
+    check()
