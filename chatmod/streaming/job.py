@@ -23,7 +23,7 @@ from chatmod.functions.policy import apply_policy, top_label
 from chatmod.functions.scoring import LexiconScorer, Scorer
 from chatmod.functions.text import clean_messages
 from chatmod.operators.metrics import stream_metric_partials, user_metric_partials
-from chatmod.sources.topic import decode_comments, parse_published_at
+from chatmod.sources.topic import comment_rejects, decode_comments, parse_published_at
 from chatmod.streaming.store import PartialStore
 
 COMMENT_COLUMNS = [
@@ -88,6 +88,19 @@ def start_stream(spark: SparkSession, records: DataFrame, store: PartialStore |
     return writer.start()
 
 
+def start_rejects_stream(spark: SparkSession, records: DataFrame, store: PartialStore | None = None,
+                         checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Companion query: topic records that do not decode to a comment with an id,
+    appended as they are to ``<store>/rejects`` (the main query drops them)."""
+    store = store or PartialStore(spark)
+    checkpoint = checkpoint or f"{store.root}/_checkpoints/rejects"
+    writer = (comment_rejects(records).writeStream.format("parquet")
+              .option("path", store.path("rejects"))
+              .option("checkpointLocation", checkpoint)
+              .outputMode("append"))
+    return writer.trigger(**(trigger or {"processingTime": S.TRIGGER_INTERVAL})).start()
+
+
 def native_stream_metric(scored: DataFrame, watermark: str = "10 minutes", window: str = S.METRIC_WINDOW,
                          ts_col: str = "kafka_timestamp") -> DataFrame:
     """Windowed channel metrics kept in Spark's state store (use with update mode)."""

@@ -131,3 +131,20 @@ def test_snapshot_then_changes(spark, scratch):
     assert {r.batch_id for r in changes} == {2}
     merged = {(r.video_id, r.window_start): r.total_comments for r in store.stream_metric().collect()}
     assert all(merged[(r.video_id, r.window_start)] == r.total_comments for r in changes)
+
+
+def test_rejects_stream(spark, scratch):
+    import json
+    from chatmod.streaming.job import start_rejects_stream
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox)
+    good = json.dumps({"commentId": "c1", "videoId": "v"})
+    recs = [{"key": "v", "value": v, "topic": "comment", "partition": 0, "offset": i,
+             "timestamp": "2024-01-01T00:00:00Z"} for i, v in enumerate([good, "junk", json.dumps({"videoId": "v"})])]
+    with open(os.path.join(inbox, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in recs))
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    q = start_rejects_stream(spark, read_comment_stream(spark, "json", inbox), store,
+                             os.path.join(scratch, "ckpt"), trigger={"availableNow": True})
+    q.awaitTermination(120)
+    assert sorted(r.offset for r in spark.read.parquet(store.path("rejects")).collect()) == [1, 2]
