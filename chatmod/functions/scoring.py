@@ -11,6 +11,7 @@ Every scorer returns scores in [0, 1] rounded to 3 places, as doubles.
 
 from __future__ import annotations
 
+import re
 import threading
 import zlib
 from collections.abc import Callable, Iterator
@@ -58,14 +59,26 @@ def lexicon_pattern(words: list[str]) -> str:
     return r"\b(" + "|".join(words) + r")\b"
 
 
+def _member_of(words: list[str]):
+    return lambda w: w.isin(words)
+
+
 class LexiconScorer(Scorer):
     """score(label) = round(1 - 0.5 ** hits, 3); hits = whole-word matches of the label's list.
 
     One hit gives 0.5 (Pending), two 0.75 (Hide), four or more ≥ 0.938 (Ban).
+
+    When every word is made of word characters only, all labels are counted from
+    one regex pass over the text: a whole-word match starting at a boundary
+    spans exactly the run of word characters up to the next boundary, so at
+    most one lexicon word matches at any position and the combined matches are
+    the union of the per-label matches. Otherwise one pass per label is used.
     """
 
     def __init__(self, lexicon: dict[str, list[str]] | None = None):
         self.lexicon = lexicon or DEFAULT_LEXICON
+        words = [w for l in S.LABELS for w in self.lexicon.get(l) or []]
+        self.single_pass = bool(words) and all(re.fullmatch(r"\w+", w, re.ASCII) for w in words)
 
     def hits(self, text: Column, label: str) -> Column:
         words = self.lexicon.get(label) or []
@@ -73,12 +86,29 @@ class LexiconScorer(Scorer):
             return F.lit(0)
         return F.regexp_count(text, F.lit(lexicon_pattern(words)))
 
+    def _score(self, h: Column) -> Column:
+        return round_score(F.lit(1.0) - F.pow(F.lit(0.5), h))
+
     def predictions(self, text: Column) -> Column:
+        """One expression, one regex pass per label (usable anywhere a Column is)."""
+        return F.struct(*[self._score(self.hits(text, l)).alias(l) for l in S.LABELS])
+
+    def score(self, df: DataFrame, text_col: str = "message_clean", out_col: str = "predictions") -> DataFrame:
+        """Like ``predictions``, but with a single regex pass when the lexicon allows:
+        the matches are materialised once in their own projection (higher-order
+        functions are not code-generated, so an inline form would rerun the regex
+        per label) and counted per label from there."""
+        if not self.single_pass:
+            return super().score(df, text_col, out_col)
+        all_words = [w for l in S.LABELS for w in self.lexicon.get(l) or []]
+        tmp = f"__{out_col}_matches"
+        found = df.withColumn(tmp, F.regexp_extract_all(F.col(text_col), F.lit(lexicon_pattern(all_words)), 1))
         fields = []
         for label in S.LABELS:
-            h = self.hits(text, label)
-            fields.append(round_score(F.lit(1.0) - F.pow(F.lit(0.5), h)).alias(label))
-        return F.struct(*fields)
+            words = self.lexicon.get(label) or []
+            h = F.size(F.filter(tmp, _member_of(words))) if words else F.lit(0)
+            fields.append(self._score(h).alias(label))
+        return found.withColumn(out_col, F.struct(*fields)).drop(tmp)
 
 
 # ---------------------------------------------------------------------------

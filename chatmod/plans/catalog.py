@@ -128,15 +128,16 @@ def q_skip_processed_batches(spark, sf):
 
 @query("upsert_comments")
 def q_upsert_comments(spark, sf):
-    c = views.comments(spark, sf)
-    return M.upsert_latest(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
+    c = views.comments(spark, sf, with_message=False, extra=[views.doc_key()])
+    latest = M.upsert_latest(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
+    return views.attach_message(spark, sf, latest)
 
 
 @query("change_feed_comment")
 def q_change_feed_comment(spark, sf):
-    c = views.scored_comments(spark, sf)
+    c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key()])
     first = M.first_delivery(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
-    return first.select("batch_id", *S.FEED_FIELDS)
+    return views.attach_message(spark, sf, first).select("batch_id", *S.FEED_FIELDS)
 
 
 @query("change_feed_metric")

@@ -68,13 +68,24 @@ def comments(spark: SparkSession, sf_dir: str, with_message: bool = True, extra:
     return base.join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
 
 
+def doc_key() -> Column:
+    return (F.col("event_id") % MESSAGE_DOCS).alias("doc_key")
+
+
+def attach_message(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Join the message text onto rows carrying ``doc_key`` (late materialisation:
+    shuffles upstream move the 8-byte key, not the whole text)."""
+    return df.join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
+
+
 def predictions_from_value() -> Column:
     return F.struct(*[_label_score(m).alias(l) for m, l in zip(LABEL_MULTIPLIERS, S.LABELS)])
 
 
-def scored_comments(spark: SparkSession, sf_dir: str, with_message: bool = True) -> DataFrame:
+def scored_comments(spark: SparkSession, sf_dir: str, with_message: bool = True,
+                    extra: list[Column] | None = None) -> DataFrame:
     """Comments after the scoring step: five label scores, then top label and policy."""
-    base = comments(spark, sf_dir, with_message, extra=[predictions_from_value().alias("predictions")])
+    base = comments(spark, sf_dir, with_message, extra=[predictions_from_value().alias("predictions")] + list(extra or []))
     return apply_policy(top_label(base.drop("toxic_score"), "predictions"))
 
 

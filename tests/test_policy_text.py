@@ -102,3 +102,17 @@ def test_fast_paths_equal_plain_forms(spark):
             assert r.n == unicodedata.normalize("NFC", batch[r.id])
 
     check()
+
+
+def test_single_pass_lexicon_equals_per_label(spark):
+    texts = ["trash-scum trash_scum trashscum", "idiot,idiot;idiot idiots xidiot", "clowné clown éclown",
+             "worthless moron worthlessmoron", "pathetic loser loser loser", "", "stupid disgusting stupid"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, message_clean string")
+    one = LexiconScorer()
+    assert one.single_pass
+    many = LexiconScorer({**one.lexicon, "threat": ["worth less", "moron"]})  # a space: per-label passes
+    assert not many.single_pass
+    a = {r.id: r.predictions for r in one.score(df).collect()}
+    b = {r.id: r.p for r in df.select("id", one.predictions(F.col("message_clean")).alias("p")).collect()}
+    assert a == b
+    assert many.score(df).count() == len(texts)
