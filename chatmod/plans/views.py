@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatmod import schema as S
 from chatmod.functions.policy import apply_policy, top_label
-from chatmod.session import bounded_broadcast
+from chatmod.session import bounded_broadcast, spread_for_cpu
 
 MESSAGE_DOCS = 200                 # messages come from documents 0 .. 199
 LABEL_MULTIPLIERS = [1, 3, 7, 11, 13]  # label scores ((v * m) % 1001) / 1000, label order
@@ -64,7 +64,7 @@ def comments(spark: SparkSession, sf_dir: str, with_message: bool = True, extra:
     cols = comment_columns() + list(extra or [])
     if not with_message:
         return ev.select(*cols)
-    base = ev.select(*cols, (F.col("event_id") % MESSAGE_DOCS).alias("doc_key"))
+    base = spread_for_cpu(ev.select(*cols, (F.col("event_id") % MESSAGE_DOCS).alias("doc_key")))
     return base.join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
 
 
@@ -75,7 +75,7 @@ def doc_key() -> Column:
 def attach_message(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Join the message text onto rows carrying ``doc_key`` (late materialisation:
     shuffles upstream move the 8-byte key, not the whole text)."""
-    return df.join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
+    return spread_for_cpu(df).join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
 
 
 def predictions_from_value() -> Column:

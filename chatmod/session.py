@@ -58,3 +58,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over every core when its scan yields fewer partitions
+    than there are cores (e.g. one small file with one row group), so CPU-heavy
+    per-row work that follows (whole-text JSON, regex) is not run by one task.
+
+    Inputs with at least as many splits as cores are returned unchanged — no
+    extra shuffle at scale. Round-robin repartitioning sorts rows first, so a
+    retried task gets the same rows.
+    """
+    try:
+        n = df.rdd.getNumPartitions()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - e.g. no RDD access (Spark Connect): leave as is
+        return df
+    return df.repartition(cores) if n < cores else df
