@@ -10,7 +10,9 @@ that Spark plans with a map-side ``WindowGroupLimit`` — and the board at ``b``
 is the top ``k`` over the ``O(log B)`` nodes on the path from leaf ``b`` to the
 root. This is exact: every interval on that path covers ``b``, each author has
 at most one interval covering ``b``, and an author in the true top ``k`` at
-``b`` is within the top ``k`` of its own node. Work is ``O(changes · log B)``.
+``b`` is within the top ``k`` of its own node. Work is ``O(changes · log B)``;
+every shuffle is keyed by (video, author), (video, level, node) or (video,
+batch), never by the video alone.
 """
 
 from __future__ import annotations
@@ -89,18 +91,24 @@ def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str
     node_top = (nodes.withColumn("r", F.row_number().over(Window.partitionBy(key, "lvl", "node").orderBy(*order)))
                      .where(F.col("r") <= k).drop("r"))
 
+    # Boards are needed at each change point b and just before it (b - 1): nothing
+    # changes for the video in between, so the board at b - 1 is the previous
+    # board. Comparing the two is a join on (video, batch), not a window over a video.
     points = d.select(key, seq).distinct()
-    path = (points
-            .select(key, seq, F.explode(F.sequence(F.lit(0), _bit_length(end))).alias("lvl"))
-            .withColumn("node", _shr(F.col(seq), F.col("lvl"))))
+    leaves = points.select(key, F.col(seq).alias("leaf")).unionByName(
+        points.select(key, (F.col(seq) - 1).alias("leaf"))).distinct()
+    path = (leaves
+            .select(key, "leaf", F.explode(F.sequence(F.lit(0), _bit_length(end))).alias("lvl"))
+            .withColumn("node", _shr(F.col("leaf"), F.col("lvl"))))
     cand = path.join(node_top, on=[key, "lvl", "node"], how="inner")
-    board = (cand.withColumn("rank", F.row_number().over(Window.partitionBy(key, seq).orderBy(*order)))
-                 .where(F.col("rank") <= k)
-                 .groupBy(key, seq)
-                 .agg(F.array_sort(F.collect_list(F.struct("rank", board_string(F.col(item), F.col("cum")).alias("t"))))
-                      .alias("entries"))
-                 .select(key, seq, F.array_join(F.transform("entries", lambda x: x["t"]), ",").alias("leaderboard")))
-    prev = F.lag("leaderboard").over(Window.partitionBy(key).orderBy(seq))
-    return (board.withColumn("previous", prev)
-                 .where(F.col("previous").isNull() | (F.col("previous") != F.col("leaderboard")))
-                 .select(key, seq, "leaderboard"))
+    boards = (cand.withColumn("rank", F.row_number().over(Window.partitionBy(key, "leaf").orderBy(*order)))
+                  .where(F.col("rank") <= k)
+                  .groupBy(key, "leaf")
+                  .agg(F.array_sort(F.collect_list(F.struct("rank", board_string(F.col(item), F.col("cum")).alias("t"))))
+                       .alias("entries"))
+                  .select(key, "leaf", F.array_join(F.transform("entries", lambda x: x["t"]), ",").alias("leaderboard")))
+    current = points.join(boards.withColumnRenamed("leaf", seq), on=[key, seq], how="inner")
+    previous = boards.select(key, (F.col("leaf") + 1).alias(seq), F.col("leaderboard").alias("previous"))
+    return (current.join(previous, on=[key, seq], how="left")
+                   .where(F.col("previous").isNull() | (F.col("previous") != F.col("leaderboard")))
+                   .select(key, seq, "leaderboard"))
