@@ -148,3 +148,37 @@ def test_rejects_stream(spark, scratch):
                              os.path.join(scratch, "ckpt"), trigger={"availableNow": True})
     q.awaitTermination(120)
     assert sorted(r.offset for r in spark.read.parquet(store.path("rejects")).collect()) == [1, 2]
+
+
+def test_native_stateful_metric_drops_only_rows_behind_the_watermark(spark, scratch):
+    """The state-store alternative: windowed counts in update mode; a row older
+    than the watermark is dropped (the partial design keeps it, see above)."""
+    import json
+    from chatmod.streaming.job import native_stream_metric
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox)
+
+    def put(name, rows):
+        recs = [{"key": "v", "value": json.dumps({"commentId": c, "videoId": "v", "message": "x idiot idiot",
+                                                   "authorId": a, "publishedAt": ts}),
+                 "topic": "comment", "partition": 0, "offset": i, "timestamp": ts} for i, (c, a, ts) in enumerate(rows)]
+        with open(os.path.join(inbox, name), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in recs))
+
+    put("a.json", [("c1", "u1", "2024-01-01T10:00:10Z"), ("c2", "u2", "2024-01-01T10:00:20Z")])
+    records = read_comment_stream(spark, "json", inbox)
+    scored = transform_comments(decode_comments(records))
+    q = (native_stream_metric(scored, watermark="1 minute").writeStream.outputMode("update")
+         .format("memory").queryName("native_metric").option("checkpointLocation", os.path.join(scratch, "ck"))
+         .start())
+    try:
+        q.processAllAvailable()
+        put("b.json", [("c3", "u1", "2024-01-01T10:30:00Z")])      # moves the watermark to 10:29
+        q.processAllAvailable()
+        put("c.json", [("c4", "u3", "2024-01-01T10:00:30Z")])      # late: behind the watermark
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.sql("select * from native_metric").collect()
+    first = max((r for r in rows if r.window_start.minute == 0), key=lambda r: r.total_comments)
+    assert first.total_comments == 2 and first.toxic_count == 2   # the late row was not added
