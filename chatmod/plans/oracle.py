@@ -46,7 +46,7 @@ def _stream_metric(width: str) -> str:
 select video_id, date_trunc('{width}', kafka_timestamp) as window_start,
        date_trunc('{width}', kafka_timestamp) + interval 1 {width} as window_end,
        count(comment_id) as total_comments,
-       sum(cast(toxic_score > 0.7 as bigint)) as toxic_count,
+       cast(sum(cast(toxic_score > 0.7 as bigint)) as bigint) as toxic_count,
        count(distinct author_id) as unique_viewers,
        case when count(comment_id) > 0
             then round(sum(cast(toxic_score > 0.7 as bigint)) / count(comment_id), 3) else 0.0 end as toxic_ratio
@@ -56,7 +56,7 @@ from comments group by 1, 2, 3"""
 def _user_metric_1m() -> str:
     return """
 select video_id, author_id, max(author_name) as author_name, max(author_image) as author_image,
-       count(comment_id) as total_comments, sum(cast(toxic_score >= 0.7 as bigint)) as toxic_count,
+       count(comment_id) as total_comments, cast(sum(cast(toxic_score >= 0.7 as bigint)) as bigint) as toxic_count,
        max(case when toxic_score >= 0.7 then published_at end) as last_violation_time,
        round(sum(cast(toxic_score >= 0.7 as bigint)) / count(comment_id), 3) as toxic_ratio,
        date_trunc('minute', kafka_timestamp) as window_start,
@@ -69,7 +69,7 @@ _STREAM_PARTS_DAY = """
 stream_parts as (
   select batch_id, video_id, date_trunc('day', kafka_timestamp) as window_start,
          date_trunc('day', kafka_timestamp) + interval 1 day as window_end,
-         count(comment_id) as total_comments, sum(cast(toxic_score > 0.7 as bigint)) as toxic_count,
+         count(comment_id) as total_comments, cast(sum(cast(toxic_score > 0.7 as bigint)) as bigint) as toxic_count,
          count(distinct author_id) as unique_viewers
   from comments group by 1, 2, 3, 4)"""
 
@@ -80,14 +80,14 @@ user_parts_all as (
   select batch_id, video_id, author_id, date_trunc('day', kafka_timestamp) as window_start,
          date_trunc('day', kafka_timestamp) + interval 1 day as window_end,
          max(author_name) as author_name, max(author_image) as author_image,
-         count(comment_id) as total_comments, sum(cast(toxic_score >= 0.7 as bigint)) as toxic_count,
+         count(comment_id) as total_comments, cast(sum(cast(toxic_score >= 0.7 as bigint)) as bigint) as toxic_count,
          max(case when toxic_score >= 0.7 then published_at end) as last_violation_time
   from comments group by 1, 2, 3, 4, 5),
 user_parts as (select * from user_parts_all where toxic_count > 0)"""
 
 _MERGED_USER = """
 select video_id, author_id, max_by(author_name, batch_id) as author_name, max_by(author_image, batch_id) as author_image,
-       sum(total_comments) as total_comments, sum(toxic_count) as toxic_count,
+       cast(sum(total_comments) as bigint) as total_comments, cast(sum(toxic_count) as bigint) as toxic_count,
        max(last_violation_time) as last_violation_time,
        case when sum(total_comments) > 0 then round(sum(toxic_count) / sum(total_comments), 3) else 0.0 end as toxic_ratio,
        window_start, max(window_end) as window_end, count(*) as version
@@ -96,8 +96,8 @@ from {src} group by video_id, author_id, window_start"""
 
 def _merged_stream(src: str = "stream_parts", rnd: str = "round") -> str:
     return f"""
-select video_id, window_start, max(window_end) as window_end, sum(total_comments) as total_comments,
-       sum(toxic_count) as toxic_count, sum(unique_viewers) as unique_viewers,
+select video_id, window_start, max(window_end) as window_end, cast(sum(total_comments) as bigint) as total_comments,
+       cast(sum(toxic_count) as bigint) as toxic_count, cast(sum(unique_viewers) as bigint) as unique_viewers,
        case when sum(total_comments) > 0 then {rnd}(sum(toxic_count) / sum(total_comments), 3) else 0.0 end as toxic_ratio,
        count(*) as version
 from {src} group by video_id, window_start"""
@@ -107,22 +107,22 @@ _USER_1M_PARTS = """
 user_1m as (
   select batch_id, video_id, author_id, date_trunc('minute', kafka_timestamp) as window_start,
          max(author_name) as author_name, max(author_image) as author_image,
-         sum(cast(toxic_score >= 0.7 as bigint)) as toxic_count
+         cast(sum(cast(toxic_score >= 0.7 as bigint)) as bigint) as toxic_count
   from comments group by 1, 2, 3, 4 having sum(cast(toxic_score >= 0.7 as bigint)) > 0)"""
 
 _USER_1M = """
 user_1m_single as (
   select video_id, author_id, date_trunc('minute', kafka_timestamp) as window_start,
          max(author_name) as author_name, max(author_image) as author_image,
-         sum(cast(toxic_score >= 0.7 as bigint)) as toxic_count
+         cast(sum(cast(toxic_score >= 0.7 as bigint)) as bigint) as toxic_count
   from comments group by 1, 2, 3 having sum(cast(toxic_score >= 0.7 as bigint)) > 0),
 totals as (
   select video_id, author_id, max(author_name) as author_name, max(author_image) as author_image,
-         sum(toxic_count) as toxic_count
+         cast(sum(toxic_count) as bigint) as toxic_count
   from user_1m_single group by 1, 2),
 top_all as (
   select * from (
-    select video_id, row_number() over (partition by video_id order by toxic_count desc, author_id) as rank,
+    select video_id, cast(row_number() over (partition by video_id order by toxic_count desc, author_id) as integer) as rank,
            author_id, author_name, author_image, toxic_count from totals) where rank <= 5)"""
 
 _FEED_COLS = ("comment_id, video_id, author_id, author_name, author_image, message, published_at, "
@@ -203,9 +203,9 @@ from scored_comments""",
     "change_feed_metric": _with(_STREAM_PARTS_DAY) + """
 select batch_id, video_id, window_start,
        case when row_number() over w = 1 then 'insert' else 'update' end as op,
-       sum(total_comments) over (w rows between unbounded preceding and current row) as total_comments,
-       sum(toxic_count) over (w rows between unbounded preceding and current row) as toxic_count,
-       sum(unique_viewers) over (w rows between unbounded preceding and current row) as unique_viewers
+       cast(sum(total_comments) over (w rows between unbounded preceding and current row) as bigint) as total_comments,
+       cast(sum(toxic_count) over (w rows between unbounded preceding and current row) as bigint) as toxic_count,
+       cast(sum(unique_viewers) over (w rows between unbounded preceding and current row) as bigint) as unique_viewers
 from stream_parts
 where video_id is not null and video_id <> ''
 window w as (partition by video_id, window_start order by batch_id)""",
@@ -259,8 +259,9 @@ select video_id, window_start, total_comments, coalesce(toxic_count, 0) as toxic
        coalesce(unique_viewers, 0) as unique_viewers
 from (""" + _stream_metric("hour") + """) where video_id = 'click' order by window_start desc limit 20""",
     "upsert_recent_windows": _with(_STREAM_PARTS_HOUR) + """
-select video_id, window_start, sum(total_comments) as total_comments, coalesce(sum(toxic_count), 0) as toxic_count,
-       coalesce(sum(unique_viewers), 0) as unique_viewers
+select video_id, window_start, cast(sum(total_comments) as bigint) as total_comments,
+       cast(coalesce(sum(toxic_count), 0) as bigint) as toxic_count,
+       cast(coalesce(sum(unique_viewers), 0) as bigint) as unique_viewers
 from stream_parts where video_id = 'click' group by 1, 2 order by window_start desc limit 20""",
     "latest_status": _with(_STATUS) + """
 select video_id, max_by(type, seq) as type, max_by(live_chat_id, seq) as live_chat_id, max(seq) as seq

@@ -57,6 +57,19 @@ def test_query_matches_sql(spark, con, name):
     assert _canon(df.columns, rows) == _canon(ocols, orows)
 
 
+_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+         "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", EXACT)
+def test_query_types_match_sql(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: _DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    assert spark_types == duck
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "toxic_ratio" in df.columns
