@@ -7,6 +7,8 @@ a k-row merge) or ``row_number() <= k`` per video (planned with a map-side
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +28,42 @@ def top_k_per_video(df: DataFrame, k: int, order: list[Column], partition: str =
 
 # -- comments ---------------------------------------------------------------
 
-def latest_comments(comments: DataFrame, video_id: str | None, k: int = S.LATEST_COMMENTS_LIMIT) -> DataFrame:
-    """Newest ``k`` comments of a video by publish time (served fields only)."""
+def _present(df: DataFrame, fields: list[str], carry: Sequence[str]) -> list[str]:
+    """``fields`` the input has (a caller may attach ``message`` after the top-k), plus ``carry``."""
+    return [c for c in fields if c in df.columns] + list(carry)
+
+
+def latest_comments(comments: DataFrame, video_id: str | None, k: int = S.LATEST_COMMENTS_LIMIT,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """Newest ``k`` comments of a video by publish time (served fields only).
+
+    ``carry``: extra columns kept through the top-k, e.g. a document key to
+    attach the whole message text to the ``k`` survivors only."""
     order = [F.col("published_at").desc(), F.col("comment_id").desc()]
+    cols = _present(comments, S.SERVED_COMMENT_FIELDS, carry)
     if video_id is None:
-        return top_k_per_video(comments, k, order).select("video_id", *S.SERVED_COMMENT_FIELDS)
-    return _for_video(comments, video_id).orderBy(*order).limit(k).select(*S.SERVED_COMMENT_FIELDS)
+        return top_k_per_video(comments, k, order).select("video_id", *cols)
+    return _for_video(comments, video_id).orderBy(*order).limit(k).select(*cols)
 
 
-def rolling_feed(rows: DataFrame, video_id: str | None, k: int = S.LATEST_COMMENTS_LIMIT) -> DataFrame:
+def rolling_feed(rows: DataFrame, video_id: str | None, k: int = S.LATEST_COMMENTS_LIMIT,
+                 carry: Sequence[str] = ()) -> DataFrame:
     """Feed after pushing every batch: newer batches in front of older ones, first ``k`` kept.
 
     ``rows`` are the pushed rows (``FEED_FIELDS`` + ``batch_id``); held rows and new
     rows are one bag (union), ordered by batch, then publish time, newest first.
     """
     order = [F.col("batch_id").desc(), F.col("published_at").desc(), F.col("comment_id").desc()]
-    cols = [*S.FEED_FIELDS, "batch_id"]
+    cols = _present(rows, [*S.FEED_FIELDS, "batch_id"], carry)
     if video_id is None:
         return top_k_per_video(rows, k, order, rank_col="position").select(*cols, "position")
     return _for_video(rows, video_id).orderBy(*order).limit(k).select(*cols)
 
 
-def push_to_feed(new_rows: DataFrame, held: DataFrame, k: int = S.LATEST_COMMENTS_LIMIT) -> DataFrame:
+def push_to_feed(new_rows: DataFrame, held: DataFrame, k: int = S.LATEST_COMMENTS_LIMIT,
+                 carry: Sequence[str] = ()) -> DataFrame:
     """One feed step: new rows before held rows, keep the first ``k`` per video."""
-    return rolling_feed(new_rows.unionByName(held), None, k)
+    return rolling_feed(new_rows.unionByName(held), None, k, carry)
 
 
 def feed_view(rows: DataFrame) -> DataFrame:

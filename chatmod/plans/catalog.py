@@ -128,14 +128,14 @@ def q_skip_processed_batches(spark, sf):
 
 @query("upsert_comments")
 def q_upsert_comments(spark, sf):
-    c = views.comments(spark, sf, with_message=False, extra=[views.doc_key()])
+    c = views.comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
     latest = M.upsert_latest(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
     return views.attach_message(spark, sf, latest)
 
 
 @query("change_feed_comment")
 def q_change_feed_comment(spark, sf):
-    c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key()])
+    c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
     first = M.first_delivery(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
     return views.attach_message(spark, sf, first).select("batch_id", *S.FEED_FIELDS)
 
@@ -187,19 +187,25 @@ def q_enrich_leaderboard(spark, sf):
 
 @query("video_comments")
 def q_video_comments(spark, sf):
-    return V.latest_comments(views.scored_comments(spark, sf), SERVED_VIDEO)
+    # top 100 on narrow rows, then the whole message text for those 100 only
+    c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
+    top = V.latest_comments(c, SERVED_VIDEO, carry=["doc_key"])
+    return views.attach_message(spark, sf, top).select(*S.SERVED_COMMENT_FIELDS)
 
 
-def _feed_rows(spark, sf):
-    return views.scored_comments(spark, sf).select(*S.FEED_FIELDS, "batch_id")
+def _feed_rows(spark, sf, with_message=True):
+    extra = [] if with_message else [views.doc_key(spark, sf)]
+    cols = S.FEED_FIELDS if with_message else [c for c in S.FEED_FIELDS if c != "message"] + ["doc_key"]
+    return views.scored_comments(spark, sf, with_message=with_message, extra=extra).select(*cols, "batch_id")
 
 
 @query("rolling_feed")
 def q_rolling_feed(spark, sf):
-    rows = _feed_rows(spark, sf).where(F.col("video_id") == SERVED_VIDEO)
+    rows = _feed_rows(spark, sf, with_message=False).where(F.col("video_id") == SERVED_VIDEO)
     last = views.BATCHES - 1
-    held = V.rolling_feed(rows.where(F.col("batch_id") < last), None).drop("position")
-    return V.push_to_feed(rows.where(F.col("batch_id") == last), held).drop("position")
+    held = V.rolling_feed(rows.where(F.col("batch_id") < last), None, carry=["doc_key"]).drop("position")
+    feed = V.push_to_feed(rows.where(F.col("batch_id") == last), held, carry=["doc_key"]).drop("position")
+    return views.attach_message(spark, sf, feed).select(*S.FEED_FIELDS, "batch_id")
 
 
 @query("feed_view")
@@ -209,7 +215,8 @@ def q_feed_view(spark, sf):
 
 @query("feed_count")
 def q_feed_count(spark, sf):
-    return V.feed_count(V.rolling_feed(_feed_rows(spark, sf), None))
+    # a count needs no message text: every comment has its document
+    return V.feed_count(V.rolling_feed(_feed_rows(spark, sf, with_message=False), None))
 
 
 @query("recent_windows")

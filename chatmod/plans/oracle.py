@@ -17,7 +17,7 @@ comments as (
          cast(round(value * 100) as bigint) as v, event_id
   from events),
 comments_msg as (
-  select c.*, d.text as message from comments c join documents d on c.event_id % 200 = d.doc_id),
+  select c.*, d.text as message from comments c join documents d on c.event_id % (select count(*) from documents) = d.doc_id),
 scored as (
   select *, greatest(toxic, severe_toxic, threat, insult, identity_hate) as top_score from (
     select *, (v % 1001) / 1000e0 as toxic, ((v * 3) % 1001) / 1000e0 as severe_toxic,

@@ -2,8 +2,9 @@
 
 The comment stream is modelled on ``events``: one event = one chat comment on
 video ``event_type`` by author ``user_id``, arriving at ``ts``; its message is
-the whole text of document ``event_id % 200`` (the first 200 documents always
-exist). ``toxic_score`` and the five label scores are derived from integers
+the whole text of document ``event_id % n`` over all ``n`` documents (doc ids
+run 0 .. n - 1), so every document is used and message work grows with both
+tables. ``toxic_score`` and the five label scores are derived from integers
 (``value``), so Spark and SQL engines agree exactly on thresholds.
 """
 
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 
 from chatmod import schema as S
 from chatmod.functions.policy import apply_policy, top_label
-from chatmod.session import bounded_broadcast, spread_for_cpu
+from chatmod.session import spread_for_cpu
 
-MESSAGE_DOCS = 200                 # messages come from documents 0 .. 199
 LABEL_MULTIPLIERS = [1, 3, 7, 11, 13]  # label scores ((v * m) % 1001) / 1000, label order
 BATCHES = 7                        # simulated micro-batch id = event_id % 7
 REPLAY_BATCH_OFFSET = BATCHES      # a full topic replay lands in batches 7 .. 13
@@ -50,12 +50,23 @@ def comment_columns() -> list[Column]:
     ]
 
 
+def doc_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Number of documents, as a scalar subquery (planned once, no driver round trip)."""
+    return table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+
+
 def message_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 200 message documents, broadcast after checking they are ≤ 200 rows."""
-    docs = (table(spark, sf_dir, "documents")
-            .where((F.col("doc_id") >= 0) & (F.col("doc_id") < MESSAGE_DOCS))
-            .select(F.col("doc_id").alias("doc_key"), F.col("text").alias("message")))
-    return bounded_broadcast(docs, MESSAGE_DOCS)
+    """Every document as a message (doc_key, message).
+
+    No broadcast hint: the documents grow with the data, so the join is a
+    shuffle join on ``doc_key`` (uniform: event ids modulo the document count),
+    which AQE turns into a broadcast join only when the measured shuffle output
+    is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("message"))
+
+
+def doc_key(spark: SparkSession, sf_dir: str) -> Column:
+    return (F.col("event_id") % doc_count(spark, sf_dir)).alias("doc_key")
 
 
 def comments(spark: SparkSession, sf_dir: str, with_message: bool = True, extra: list[Column] | None = None) -> DataFrame:
@@ -64,18 +75,17 @@ def comments(spark: SparkSession, sf_dir: str, with_message: bool = True, extra:
     cols = comment_columns() + list(extra or [])
     if not with_message:
         return ev.select(*cols)
-    base = spread_for_cpu(ev.select(*cols, (F.col("event_id") % MESSAGE_DOCS).alias("doc_key")))
-    return base.join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
-
-
-def doc_key() -> Column:
-    return (F.col("event_id") % MESSAGE_DOCS).alias("doc_key")
+    base = ev.select(*cols, doc_key(spark, sf_dir))
+    return attach_message(spark, sf_dir, base)
 
 
 def attach_message(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Join the message text onto rows carrying ``doc_key`` (late materialisation:
-    shuffles upstream move the 8-byte key, not the whole text)."""
-    return spread_for_cpu(df).join(message_docs(spark, sf_dir), on="doc_key", how="inner").drop("doc_key")
+    shuffles upstream move the 8-byte key, not the whole text). Either side may
+    end up as the streamed side of the join, so both are spread over the cores
+    when their scan yields fewer splits than cores (a no-op on large inputs)."""
+    docs = spread_for_cpu(message_docs(spark, sf_dir))
+    return spread_for_cpu(df).join(docs, on="doc_key", how="inner").drop("doc_key")
 
 
 def predictions_from_value() -> Column:
