@@ -23,6 +23,7 @@ from chatmod.operators.leaderboard import leaderboard_changes as _changes
 from chatmod.operators.metrics import (stream_metric_partials, unique_viewers, unique_viewers_merged as _uv_merged,
                                        user_metric_partials)
 from chatmod.plans import views
+from chatmod.session import spread_for_cpu
 from chatmod.sources.chat_pages import flatten_chat_pages as _flatten
 from chatmod.sources.topic import decode_comments as _decode
 from chatmod.sources.topic import parse_published_at as _parse
@@ -244,7 +245,7 @@ def q_trim_status_log(spark, sf):
 # -- text, scoring, policy --------------------------------------------------
 
 def _documents(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message"))
+    return spread_for_cpu(views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message")))
 
 
 @query("clean_messages")

@@ -60,18 +60,46 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over every core when its scan yields fewer partitions
-    than there are cores (e.g. one small file with one row group), so CPU-heavy
-    per-row work that follows (whole-text JSON, regex) is not run by one task.
+# Inputs up to this size may be round-robined over the cores when they arrive
+# as fewer files than cores (a shuffle of at most this much is cheap next to
+# whole-text work); larger inputs are never reshuffled for parallelism.
+SPREAD_MAX_BYTES = 512 * 1024 * 1024
+
+
+def _small_file_input(df: DataFrame, cores: int) -> bool:
+    """True when ``df`` reads fewer files than cores, totalling ≤ SPREAD_MAX_BYTES.
+
+    A Parquet row group is never split, so one small file with one row group is
+    read by one task whatever the split count says. Only file lengths are looked
+    up (metadata), and only for fewer files than cores."""
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return False
+    sc = df.sparkSession.sparkContext
+    conf, fs_path = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    total = 0
+    for f in files:
+        p = fs_path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if total > SPREAD_MAX_BYTES:
+            return False
+    return True
+
 
-    Inputs with at least as many splits as cores are returned unchanged — no
-    extra shuffle at scale. Round-robin repartitioning sorts rows first, so a
-    retried task gets the same rows.
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over every core when its scan cannot use them: fewer
+    partitions than cores, or a small input in fewer files than cores (its row
+    groups, not the split count, bound the read parallelism). CPU-heavy per-row
+    work that follows (whole-text JSON, regex) then runs on all cores.
+
+    Large inputs (many files, or more than ``SPREAD_MAX_BYTES``) are returned
+    unchanged — no extra shuffle at scale. Round-robin repartitioning sorts rows
+    first, so a retried task gets the same rows.
     """
     try:
         n = df.rdd.getNumPartitions()
         cores = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - e.g. no RDD access (Spark Connect): leave as is
+        spread = n < cores or _small_file_input(df, cores)
+    except Exception:  # noqa: BLE001 - e.g. no RDD / JVM access (Spark Connect): leave as is
         return df
-    return df.repartition(cores) if n < cores else df
+    return df.repartition(cores) if spread else df

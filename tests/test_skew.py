@@ -55,3 +55,27 @@ def test_bounded_broadcast_falls_back_beyond_its_bound(spark):
     joined = probe.join(bounded_broadcast(big, 10), "id")
     assert joined.count() == 1000                                  # right result either way
     assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_spread_only_small_inputs_that_cannot_use_the_cores(spark, scratch, monkeypatch):
+    from chatmod import session
+
+    # 15 MB in one file with one row group: as many splits as cores, but one of
+    # them holds every row, so only the small-file rule spreads it
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "RoundRobinPartitioning" in _plan(session.spread_for_cpu(docs))
+    monkeypatch.setattr(session, "SPREAD_MAX_BYTES", 1024)      # same file counted as large
+    wide = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)
+    wide.write.parquet(f"{scratch}/many")                        # as many files as cores
+    for df in (docs, spark.read.parquet(f"{scratch}/many")):
+        assert "RoundRobinPartitioning" not in _plan(session.spread_for_cpu(df))
+
+
+def test_messages_come_from_every_document(spark):
+    c = views.comments(spark, SF)
+    n_docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    used = c.select(F.xxhash64("message").alias("h")).distinct().count()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.xxhash64("text").alias("h")).distinct().count()
+    assert c.count() == spark.read.parquet(f"{SF}/events.parquet").count()   # every event has its message
+    assert used == docs and n_docs == 1000
