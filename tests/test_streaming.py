@@ -182,3 +182,40 @@ def test_native_stateful_metric_drops_only_rows_behind_the_watermark(spark, scra
     rows = spark.sql("select * from native_metric").collect()
     first = max((r for r in rows if r.window_start.minute == 0), key=lambda r: r.total_comments)
     assert first.total_comments == 2 and first.toxic_count == 2   # the late row was not added
+
+
+def _forced_scores(df):
+    """Deterministic scores: every fourth comment is toxic (spread over all three files)."""
+    return df.withColumn("toxic_score", F.when(F.col("comment_id").cast("long") % 4 == 0, 0.95).otherwise(0.1))
+
+
+def test_stateful_leaderboards_equal_batch_changes(spark, scratch):
+    from chatmod.operators.leaderboard import leaderboard_changes
+    from chatmod.streaming.leaderboards import board_changes, start_leaderboard_stream
+
+    src = os.path.join(scratch, "topic")
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox)
+    rec = _write_topic_files(spark, src)
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    ckpt = os.path.join(scratch, "ckpt")
+
+    def run():
+        scored = _forced_scores(transform_comments(decode_comments(read_comment_stream(spark, "json", inbox))))
+        q = start_leaderboard_stream(spark, scored, store, ckpt, trigger={"availableNow": True})
+        q.awaitTermination(300)
+        return q.id
+
+    os.link(os.path.join(src, "part0.json"), os.path.join(inbox, "part0.json"))
+    sid = run()
+    for i in (1, 2):                              # restart: state comes back from the checkpoint
+        os.link(os.path.join(src, f"part{i}.json"), os.path.join(inbox, f"part{i}.json"))
+        assert run() == sid
+
+    got = {(r.video_id, r.batch_id, r.leaderboard) for r in board_changes(store, str(sid)).collect()}
+    scored = _forced_scores(transform_comments(decode_comments(rec)))
+    deltas = (scored.where(F.col("toxic_score") >= 0.7)
+                    .groupBy("video_id", "author_id", (F.col("offset") % 3).alias("batch_id"))
+                    .agg(F.count(F.lit(1)).alias("toxic_count")))
+    want = {(r.video_id, r.batch_id, r.leaderboard) for r in leaderboard_changes(deltas).collect()}
+    assert got == want and {b for _, b, _ in got} == {0, 1, 2}
