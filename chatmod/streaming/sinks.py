@@ -25,27 +25,55 @@ def write_keyed_messages(df: DataFrame, fmt: str = "kafka", path: str | None = N
 
 class StatusLog:
     """Append-only crawler status events (running / stopped / ended / error), kept to
-    the newest ``capacity`` by ``trim`` (a distributed top-k rewritten as a new generation)."""
+    the newest ``capacity`` by ``trim``.
+
+    The log lives in generations ``<root>/gen=<n>``; readers use the highest
+    generation that committed (``_SUCCESS``). ``trim`` writes the newest events
+    as the next generation, so a trim that dies half-way leaves an uncommitted
+    folder that nobody reads, and the previous generation stays whole. One
+    writer at a time (appends and trims of one log are not concurrent).
+    """
 
     def __init__(self, spark: SparkSession, root: str, capacity: int = S.STATUS_LOG_CAPACITY):
         self.spark, self.root, self.capacity = spark, root, capacity
 
+    def _generations(self) -> list[int]:
+        """Committed generations, ascending (a metadata listing on the driver)."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        gens = []
+        for st in fs.listStatus(path):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("gen=") and name[4:].isdigit() \
+                    and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                gens.append(int(name[4:]))
+        return sorted(gens)
+
+    def _path(self, gen: int) -> str:
+        return f"{self.root}/gen={gen}"
+
     def append(self, events: DataFrame) -> None:
         """``events``: type, live_chat_id, video_id, seq (a monotonically increasing id)."""
-        events.select("seq", "type", "live_chat_id", "video_id").write.mode("append").parquet(f"{self.root}/log")
+        gens = self._generations()
+        events.select("seq", "type", "live_chat_id", "video_id").write.mode("append") \
+              .parquet(self._path(gens[-1] if gens else 0))
 
     def read(self) -> DataFrame:
-        path = f"{self.root}/log"
-        if not _exists(self.spark, path):
+        gens = self._generations()
+        if not gens:
             return self.spark.createDataFrame([], S.STATUS_LOG_SCHEMA)
-        return self.spark.read.schema(S.STATUS_LOG_SCHEMA).parquet(path)
+        return self.spark.read.schema(S.STATUS_LOG_SCHEMA).parquet(self._path(gens[-1]))
 
     def trim(self) -> DataFrame:
-        """Keep the newest ``capacity`` events; returns the kept rows (materialised first)."""
+        """Keep the newest ``capacity`` events as the next generation; returns them."""
+        gens = self._generations()
+        if not gens:
+            return self.read()
         keep = self.read().orderBy(F.col("seq").desc()).limit(self.capacity)
-        staged = f"{self.root}/log_trimmed"
-        keep.write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).write.mode("overwrite").parquet(f"{self.root}/log")
+        keep.write.mode("overwrite").parquet(self._path(gens[-1] + 1))
         return self.read()
 
 

@@ -31,6 +31,12 @@ def test_status_log_trim_and_latest(spark, scratch):
     assert sorted(r.seq for r in kept.collect()) == [7, 8, 9, 10, 11]
     latest = {r.video_id: (r.type, r.seq) for r in latest_status(kept, lookback=3).collect()}
     assert latest == {"v1": ("error", 11), "v0": ("ended", 10)}
+    # a trim that died before committing leaves a folder without _SUCCESS: ignored
+    os.makedirs(os.path.join(scratch, "status", "gen=9"))
+    log.append(spark.createDataFrame([(12, "running", "chat0", "v0")], "seq long, type string, live_chat_id string, video_id string"))
+    assert sorted(r.seq for r in log.read().collect()) == [7, 8, 9, 10, 11, 12]
+    kept = log.trim()
+    assert sorted(r.seq for r in kept.collect()) == [8, 9, 10, 11, 12]
 
 
 def test_leaderboard_changes_in_batches(spark, scratch):
