@@ -12,13 +12,19 @@ just add a partial, and nothing passes through the driver. Readers roll the
 partials up by key; ``compact`` folds everything written so far into a snapshot
 so reads stay cheap as batches accumulate. A snapshot counts only once its
 ledger entry exists (written after the snapshot), so a crash mid-compaction
-leaves the previous state readable.
+leaves the previous state readable. Once snapshot ``k`` is committed, the
+partials folded by snapshot ``k - 1`` and the snapshots before ``k - 1`` are
+deleted: the number of directories a reader lists stays bounded by one
+compaction interval instead of growing with every batch ever written, and a
+reader that listed files before the previous compaction still finds them.
+Change feeds cover the batches that are still kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from chatmod.operators import merge as M
 from chatmod.session import shared_dir
@@ -40,6 +46,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _subdirs(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
+    """(value, full path) of the ``prefix=value`` directories under ``path`` (metadata only)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(prefix + "="):
+            out.append((name[len(prefix) + 1:], st.getPath().toString()))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class PartialStore:
     def __init__(self, spark: SparkSession, root: str | None = None, user_filter_scope: str = "batch"):
         """``user_filter_scope``: ``"batch"`` drops an author's clean rows of a batch
@@ -78,8 +105,16 @@ class PartialStore:
         return snap, folded
 
     def raw(self, table: str) -> DataFrame | None:
-        """All partial files of a table, listed once (the listing is fixed from here on)."""
-        return self.spark.read.parquet(self.path(table)) if _exists(self.spark, self.path(table)) else None
+        """All partial files of a table, listed once (the listing is fixed from here on);
+        None when there are none (never written, or all folded and retired)."""
+        if not _exists(self.spark, self.path(table)):
+            return None
+        try:
+            return self.spark.read.parquet(self.path(table))
+        except AnalysisException as e:  # only empty partition folders are left
+            if "UNABLE_TO_INFER_SCHEMA" in str(e):
+                return None
+            raise
 
     def partials(self, table: str, raw: DataFrame | None = None) -> DataFrame | None:
         """Current partial rows: the latest snapshot plus partials written after it."""
@@ -173,3 +208,27 @@ class PartialStore:
         (folded.withColumn("snap", F.lit(int(snap))).write.mode("overwrite")
                .option("partitionOverwriteMode", "dynamic").partitionBy("snap")
                .parquet(self.path(f"{table}__folded")))
+        self._retire(table, int(snap))
+
+    def _retire(self, table: str, snap: int) -> None:
+        """After snapshot ``snap`` committed: delete the partials folded by the
+        previous snapshot and every snapshot before the previous one."""
+        snaps = sorted(int(v) for v, _ in _subdirs(self.spark, self.path(f"{table}__folded"), "snap") if v.isdigit())
+        older = [k for k in snaps if k < snap]
+        if not older:
+            return
+        prev = older[-1]
+        # one row per stream: the highest batch the previous snapshot folded
+        bounds = {r.stream_id: r.max_batch_id for r in
+                  self.spark.read.parquet(self.path(f"{table}__folded")).where(F.col("snap") == prev)
+                      .select("stream_id", "max_batch_id").collect()}
+        for stream, stream_path in _subdirs(self.spark, self.path(table), "stream_id"):
+            bound = bounds.get(stream)
+            if bound is None:
+                continue
+            for batch, batch_path in _subdirs(self.spark, stream_path, "batch_id"):
+                if batch.lstrip("-").isdigit() and int(batch) <= bound:
+                    _delete(self.spark, batch_path)
+        for k in older[:-1]:
+            for suffix in ("__snapshot", "__folded"):
+                _delete(self.spark, f"{self.path(table + suffix)}/snap={k}")

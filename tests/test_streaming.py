@@ -9,7 +9,7 @@ from chatmod.operators.metrics import stream_metric_partials, user_metric_partia
 from chatmod.plans import views
 from chatmod.sources.topic import decode_comments, read_comment_stream
 from chatmod.streaming.job import process_batch, start_stream, transform_comments
-from chatmod.streaming.store import PartialStore
+from chatmod.streaming.store import TABLES, PartialStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -219,3 +219,47 @@ def test_stateful_leaderboards_equal_batch_changes(spark, scratch):
                     .agg(F.count(F.lit(1)).alias("toxic_count")))
     want = {(r.video_id, r.batch_id, r.leaderboard) for r in leaderboard_changes(deltas).collect()}
     assert got == want and {b for _, b, _ in got} == {0, 1, 2}
+
+
+def test_repeated_compaction_retires_folded_partials(spark, scratch):
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    parts = [scored.where(F.col("offset") % 6 == b) for b in range(6)]
+
+    def batches(table):
+        root = os.path.join(store.path(table), "stream_id=s1")
+        return sorted(int(d.split("=")[1]) for d in os.listdir(root)) if os.path.isdir(root) else []
+
+    def state():
+        return (sorted(map(tuple, store.stream_metric().select(*STREAM_COLS, "version").collect())),
+                sorted(map(tuple, store.user_metric().select(*USER_COLS, "version").collect())),
+                store.comments().count())
+
+    for b in range(2):
+        process_batch(parts[b], b, store, "s1")
+    for t in TABLES:
+        store.compact(t, 1)                       # folds 0-1, nothing retired yet
+    assert batches("stream_metric") == [0, 1]
+    for b in range(2, 4):
+        process_batch(parts[b], b, store, "s1")
+    for t in TABLES:
+        store.compact(t, 2)                       # folds 0-3, retires what snapshot 1 folded
+    assert batches("stream_metric") == [2, 3] and batches("comments") == [2, 3]
+    for b in range(4, 6):
+        process_batch(parts[b], b, store, "s1")
+    for t in TABLES:
+        store.compact(t, 3)
+    assert batches("user_metric") == [4, 5]
+    assert sorted(os.listdir(store.path("stream_metric__snapshot"))) == ["snap=2", "snap=3"]
+    for t in TABLES:
+        store.compact(t, 4)                       # nothing new: every partial is retired
+    assert batches("stream_metric") == []
+    after = state()
+
+    fresh = PartialStore(spark, os.path.join(scratch, "fresh"))
+    for b in range(6):
+        process_batch(parts[b], b, fresh, "s1")
+    store_all = (sorted(map(tuple, fresh.stream_metric().select(*STREAM_COLS, "version").collect())),
+                 sorted(map(tuple, fresh.user_metric().select(*USER_COLS, "version").collect())),
+                 fresh.comments().count())
+    assert after == store_all
