@@ -13,7 +13,9 @@ authors and ``k`` board rows per updated video, never the video's history,
 however hot the video is. Boards are written only when they change, as
 ``(stream_id, batch_id)`` partitions of the ``boards`` table (a replayed batch
 rewrites its own partition); the rows of a board carry its string form, so the
-change feed is a projection of the table.
+change feed is a projection of the table. ``PartialStore.compact("boards", k)``
+keeps the latest board per video and retires older partitions like the other
+tables.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def _board_strings(top: DataFrame) -> DataFrame:
 def previous_boards(store: PartialStore, videos: DataFrame, stream_id: str, batch_id: int) -> DataFrame | None:
     """Latest board rows (video_id, rank, author_id, toxic_count, leaderboard) of the
     given videos written by this stream before ``batch_id``; None before the first."""
-    rows = store.raw(BOARDS)
+    rows = store.partials(BOARDS)                # latest snapshot (if compacted) + newer partials
     if rows is None:
         return None
     touched = bounded_broadcast(videos.select("video_id").distinct(), TOUCHED_VIDEOS_BROADCAST_ROWS)
@@ -94,6 +96,8 @@ def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream
 def board_changes(store: PartialStore, stream_id: str | None = None) -> DataFrame:
     """The change feed: one row per (stream, batch, video) whose board changed."""
     rows = store.raw(BOARDS)
+    if rows is None:                             # nothing written yet, or all retired
+        return store.spark.createDataFrame([], "stream_id string, batch_id long, video_id string, leaderboard string")
     if stream_id is not None:
         rows = rows.where(F.col("stream_id") == stream_id)
     return rows.select("stream_id", "batch_id", "video_id", "leaderboard").distinct()

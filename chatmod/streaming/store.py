@@ -198,10 +198,16 @@ class PartialStore:
                 F.sum(F.coalesce(F.col("version"), F.lit(1)) if "version" in parts.columns else F.lit(1))
                  .cast("long").alias("version"),
                 F.max("written_at").alias("written_at"))
+        elif table == "boards":
+            # the latest board of each video per stream, with its own stream and
+            # batch ids: the previous-board lookup of the next batch needs them
+            latest = parts.groupBy("stream_id", "video_id").agg(F.max("batch_id").alias("batch_id"))
+            rows = parts.join(latest, on=["stream_id", "video_id", "batch_id"], how="left_semi")
         else:
             rows = M.upsert_latest(parts, "comment_id", ["written_at", "batch_id"])
-        rows = rows.drop("stream_id", "batch_id").withColumn("stream_id", F.lit("_snapshot")) \
-                   .withColumn("batch_id", F.lit(int(snap)).cast("long"))
+        if table != "boards":
+            rows = rows.drop("stream_id", "batch_id").withColumn("stream_id", F.lit("_snapshot")) \
+                       .withColumn("batch_id", F.lit(int(snap)).cast("long"))
         (rows.withColumn("snap", F.lit(int(snap))).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("snap")
              .parquet(self.path(f"{table}__snapshot")))

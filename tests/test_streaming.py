@@ -263,3 +263,26 @@ def test_repeated_compaction_retires_folded_partials(spark, scratch):
                  sorted(map(tuple, fresh.user_metric().select(*USER_COLS, "version").collect())),
                  fresh.comments().count())
     assert after == store_all
+
+
+def test_board_updates_survive_compaction(spark, scratch):
+    from chatmod.streaming.leaderboards import board_changes, toxic_totals, update_boards
+
+    scored = _forced_scores(transform_comments(decode_comments(views.topic_records(spark, SF))))
+    part = F.col("offset") % 5                   # toxic rows (offset % 4 == 0) fall in every part
+
+    def run(store, compact_after=()):
+        for b in range(4):
+            # the new totals of the authors touched by batch b (what update mode emits)
+            upto = toxic_totals(scored.where(part <= b))
+            touched = scored.where((part == b) & (F.col("toxic_score") >= 0.7)).select("video_id", "author_id").distinct()
+            update_boards(upto.join(touched, ["video_id", "author_id"], "left_semi"), b, store, "s1")
+            if b in compact_after:
+                store.compact("boards", b)
+        return {(r.video_id, r.batch_id, r.leaderboard) for r in board_changes(store, "s1").collect()}
+
+    plain = run(PartialStore(spark, os.path.join(scratch, "plain")))
+    compacted_store = PartialStore(spark, os.path.join(scratch, "compacted"))
+    compacted = run(compacted_store, compact_after=(0, 1, 2))
+    assert {x for x in plain if x[1] == 3} == {x for x in compacted if x[1] == 3}    # batch 3 read snapshots
+    assert {b for _, b, _ in plain} == {0, 1, 2, 3}
