@@ -22,12 +22,14 @@ Change feeds cover the batches that are still kept.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from chatmod.operators import merge as M
-from chatmod.session import shared_dir
+from chatmod.session import bounded_broadcast, shared_dir
+
+LEDGER_BROADCAST_ROWS = 100_000  # snapshot ledger: one row per stream
 
 TABLES = ("comments", "stream_metric", "user_metric")
 
@@ -124,7 +126,8 @@ class PartialStore:
             return parts
         if parts is None:
             return snap
-        newer = (parts.join(F.broadcast(folded), on="stream_id", how="left")
+        # the ledger has one row per stream; broadcast after checking that bound
+        newer = (parts.join(bounded_broadcast(folded, LEDGER_BROADCAST_ROWS), on="stream_id", how="left")
                       .where(F.col("max_batch_id").isNull() | (F.col("batch_id") > F.col("max_batch_id")))
                       .drop("max_batch_id"))
         return newer.unionByName(snap, allowMissingColumns=True)
