@@ -286,3 +286,24 @@ def test_board_updates_survive_compaction(spark, scratch):
     compacted = run(compacted_store, compact_after=(0, 1, 2))
     assert {x for x in plain if x[1] == 3} == {x for x in compacted if x[1] == 3}    # batch 3 read snapshots
     assert {b for _, b, _ in plain} == {0, 1, 2, 3}
+
+
+def test_app_runs_all_queries_on_one_topic(spark, scratch):
+    from chatmod.app import main
+    from chatmod.streaming.leaderboards import board_changes
+
+    src = os.path.join(scratch, "topic")
+    _write_topic_files(spark, src, parts=2)
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox)
+    for i in range(2):
+        os.link(os.path.join(src, f"part{i}.json"), os.path.join(inbox, f"part{i}.json"))
+    root = os.path.join(scratch, "store")
+    queries = main(["--source", "json", "--path", inbox, "--store", root, "--available-now"], spark=spark)
+    assert all(q.exception() is None for q in queries)
+    store = PartialStore(spark, root)
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    assert store.comments().count() == scored.count()
+    assert store.stream_metric().agg(F.sum("total_comments")).collect()[0][0] == scored.count()
+    assert board_changes(store).count() > 0
+    assert spark.read.parquet(store.path("rejects")).count() == 0                 # no malformed records here
