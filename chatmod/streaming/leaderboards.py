@@ -49,10 +49,11 @@ def _board_strings(top: DataFrame) -> DataFrame:
     return top.groupBy("video_id").agg(F.array_join(F.transform(entries, lambda x: x["t"]), ",").alias("leaderboard"))
 
 
-def previous_boards(store: PartialStore, videos: DataFrame, stream_id: str, batch_id: int) -> DataFrame | None:
+def previous_boards(store: PartialStore, videos: DataFrame, stream_id: str, batch_id: int,
+                    table: str = BOARDS) -> DataFrame | None:
     """Latest board rows (video_id, rank, author_id, toxic_count, leaderboard) of the
     given videos written by this stream before ``batch_id``; None before the first."""
-    rows = store.partials(BOARDS)                # latest snapshot (if compacted) + newer partials
+    rows = store.partials(table)                # latest snapshot (if compacted) + newer partials
     if rows is None:
         return None
     touched = bounded_broadcast(videos.select("video_id").distinct(), TOUCHED_VIDEOS_BROADCAST_ROWS)
@@ -64,7 +65,7 @@ def previous_boards(store: PartialStore, videos: DataFrame, stream_id: str, batc
 
 
 def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream_id: str | None = None,
-                  k: int = S.LEADERBOARD_SIZE) -> None:
+                  k: int = S.LEADERBOARD_SIZE, table: str = BOARDS) -> None:
     """``foreachBatch`` body: ``updated`` holds the new totals (video_id, author_id,
     toxic_count) of the authors this batch changed; write the boards that changed."""
     if stream_id is None:
@@ -73,7 +74,7 @@ def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream
     try:
         if updated.isEmpty():
             return
-        prev = previous_boards(store, updated, stream_id, batch_id)
+        prev = previous_boards(store, updated, stream_id, batch_id, table)
         cand = updated
         if prev is not None:
             kept = prev.select("video_id", "author_id", "toxic_count").join(
@@ -88,14 +89,14 @@ def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream
                             .drop("previous"))
         changed = top.join(boards, on="video_id", how="inner")
         store.write(changed.select("video_id", "rank", "author_id", "toxic_count", "leaderboard"),
-                    BOARDS, stream_id, batch_id)
+                    table, stream_id, batch_id)
     finally:
         updated.unpersist()
 
 
-def board_changes(store: PartialStore, stream_id: str | None = None) -> DataFrame:
+def board_changes(store: PartialStore, stream_id: str | None = None, table: str = BOARDS) -> DataFrame:
     """The change feed: one row per (stream, batch, video) whose board changed."""
-    rows = store.raw(BOARDS)
+    rows = store.raw(table)
     if rows is None:                             # nothing written yet, or all retired
         return store.spark.createDataFrame([], "stream_id string, batch_id long, video_id string, leaderboard string")
     if stream_id is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatmod import schema as S
 from chatmod.operators.serving import author_totals, top_authors_all
 from chatmod.session import bounded_broadcast
+from chatmod.streaming.leaderboards import update_boards
 from chatmod.streaming.store import PartialStore, _exists
 
 
@@ -88,15 +89,23 @@ def leaderboards_for(store: PartialStore, videos: DataFrame, k: int = S.LEADERBO
                                              lambda x: x["t"]), ",").alias("leaderboard")))
 
 
-def emit_leaderboard_changes(store: PartialStore, batch: DataFrame, stream_id: str, batch_id: int) -> None:
-    """Inside ``foreachBatch``: recompute the boards of the videos this batch touched and
-    record those that differ from the last recorded board of the video."""
-    boards = leaderboards_for(store, batch.select("video_id"))
-    if _exists(store.spark, store.path("leaderboard_changes")):
-        last = (store.spark.read.parquet(store.path("leaderboard_changes"))
-                .where(~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
-                .groupBy("video_id").agg(F.max_by("leaderboard", F.struct("written_at", "batch_id")).alias("previous")))
-        boards = (boards.join(last, on="video_id", how="left")
-                        .where(F.col("previous").isNull() | (F.col("previous") != F.col("leaderboard")))
-                        .drop("previous"))
-    store.write(boards, "leaderboard_changes", stream_id, batch_id)
+TOUCHED_AUTHORS_BROADCAST_ROWS = 200_000
+
+
+def emit_leaderboard_changes(store: PartialStore, batch: DataFrame, stream_id: str, batch_id: int,
+                             threshold: float = S.USER_TOXIC_THRESHOLD) -> None:
+    """Inside ``foreachBatch``, after the batch's author partials are written: update
+    the boards of the videos this batch changed and record those that differ.
+
+    Only the authors with a toxic comment in this batch change; their totals are
+    summed from the author partials (semi-joined on those authors), and the new
+    board is the top k of the previous board plus them (``update_boards``), so
+    the work follows the batch, not the history of its videos."""
+    touched = (batch.where(F.col("toxic_score") >= threshold)
+                    .select("video_id", "author_id").distinct())
+    touched = bounded_broadcast(touched, TOUCHED_AUTHORS_BROADCAST_ROWS)
+    totals = (store.partials("user_metric")
+                   .join(touched, on=["video_id", "author_id"], how="left_semi")
+                   .groupBy("video_id", "author_id")
+                   .agg(F.sum("toxic_count").cast("long").alias("toxic_count")))
+    update_boards(totals, batch_id, store, stream_id, table="leaderboard_changes")

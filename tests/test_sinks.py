@@ -49,3 +49,21 @@ def test_leaderboard_changes_in_batches(spark, scratch):
     changes = spark.read.parquet(store.path("leaderboard_changes")).collect()
     assert {r.batch_id for r in changes} == {0}      # batch 1 added no toxic rows: no board changed
     assert all(r.leaderboard.startswith("7:") for r in changes)
+
+
+def test_in_batch_leaderboards_equal_batch_changes(spark, scratch):
+    from chatmod.operators.leaderboard import leaderboard_changes
+    from chatmod.streaming.leaderboards import board_changes
+
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    scored = scored.withColumn("toxic_score", F.when(F.col("offset") % 4 == 0, 0.95).otherwise(0.1))
+    for b in range(3):
+        process_batch(scored.where(F.col("offset") % 3 == b), b, store, "s1", leaderboards=True)
+    got = {(r.video_id, r.batch_id, r.leaderboard)
+           for r in board_changes(store, "s1", table="leaderboard_changes").collect()}
+    deltas = (scored.where(F.col("toxic_score") >= 0.7)
+                    .groupBy("video_id", "author_id", (F.col("offset") % 3).alias("batch_id"))
+                    .agg(F.count(F.lit(1)).alias("toxic_count")))
+    want = {(r.video_id, r.batch_id, r.leaderboard) for r in leaderboard_changes(deltas).collect()}
+    assert got == want and {b for _, b, _ in got} == {0, 1, 2}
