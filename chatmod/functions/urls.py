@@ -33,8 +33,14 @@ def is_video_host(url: Column) -> Column:
 def extract_video_id(df: DataFrame, url_col: str = "url", form: str = "server") -> DataFrame:
     """Add ``video_id`` (null when the URL holds no 11-character id) and ``is_video_host``.
 
-    Rows with a null id are the rejects; ``rejects(df)`` selects them.
+    Rows with a null id are the rejects; ``video_id_rejects`` selects them.
     """
     fn = video_id_server if form == "server" else video_id_client
     url = F.col(url_col)
     return df.withColumn("video_id", fn(url)).withColumn("is_video_host", is_video_host(url))
+
+
+def video_id_rejects(extracted: DataFrame) -> DataFrame:
+    """Rows of ``extract_video_id`` output whose URL holds no valid id (the server
+    answers these with an error instead of starting a crawl)."""
+    return extracted.where(F.col("video_id").isNull())

@@ -86,3 +86,11 @@ def test_video_id_forms(spark):
     assert client[2] is None and client[4] is None and client[0] == "dQw4w9WgXcQ"
     hosts = [r.is_video_host for r in extract_video_id(df).collect()]
     assert hosts == [True] * 5 + [False]
+
+
+def test_video_id_rejects(spark):
+    from chatmod.functions.urls import video_id_rejects
+
+    urls = ["https://youtu.be/dQw4w9WgXcQ", "https://www.youtube.com/watch?v=tooShort", "not a url", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    assert sorted(r.i for r in video_id_rejects(extract_video_id(df)).collect()) == [1, 2, 3]
