@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Batch settings that matter at scale. Shuffle partitions are left to AQE
-# (coalescing small ones, splitting skewed joins); callers may override.
+# Batch settings that matter at scale. AQE coalesces small shuffle partitions
+# and splits skewed joins; the initial partition count is sized from the
+# cluster's cores in ``build_session`` unless configured.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -21,14 +22,31 @@ DEFAULT_CONF = {
 }
 
 
+SHUFFLE_PARTITION_KEYS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+PARTITIONS_PER_CORE = 4
+
+
 def build_session(master: str | None = None, app_name: str = "chatmod", conf: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session with the engine's defaults applied."""
+    """Create (or reuse) a session with the engine's defaults applied.
+
+    When neither the caller nor the cluster configuration sets a shuffle
+    partition count, AQE starts every shuffle at ``PARTITIONS_PER_CORE`` × the
+    cluster's cores (at least Spark's 200) and coalesces small ones to the
+    advisory size: AQE can merge partitions but never add them, so a fixed 200
+    would leave each reducer of a large shuffle with far more than fits in memory.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
+    conf = {**DEFAULT_CONF, **(conf or {})}
+    for k, v in conf.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    launch = spark.sparkContext.getConf()
+    if not any(k in conf or launch.contains(k) for k in SHUFFLE_PARTITION_KEYS):
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(SHUFFLE_PARTITION_KEYS[1], str(max(200, PARTITIONS_PER_CORE * cores)))
+    return spark
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
