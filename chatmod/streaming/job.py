@@ -24,6 +24,7 @@ from chatmod.functions.scoring import LexiconScorer, Scorer
 from chatmod.functions.text import clean_messages
 from chatmod.operators.metrics import stream_metric_partials, user_metric_partials
 from chatmod.sources.topic import comment_rejects, decode_comments, parse_published_at
+from chatmod.session import spread_for_cpu
 from chatmod.streaming.store import PartialStore
 
 COMMENT_COLUMNS = [
@@ -77,9 +78,16 @@ def start_stream(spark: SparkSession, records: DataFrame, store: PartialStore |
     (``read_comment_stream``); ``trigger`` defaults to a 10-second processing-time trigger."""
     store = store or PartialStore(spark)
     checkpoint = checkpoint or f"{store.root}/_checkpoints/{query_name or 'comments'}"
-    scored = transform_comments(decode_comments(records, stamp_processing_time=True), scorer)
-    writer = (scored.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, store, window=window, leaderboards=leaderboards))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Decode and score inside the batch: the micro-batch is a static DataFrame
+        # here, so a batch read by fewer tasks than cores (one file per trigger, a
+        # topic with few partitions) is spread before the whole-text work.
+        scored = transform_comments(decode_comments(spread_for_cpu(batch), stamp_processing_time=True), scorer)
+        process_batch(scored, batch_id, store, window=window, leaderboards=leaderboards)
+
+    writer = (records.writeStream
+              .foreachBatch(run)
               .option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(**(trigger or {"processingTime": S.TRIGGER_INTERVAL}))
