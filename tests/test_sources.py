@@ -94,3 +94,32 @@ def test_video_id_rejects(spark):
     urls = ["https://youtu.be/dQw4w9WgXcQ", "https://www.youtube.com/watch?v=tooShort", "not a url", None]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
     assert sorted(r.i for r in video_id_rejects(extract_video_id(df)).collect()) == [1, 2, 3]
+
+
+def test_kafka_reader_options(spark, monkeypatch):
+    """The connector jar is not on this classpath: check the reader configuration only."""
+    from pyspark.sql import SparkSession
+
+    from chatmod.sources.topic import read_comment_stream
+
+    class Recorder:
+        def __init__(self):
+            self.opts = {}
+
+        def format(self, f):
+            self.opts["format"] = f
+            return self
+
+        def option(self, k, v):
+            self.opts[k] = v
+            return self
+
+        def load(self, *a):
+            return self.opts
+
+    monkeypatch.setattr(SparkSession, "readStream", property(lambda self: Recorder()))
+    opts = read_comment_stream(spark, "kafka", options={"kafka.bootstrap.servers": "b:9092", "minPartitions": 12})
+    assert opts == {"format": "kafka", "subscribe": "comment", "maxOffsetsPerTrigger": "100",
+                    "startingOffsets": "earliest", "failOnDataLoss": "false", "minPartitions": "12",
+                    "kafka.bootstrap.servers": "b:9092"}
+    assert read_comment_stream(spark, "kafka")["minPartitions"] == str(spark.sparkContext.defaultParallelism)
