@@ -102,3 +102,38 @@ def test_viewer_modes_agree_on_small_groups(spark, viewers):
     rows = [_c(i, f"u{i % 4}", 0.1, 0, secs=i) for i in range(12)]
     r = stream_metric_partials(_rows(spark, rows), viewers=viewers).collect()[0]
     assert r.unique_viewers == 4
+
+
+def test_merge_properties_random_batches(spark):
+    """For random comments over random batches: merged partials equal a one-shot
+    aggregate, version counts the batches, and folding a subset first (as
+    compaction does) changes nothing."""
+    from hypothesis import HealthCheck, given, settings, strategies as st
+
+    comment = st.tuples(st.sampled_from("abcde"), st.sampled_from([0.1, 0.5, 0.7, 0.9]), st.integers(0, 3),
+                        st.integers(0, 400), st.sampled_from(["v1", "v2"]))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(comment, min_size=1, max_size=30), st.sets(st.integers(0, 3)))
+    def check(rows, folded_batches):
+        df = _rows(spark, [_c(i, a, s, b, secs, v) for i, (a, s, b, secs, v) in enumerate(rows)])
+        parts = stream_metric_partials(df, keys=["batch_id"])
+        merged = {(r.video_id, r.window_start): (r.total_comments, r.toxic_count, r.version)
+                  for r in M.merge_stream_metric(parts).collect()}
+        direct = {(r.video_id, r.window_start): (r.total_comments, r.toxic_count)
+                  for r in stream_metric_partials(df).collect()}
+        batches = {}
+        for a, s, b, secs, v in rows:
+            key = (v, (T0 + dt.timedelta(seconds=secs)).replace(second=0))
+            batches.setdefault(key, set()).add(b)
+        assert {k: m[:2] for k, m in merged.items()} == direct
+        assert {k: m[2] for k, m in merged.items()} == {k: len(b) for k, b in batches.items()}
+        # fold some batches into a snapshot row per key, then merge with the rest
+        inside = F.col("batch_id").isin(*folded_batches) if folded_batches else F.lit(False)
+        snap = M.merge_stream_metric(parts.where(inside)).withColumn("batch_id", F.lit(-1).cast("long"))
+        rest = parts.where(~inside).withColumn("version", F.lit(1).cast("long"))
+        again = {(r.video_id, r.window_start): (r.total_comments, r.toxic_count, r.version)
+                 for r in M.merge_stream_metric(snap.unionByName(rest, allowMissingColumns=True)).collect()}
+        assert again == merged
+
+    check()
