@@ -23,10 +23,12 @@ Change feeds cover the batches that are still kept.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatmod import schema as S
 from chatmod.operators import merge as M
+from chatmod.operators import serving as V
 from chatmod.session import bounded_broadcast, shared_dir
 
 LEDGER_BROADCAST_ROWS = 100_000  # snapshot ledger: one row per stream
@@ -150,6 +152,34 @@ class PartialStore:
         partials first and reaches the Parquet scan."""
         return M.upsert_latest(self._video("comments", video_id), "comment_id", ["written_at", "batch_id"])
 
+    # -- serving snapshots: top-k keys first, then merge only their partials ----
+    def _newest_keys(self, parts: DataFrame, order: list, k: int, partition: str = "video_id") -> DataFrame:
+        """Every partial row of the ``k`` newest keys per video. ``dense_rank`` gives
+        all versions of a key the same rank, and Spark applies ``rank <= k`` as a
+        partial limit in each task before the shuffle, so a hot video ships at most
+        k keys' versions per task instead of its whole history."""
+        w = Window.partitionBy(partition).orderBy(*order)
+        return parts.withColumn("__key_rank", F.dense_rank().over(w)).where(F.col("__key_rank") <= k).drop("__key_rank")
+
+    def latest_comments(self, video_id: str | None, k: int = S.LATEST_COMMENTS_LIMIT) -> DataFrame:
+        """The newest ``k`` comments of a video after upserts, served fields only.
+
+        Equal to ``serving.latest_comments(self.comments(video_id), video_id, k)``
+        because a comment keeps its id, video and publish time in every version
+        (redeliveries of one chat message); only the versions of the k newest
+        comments are merged."""
+        order = [F.col("published_at").desc(), F.col("comment_id").desc()]
+        newest = self._newest_keys(self._video("comments", video_id), order, k)
+        latest = M.upsert_latest(newest, "comment_id", ["written_at", "batch_id"])
+        return V.latest_comments(latest, video_id, k)
+
+    def recent_windows(self, video_id: str | None, k: int = S.RECENT_WINDOWS_LIMIT,
+                       rounding: str = "half_up") -> DataFrame:
+        """The latest ``k`` merged windows of a video (oldest first); only the
+        partials of those windows are merged (window starts never change)."""
+        newest = self._newest_keys(self._video("stream_metric", video_id), [F.col("window_start").desc()], k)
+        return V.recent_windows(M.merge_stream_metric(newest, rounding), video_id, k)
+
     # -- change feeds (snapshot, then changes) ---------------------------------
     def metric_changes(self, since_batch: int = -1, stream_id: str | None = None,
                        video_id: str | None = None) -> DataFrame:

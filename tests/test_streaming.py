@@ -307,3 +307,22 @@ def test_app_runs_all_queries_on_one_topic(spark, scratch):
     assert store.stream_metric().agg(F.sum("total_comments")).collect()[0][0] == scored.count()
     assert board_changes(store).count() > 0
     assert spark.read.parquet(store.path("rejects")).count() == 0                 # no malformed records here
+
+
+def test_store_serving_reads_merge_only_the_newest_keys(spark, scratch):
+    from chatmod.operators import serving as V
+
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    for b in range(3):
+        process_batch(scored.where(F.col("offset") % 3 == b), b, store, "s1")
+    process_batch(scored.where(F.col("offset") % 5 == 0), 3, store, "s1")           # redeliveries
+    for video in ("click", None):
+        want = V.latest_comments(store.comments(video), video, 7)
+        got = store.latest_comments(video, 7)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        want = V.recent_windows(store.stream_metric(video_id=video), video, 4)
+        got = store.recent_windows(video, 4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = store.latest_comments("click", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
