@@ -283,6 +283,24 @@ def q_score_documents_model(spark, sf):
     return _score_documents(spark, sf, ModelScorer(lexicon_model_loader))
 
 
+def _turns(spark, sf):
+    """Conversation turns as chat messages (every role, whole texts)."""
+    return spread_for_cpu(views.table(spark, sf, "conversations")
+                          .select("conv_id", "turn", F.col("text").alias("message")))
+
+
+@query("clean_conversations")
+def q_clean_conversations(spark, sf):
+    return _clean(_turns(spark, sf)).select("conv_id", "turn", "message_clean")
+
+
+@query("score_conversations")
+def q_score_conversations(spark, sf):
+    turns = apply_policy(top_label(LexiconScorer().score(_clean(_turns(spark, sf))), "predictions"))
+    return turns.select("conv_id", "turn", *[F.col(f"predictions.{l}").alias(l) for l in S.LABELS],
+                        "toxic_score", "toxic_category", "toxic_label", "recommended_action")
+
+
 @query("score_logits")
 def q_score_logits(spark, sf):
     c = views.comments(spark, sf, with_message=False)

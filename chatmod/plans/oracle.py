@@ -134,6 +134,9 @@ docs_clean as (
                  '(https?://\S+|www\.\S+|\S+@\S+)', '', 'g'), '\s+', ' ', 'g')) as message_clean
   from documents where text is not null)"""
 
+_TURN_CLEAN = _DOC_CLEAN.replace("docs_clean as", "turns_clean as").replace(
+    "select doc_id,", "select conv_id, turn,").replace("from documents", "from conversations")
+
 _LEX = {
     "toxic": "trash|scum", "severe_toxic": "idiot|clown", "threat": "worthless|moron",
     "insult": "pathetic|loser", "identity_hate": "stupid|disgusting",
@@ -289,6 +292,20 @@ select doc_id, toxic, severe_toxic, threat, insult, identity_hate, toxic_score,
        case when toxic_score >= 0.7 then 'Toxic' else 'Not Toxic' end as toxic_label,
        case when toxic_score >= 0.9 then 'Ban' when toxic_score >= 0.7 then 'Hide'
             when toxic_score >= 0.5 then 'Pending' else 'Safe' end as recommended_action
+from top""",
+    "clean_conversations": _with(_TURN_CLEAN) + "select conv_id, turn, message_clean from turns_clean",
+    "score_conversations": _with(_TURN_CLEAN) + """,
+lex as (select conv_id, turn, """ + ", ".join(_lex_score(l) for l in _LEX) + """ from turns_clean),
+top as (select *, greatest(toxic, severe_toxic, threat, insult, identity_hate) as toxic_score from lex)
+select conv_id, turn, toxic, severe_toxic, threat, insult, identity_hate, toxic_score,
+       coalesce(case when abs(toxic - toxic_score) < 1e-6 then 'toxic' end,
+                case when abs(severe_toxic - toxic_score) < 1e-6 then 'severe_toxic' end,
+                case when abs(threat - toxic_score) < 1e-6 then 'threat' end,
+                case when abs(insult - toxic_score) < 1e-6 then 'insult' end,
+                case when abs(identity_hate - toxic_score) < 1e-6 then 'identity_hate' end) as toxic_category,
+       case when toxic_score >= 0.7 then 'Toxic' else 'Not Toxic' end as toxic_label,
+       case when toxic_score >= 0.9 then 'Ban' when toxic_score >= 0.7 then 'Hide'
+            when toxic_score >= 0.5 then 'Pending' else 'Safe' end as recommended_action
 from top""",
     "score_logits": _with() + """
 select comment_id, (toxic_score - 0.5) * 10 as logit, round(1 / (1 + exp(-((toxic_score - 0.5) * 10))), 3) as score
