@@ -349,3 +349,10 @@ def q_extract_video_id(spark, sf):
 @query("extract_video_id_client")
 def q_extract_video_id_client(spark, sf):
     return extract_video_id(views.video_urls(spark, sf), form="client")
+
+
+@query("extract_video_id_pages")
+def q_extract_video_id_pages(spark, sf):
+    # crawled page URLs (query strings, fragments, sub-domains): none is a video link
+    pages = views.table(spark, sf, "pages").select("page_id", "url")
+    return extract_video_id(pages, form="server")

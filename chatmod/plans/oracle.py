@@ -178,6 +178,14 @@ status_log as (
          cast(user_id as varchar) as video_id from events)"""
 
 
+def _page_video_id_sql() -> str:
+    ext = f"regexp_extract(url, '{_SERVER_RE}', 1)"
+    return f"""
+select page_id, url, case when length({ext}) = 11 then {ext} end as video_id,
+       (contains(url, 'youtube.com') or contains(url, 'youtu.be')) as is_video_host
+from pages"""
+
+
 SQL: dict[str, str] = {
     "stream_metric_1m": _with() + _stream_metric("minute"),
     "stream_metric_1h": _with() + _stream_metric("hour"),
@@ -329,4 +337,5 @@ select 'CHAT' as type, comment_id as commentId, video_id as videoId, message, au
 from comments_msg where video_id <> 'error'""",
     "extract_video_id": _video_id_sql(_SERVER_RE, 1),
     "extract_video_id_client": _video_id_sql(_CLIENT_RE, 7),
+    "extract_video_id_pages": _page_video_id_sql(),
 }
