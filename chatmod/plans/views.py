@@ -75,17 +75,17 @@ def comments(spark: SparkSession, sf_dir: str, with_message: bool = True, extra:
     cols = comment_columns() + list(extra or [])
     if not with_message:
         return ev.select(*cols)
-    base = ev.select(*cols, doc_key(spark, sf_dir))
+    base = spread_for_cpu(ev.select(*cols, doc_key(spark, sf_dir)))
     return attach_message(spark, sf_dir, base)
 
 
 def attach_message(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Join the message text onto rows carrying ``doc_key`` (late materialisation:
-    shuffles upstream move the 8-byte key, not the whole text). Either side may
-    end up as the streamed side of the join, so both are spread over the cores
-    when their scan yields fewer splits than cores (a no-op on large inputs)."""
+    shuffles upstream move the 8-byte key, not the whole text). The documents may
+    end up as the streamed side of the join, so a small single-file document
+    table is spread over the cores (a no-op on large inputs)."""
     docs = spread_for_cpu(message_docs(spark, sf_dir))
-    return spread_for_cpu(df).join(docs, on="doc_key", how="inner").drop("doc_key")
+    return df.join(docs, on="doc_key", how="inner").drop("doc_key")
 
 
 def predictions_from_value() -> Column:

@@ -105,19 +105,22 @@ def _small_file_input(df: DataFrame, cores: int) -> bool:
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over every core when its scan cannot use them: fewer
-    partitions than cores, or a small input in fewer files than cores (its row
-    groups, not the split count, bound the read parallelism). CPU-heavy per-row
-    work that follows (whole-text JSON, regex) then runs on all cores.
-
-    Large inputs (many files, or more than ``SPREAD_MAX_BYTES``) are returned
-    unchanged — no extra shuffle at scale. Round-robin repartitioning sorts rows
-    first, so a retried task gets the same rows.
+    """Round-robin a scan-level ``df`` over every core when its input cannot use
+    them: fewer files than cores totalling at most ``SPREAD_MAX_BYTES`` (a row
+    group is never split, so one small file is read by one or a few tasks). The
+    CPU-heavy per-row work that follows (whole-text JSON, regex) then runs on
+    all cores.
+
+    Decided from the input files alone — nothing is planned or run (asking a
+    DataFrame with shuffles for its partition count would run the shuffles).
+    Large inputs are returned unchanged, so at scale it adds nothing. Meant for
+    frames read straight from files: after a shuffle the rows are already spread.
+    Round-robin repartitioning sorts rows first, so a retried task gets the same
+    rows.
     """
     try:
-        n = df.rdd.getNumPartitions()
         cores = df.sparkSession.sparkContext.defaultParallelism
-        spread = n < cores or _small_file_input(df, cores)
-    except Exception:  # noqa: BLE001 - e.g. no RDD / JVM access (Spark Connect): leave as is
+        spread = _small_file_input(df, cores)
+    except Exception:  # noqa: BLE001 - e.g. no JVM access (Spark Connect): leave as is
         return df
     return df.repartition(cores) if spread else df
