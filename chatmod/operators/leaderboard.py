@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmod import schema as S
+from chatmod.session import shared_dir
 
 
 def _bit_length(x: Column) -> Column:
@@ -63,14 +64,17 @@ def board_string(author: Column, total: Column) -> Column:
 
 
 def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str = "video_id",
-                        item: str = "author_id", value: str = "toxic_count", seq: str = "batch_id") -> DataFrame:
+                        item: str = "author_id", value: str = "toxic_count", seq: str = "batch_id",
+                        checkpoint: bool = True) -> DataFrame:
     """Boards that differ from the previous board of the same video.
 
     ``deltas``: rows (video, author, batch, count) — e.g. per-batch user metric
     partials; rows with a null video or batch id belong to no board. Boards are evaluated at the batches where the video changed; the
     first board of a video is always emitted. Output: ``video_id, batch_id,
     leaderboard`` where the board is ``author:total`` joined by commas, rank order
-    (total desc, author asc).
+    (total desc, author asc). ``checkpoint``: write the per-batch deltas once to
+    the shared checkpoint folder (``spark.checkpoint.dir``), so the input is read
+    once although every branch of the plan uses the deltas.
     """
     # explicit null guards: every branch below then carries the same filters, so
     # Spark reuses one exchange for ``d`` instead of recomputing it per branch
@@ -78,6 +82,11 @@ def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str
                .groupBy(key, item, seq)
                .agg(F.sum(value).cast("long").alias("delta"))
                .where(F.col("delta") != 0))
+    if checkpoint:
+        # every branch below reads the deltas: write them once to the shared
+        # checkpoint folder instead of re-reading the input per branch
+        shared_dir(d.sparkSession)
+        d = d.checkpoint(eager=True)
     end = d.select((F.max(seq) + 1).alias("b_end")).scalar()
 
     per_item = Window.partitionBy(key, item).orderBy(seq)

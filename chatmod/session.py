@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stopTimeout": "15s",
     "spark.python.worker.reuse": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files (e.g. leaderboard deltas) are removed once their DataFrame is gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
