@@ -130,14 +130,14 @@ def q_skip_processed_batches(spark, sf):
 @query("upsert_comments")
 def q_upsert_comments(spark, sf):
     c = views.comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
-    latest = M.upsert_latest(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
+    latest = M.upsert_latest(views.with_replay(c), "comment_id", ["batch_id", "kafka_timestamp"])
     return views.attach_message(spark, sf, latest)
 
 
 @query("change_feed_comment")
 def q_change_feed_comment(spark, sf):
     c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
-    first = M.first_delivery(c.unionByName(views.replayed(c)), "comment_id", ["batch_id", "kafka_timestamp"])
+    first = M.first_delivery(views.with_replay(c), "comment_id", ["batch_id", "kafka_timestamp"])
     return views.attach_message(spark, sf, first).select("batch_id", *S.FEED_FIELDS)
 
 

@@ -105,6 +105,17 @@ def replayed(rows: DataFrame) -> DataFrame:
                 .withColumn("kafka_timestamp", F.col("kafka_timestamp") + F.make_dt_interval(hours=F.lit(REPLAY_DELAY_HOURS))))
 
 
+def with_replay(rows: DataFrame) -> DataFrame:
+    """``rows`` plus their redelivery (``replayed``), both made from one read: each
+    row yields its two deliveries through a generator, so the input is scanned
+    once instead of once per side of a union."""
+    redelivered = {"batch_id": F.col("batch_id") + REPLAY_BATCH_OFFSET,
+                   "kafka_timestamp": F.col("kafka_timestamp") + F.make_dt_interval(hours=F.lit(REPLAY_DELAY_HOURS))}
+    first = F.struct(*[F.col(c) for c in rows.columns])
+    second = F.struct(*[redelivered.get(c, F.col(c)).alias(c) for c in rows.columns])
+    return rows.select(F.explode(F.array(first, second)).alias("d")).select("d.*")
+
+
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
