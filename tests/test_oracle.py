@@ -73,3 +73,35 @@ def test_query_types_match_sql(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "toxic_ratio" in df.columns
+
+
+# Queries allowed to run work while being built, and why (all bounded):
+EAGER_ON_BUILD = {
+    "skip_processed_batches": "size check of the ledger before broadcasting it (limit n + 1)",
+    "leaderboard_changes": "per-batch deltas written once with checkpoint(eager=True)",
+}
+
+
+def test_building_a_query_runs_no_job(spark):
+    """Building a query must not execute it (e.g. by asking a shuffled frame for its
+    partition count); only the bounded, documented exceptions above may."""
+    sc = spark.sparkContext
+    for name, build in E.queries().items():
+        group = f"build-{name}"
+        sc.setJobGroup(group, group)
+        try:
+            build(spark, SF)
+        finally:
+            sc.setJobGroup("", "")
+        if name in EAGER_ON_BUILD:
+            continue
+        work = [j for j in sc.statusTracker().getJobIdsForGroup(group) if not _schema_job(sc, j)]
+        assert work == [], f"{name} ran {len(work)} job(s) while being built"
+
+
+def _schema_job(sc, job_id):
+    """Reading a Parquet table starts a small footer job for schema inference
+    (its stages are named after the ``parquet`` call): metadata, not the query."""
+    info = sc.statusTracker().getJobInfo(job_id)
+    stages = [sc.statusTracker().getStageInfo(s) for s in info.stageIds]
+    return all(st is not None and st.name.startswith("parquet at ") for st in stages)
