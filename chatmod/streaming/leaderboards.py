@@ -94,6 +94,23 @@ def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream
         updated.unpersist()
 
 
+def current_boards(store: PartialStore, stream_id: str, video_id: str | None = None,
+                   table: str = BOARDS) -> DataFrame | None:
+    """The latest board of each video (or one video) as maintained by the stream:
+    rows (video_id, rank, author_id, toxic_count) — the leaderboard part of a
+    dashboard snapshot, read from at most k rows per video instead of being
+    recomputed from the author metrics. None before the first board."""
+    rows = store.partials(table)
+    if rows is None:
+        return None
+    rows = rows.where(F.col("stream_id") == stream_id)
+    if video_id is not None:
+        rows = rows.where(F.col("video_id") == video_id)
+    latest = rows.groupBy("video_id").agg(F.max("batch_id").alias("batch_id"))
+    return (rows.join(latest, on=["video_id", "batch_id"], how="left_semi")
+                .select("video_id", "rank", "author_id", "toxic_count"))
+
+
 def board_changes(store: PartialStore, stream_id: str | None = None, table: str = BOARDS) -> DataFrame:
     """The change feed: one row per (stream, batch, video) whose board changed."""
     rows = store.raw(table)

@@ -67,3 +67,20 @@ def test_in_batch_leaderboards_equal_batch_changes(spark, scratch):
                     .agg(F.count(F.lit(1)).alias("toxic_count")))
     want = {(r.video_id, r.batch_id, r.leaderboard) for r in leaderboard_changes(deltas).collect()}
     assert got == want and {b for _, b, _ in got} == {0, 1, 2}
+
+
+def test_current_boards_equal_recomputed_leaderboards(spark, scratch):
+    from chatmod.operators.serving import author_totals, top_authors_all
+    from chatmod.streaming.leaderboards import current_boards
+
+    store = PartialStore(spark, os.path.join(scratch, "store"))
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    scored = scored.withColumn("toxic_score", F.when(F.col("offset") % 4 == 0, 0.95).otherwise(0.1))
+    for b in range(3):
+        process_batch(scored.where(F.col("offset") % 3 == b), b, store, "s1", leaderboards=True)
+    got = {tuple(r) for r in current_boards(store, "s1", table="leaderboard_changes").collect()}
+    want = {(r.video_id, r.rank, r.author_id, r.toxic_count)
+            for r in top_authors_all(author_totals(store.user_metric())).collect()}
+    assert got == want and len(got) > 0
+    click = {tuple(r) for r in current_boards(store, "s1", "click", table="leaderboard_changes").collect()}
+    assert click == {x for x in want if x[0] == "click"}
