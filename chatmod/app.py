@@ -56,6 +56,8 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--source", choices=["kafka", "json", "parquet"], default="kafka")
     p.add_argument("--path", help="folder of topic-record files (file sources)")
     p.add_argument("--bootstrap-servers", help="kafka.bootstrap.servers (Kafka source)")
+    p.add_argument("--option", action="append", default=[], metavar="KEY=VALUE",
+                   help="source option, repeatable (e.g. maxOffsetsPerTrigger=100000, minPartitions=64)")
     p.add_argument("--store", help="root of the tables (default: under spark.checkpoint.dir)")
     p.add_argument("--trigger", default=S.TRIGGER_INTERVAL, help="processing-time trigger, e.g. '10 seconds'")
     p.add_argument("--available-now", action="store_true", help="process what is there, then stop")
@@ -65,7 +67,9 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> list[StreamingQuery]:
     args = parse_args(argv)
     spark = spark or build_session(app_name="chatmod")
-    options = {"kafka.bootstrap.servers": args.bootstrap_servers} if args.bootstrap_servers else {}
+    options = dict(o.split("=", 1) for o in args.option)
+    if args.bootstrap_servers:
+        options["kafka.bootstrap.servers"] = args.bootstrap_servers
     store = PartialStore(spark, args.store) if args.store else None
     trigger = {"availableNow": True} if args.available_now else {"processingTime": args.trigger}
     queries = start_all(spark, args.source, args.path, options, store, trigger)
