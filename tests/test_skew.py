@@ -79,3 +79,23 @@ def test_messages_come_from_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.xxhash64("text").alias("h")).distinct().count()
     assert c.count() == spark.read.parquet(f"{SF}/events.parquet").count()   # every event has its message
     assert used == docs and n_docs == 1000
+
+
+def _first_line(plan, *words):
+    lines = plan.split("\n")
+    return next(i for i, line in enumerate(lines) if all(w in line for w in words))
+
+
+def test_text_joins_after_the_shuffle_and_the_top_k(spark):
+    """Late materialisation: upserts aggregate narrow rows and top-k feeds rank them;
+    the document text is joined above (after) those steps, never shuffled or sorted."""
+    import __spark_entry__ as E
+
+    q = E.queries()
+    upsert = _plan(q["upsert_comments"](spark, SF))
+    assert _first_line(upsert, "Join", "doc_key") < _first_line(upsert, "Aggregate", "comment_id")
+    top = _plan(q["video_comments"](spark, SF))
+    assert _first_line(top, "Join", "doc_key") < _first_line(top, "TakeOrderedAndProject")
+    feed = _plan(q["rolling_feed"](spark, SF))
+    assert _first_line(feed, "Join", "doc_key") < _first_line(feed, "WindowGroupLimit")
+    assert "doc_key" not in _plan(q["feed_count"](spark, SF))          # a count never joins the text
