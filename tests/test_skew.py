@@ -99,3 +99,15 @@ def test_text_joins_after_the_shuffle_and_the_top_k(spark):
     feed = _plan(q["rolling_feed"](spark, SF))
     assert _first_line(feed, "Join", "doc_key") < _first_line(feed, "WindowGroupLimit")
     assert "doc_key" not in _plan(q["feed_count"](spark, SF))          # a count never joins the text
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    import __spark_entry__ as E
+
+    q = E.queries()
+    top = _plan(q["video_comments"](spark, SF))
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in top
+    for name in ("stream_metric_1m", "user_metric_1m", "merge_stream_metric", "author_totals"):
+        plan = _plan(q[name](spark, SF))
+        scans = [line for line in plan.split("\n") if "FileScan parquet" in line or "ReadSchema" in line]
+        assert scans and all("props" not in s and "text" not in s for s in scans), name
