@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmod import schema as S
+from chatmod.operators.merge import present
 from chatmod.session import shared_dir
 
 
@@ -69,7 +70,7 @@ def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str
     """Boards that differ from the previous board of the same video.
 
     ``deltas``: rows (video, author, batch, count) — e.g. per-batch user metric
-    partials; rows with a null video or batch id belong to no board. Boards are evaluated at the batches where the video changed; the
+    partials; rows without a video id, author id or batch id belong to no board. Boards are evaluated at the batches where the video changed; the
     first board of a video is always emitted. Output: ``video_id, batch_id,
     leaderboard`` where the board is ``author:total`` joined by commas, rank order
     (total desc, author asc). ``checkpoint``: write the per-batch deltas once to
@@ -78,7 +79,7 @@ def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str
     """
     # explicit null guards: every branch below then carries the same filters, so
     # Spark reuses one exchange for ``d`` instead of recomputing it per branch
-    d = (deltas.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
+    d = (deltas.where(present(key, item) & F.col(seq).isNotNull())
                .groupBy(key, item, seq)
                .agg(F.sum(value).cast("long").alias("delta"))
                .where(F.col("delta") != 0))

@@ -22,6 +22,16 @@ USER_KEY = ["video_id", "author_id", "window_start"]
 LEDGER_BROADCAST_ROWS = 100_000
 
 
+def present(*cols: str) -> Column:
+    """Every key column set: not null and not empty (change events without their
+    video — or author — id reach no dashboard)."""
+    cond = None
+    for c in cols:
+        ok = F.col(c).isNotNull() & (F.col(c) != "")
+        cond = ok if cond is None else cond & ok
+    return cond
+
+
 def _version(df: DataFrame) -> Column:
     return F.coalesce(F.col("version"), F.lit(1)) if "version" in df.columns else F.lit(1)
 
@@ -163,4 +173,4 @@ def metric_change_feed(partials: DataFrame, key: Sequence[str] = STREAM_KEY,
         F.when(F.row_number().over(w) == 1, F.lit("insert")).otherwise(F.lit("update")).alias("op"),
         *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(running).cast("long").alias(c) for c in additive],
     )
-    return out.where(F.col("op").isin(*ops) & F.col("video_id").isNotNull() & (F.col("video_id") != ""))
+    return out.where(F.col("op").isin(*ops) & present("video_id"))

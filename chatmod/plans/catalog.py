@@ -138,7 +138,7 @@ def q_upsert_comments(spark, sf):
 def q_change_feed_comment(spark, sf):
     c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
     first = M.first_delivery(views.with_replay(c), "comment_id", ["batch_id", "kafka_timestamp"])
-    return views.attach_message(spark, sf, first).select("batch_id", *S.FEED_FIELDS)
+    return views.attach_message(spark, sf, first.where(M.present("video_id"))).select("batch_id", *S.FEED_FIELDS)
 
 
 @query("change_feed_metric")

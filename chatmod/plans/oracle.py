@@ -210,7 +210,7 @@ select comment_id, video_id, author_id, author_name, author_image, published_at,
 from comments_msg""",
     "change_feed_comment": _with() + f"""
 select batch_id, {_FEED_COLS}
-from scored_comments""",
+from scored_comments where video_id is not null and video_id <> ''""",
     "change_feed_metric": _with(_STREAM_PARTS_DAY) + """
 select batch_id, video_id, window_start,
        case when row_number() over w = 1 then 'insert' else 'update' end as op,
@@ -230,7 +230,8 @@ select video_id, rank, '#' || cast(rank as varchar) as rank_label, author_id, au
        least(toxic_count / coalesce(nullif(max(toxic_count) over (partition by video_id), 0), 1) * 100, 100.0) as share_pct
 from top_all""",
     "leaderboard_changes": _with(_USER_1M_PARTS) + """,
-d as (select video_id, author_id, batch_id, sum(toxic_count) as delta from user_1m group by 1, 2, 3),
+d as (select video_id, author_id, batch_id, sum(toxic_count) as delta from user_1m
+      where video_id <> '' and author_id <> '' group by 1, 2, 3),
 q as (select distinct video_id, batch_id from d),
 c as (select q.video_id, q.batch_id, d.author_id, sum(d.delta) as cum
       from q join d on d.video_id = q.video_id and d.batch_id <= q.batch_id group by 1, 2, 3),

@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatmod import schema as S
 from chatmod.operators.leaderboard import board_string
+from chatmod.operators.merge import present
 from chatmod.operators.serving import leader_order, top_k_per_video
 from chatmod.session import bounded_broadcast
 from chatmod.streaming.store import PartialStore
@@ -38,7 +39,7 @@ TOUCHED_VIDEOS_BROADCAST_ROWS = 100_000
 def toxic_totals(scored: DataFrame, threshold: float = S.USER_TOXIC_THRESHOLD) -> DataFrame:
     """Running toxic comment count per (video, author) — the sum over windows of the
     author metric's ``toxic_count``. On a stream, run it in update mode."""
-    return (scored.where(F.col("toxic_score") >= threshold)
+    return (scored.where((F.col("toxic_score") >= threshold) & present("video_id", "author_id"))
                   .groupBy("video_id", "author_id")
                   .agg(F.count(F.lit(1)).cast("long").alias("toxic_count")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatmod import schema as S
 from chatmod.operators.serving import author_totals, top_authors_all
+from chatmod.operators.merge import present
 from chatmod.session import bounded_broadcast
 from chatmod.streaming.leaderboards import update_boards
 from chatmod.streaming.store import PartialStore, _exists
@@ -101,7 +102,7 @@ def emit_leaderboard_changes(store: PartialStore, batch: DataFrame, stream_id: s
     summed from the author partials (semi-joined on those authors), and the new
     board is the top k of the previous board plus them (``update_boards``), so
     the work follows the batch, not the history of its videos."""
-    touched = (batch.where(F.col("toxic_score") >= threshold)
+    touched = (batch.where((F.col("toxic_score") >= threshold) & present("video_id", "author_id"))
                     .select("video_id", "author_id").distinct())
     touched = bounded_broadcast(touched, TOUCHED_AUTHORS_BROADCAST_ROWS)
     totals = (store.partials("user_metric")

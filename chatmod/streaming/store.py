@@ -197,7 +197,7 @@ class PartialStore:
         if stream_id is not None:
             parts = parts.where(F.col("stream_id") == stream_id)
         first = M.first_delivery(parts, "comment_id", ["written_at", "batch_id"])
-        return first.where(F.col("batch_id") > since_batch)
+        return first.where((F.col("batch_id") > since_batch) & M.present("video_id"))
 
     # -- compaction ----------------------------------------------------------
     def compact(self, table: str, snap: int) -> None:

@@ -64,3 +64,17 @@ def test_top_k_share_and_enrich(spark):
     assert (rich["b"].author_name, rich["b"].author_image) == ("Unknown", "img")
     assert (rich["z"].author_name, rich["z"].author_image) == ("Unknown", "")
     assert [r.author_id for r in V.top_authors(totals, "v", k=2).collect()] == ["a", "b"]
+
+
+def test_rows_without_video_or_author_reach_no_board(spark):
+    from chatmod.operators.leaderboard import leaderboard_changes
+    from pyspark.sql import functions as F
+
+    from chatmod.streaming.leaderboards import toxic_totals
+
+    deltas = spark.createDataFrame(
+        [("v", "a", 0, 1), ("v", "", 0, 9), ("v", None, 0, 9), ("", "b", 0, 9), (None, "b", 0, 9)],
+        "video_id string, author_id string, batch_id long, toxic_count long")
+    assert [(r.video_id, r.leaderboard) for r in leaderboard_changes(deltas, checkpoint=False).collect()] == [("v", "a:1")]
+    scored = deltas.withColumn("toxic_score", F.lit(0.95))
+    assert [(r.video_id, r.author_id) for r in toxic_totals(scored).collect()] == [("v", "a")]
