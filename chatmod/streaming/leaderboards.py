@@ -20,6 +20,8 @@ tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +71,15 @@ def update_boards(updated: DataFrame, batch_id: int, store: PartialStore, stream
                   k: int = S.LEADERBOARD_SIZE, table: str = BOARDS) -> None:
     """``foreachBatch`` body: ``updated`` holds the new totals (video_id, author_id,
     toxic_count) of the authors this batch changed; write the boards that changed."""
+    spark = updated.sparkSession
     if stream_id is None:
-        stream_id = updated.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
-    updated = updated.select("video_id", "author_id", "toxic_count").persist(StorageLevel.MEMORY_AND_DISK)
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    # Cut the lineage to the stateful operator: the changed totals are written once
+    # (one folder per stream, overwritten by every batch, so a replay rewrites it)
+    # and read back, so a lost executor never re-runs the state update mid-batch.
+    staged = f"{store.path(table)}__changed/{re.sub(r'[^A-Za-z0-9_.-]', '_', stream_id)}"
+    updated.select("video_id", "author_id", "toxic_count").write.mode("overwrite").parquet(staged)
+    updated = spark.read.parquet(staged).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if updated.isEmpty():
             return
