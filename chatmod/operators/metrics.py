@@ -75,12 +75,21 @@ def user_metric_partials(df: DataFrame, window: str = S.METRIC_WINDOW, ts_col: s
     is applied per partial — i.e. per batch when ``keys`` holds the batch id.
     """
     toxic = F.col("toxic_score") >= threshold
-    out = (df.groupBy(*keys, F.window(ts_col, window).alias("window"), "video_id", "author_id")
-             .agg(F.max("author_name").alias("author_name"),
-                  F.max("author_image").alias("author_image"),
-                  F.count("comment_id").alias("total_comments"),
-                  F.sum(_flag(toxic)).alias("toxic_count"),
-                  F.max(F.when(toxic, F.col("published_at"))).alias("last_violation_time")))
+    group = [*keys, F.window(ts_col, window).alias("window"), "video_id", "author_id"]
+    # String max needs a sort-based aggregate, which would sort every raw row in
+    # each task. So the raw rows are hash-aggregated with name and image as part
+    # of the key (an author has one or a few), and only those few rows per group
+    # go through the string max.
+    per_name = (df.groupBy(*group, "author_name", "author_image")
+                  .agg(F.count("comment_id").alias("total_comments"),
+                       F.sum(_flag(toxic)).alias("toxic_count"),
+                       F.max(F.when(toxic, F.col("published_at"))).alias("last_violation_time")))
+    out = (per_name.groupBy(*keys, "window", "video_id", "author_id")
+                   .agg(F.max("author_name").alias("author_name"),
+                        F.max("author_image").alias("author_image"),
+                        F.sum("total_comments").cast("long").alias("total_comments"),
+                        F.sum("toxic_count").cast("long").alias("toxic_count"),
+                        F.max("last_violation_time").alias("last_violation_time")))
     if only_toxic:
         out = out.where(F.col("toxic_count") > 0)
     return out.select(
