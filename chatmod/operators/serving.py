@@ -154,10 +154,15 @@ def leaderboard_view(top: DataFrame) -> DataFrame:
 
 
 def author_lookup(rows: DataFrame, order_col: str = "kafka_timestamp") -> DataFrame:
-    """Global author → (name, avatar), last write wins."""
-    return (rows.groupBy("author_id")
-            .agg(F.max_by(F.struct(F.col("author_name").alias("name"),
-                                   F.col("author_image").alias("avatar")), order_col).alias("a"))
+    """Global author → (name, avatar), last write wins.
+
+    The raw rows are hash-aggregated per (author, name, avatar) to their latest
+    time; the latest of those few rows per author is then picked, so raw rows
+    are never sorted (``max_by`` of strings is a sort-based aggregate)."""
+    latest = (rows.groupBy("author_id", F.col("author_name").alias("name"), F.col("author_image").alias("avatar"))
+                  .agg(F.max(order_col).alias("at")))
+    return (latest.groupBy("author_id")
+            .agg(F.max_by(F.struct("name", "avatar"), "at").alias("a"))
             .select("author_id", "a.name", "a.avatar"))
 
 
