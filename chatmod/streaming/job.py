@@ -22,6 +22,7 @@ from chatmod import schema as S
 from chatmod.functions.policy import apply_policy, top_label
 from chatmod.functions.scoring import LexiconScorer, Scorer
 from chatmod.functions.text import clean_messages
+from chatmod.operators.merge import first_delivery
 from chatmod.operators.metrics import stream_metric_partials, user_metric_partials
 from chatmod.sources.topic import comment_rejects, decode_comments, parse_published_at
 from chatmod.session import spread_for_cpu
@@ -51,11 +52,17 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
                   window: str = S.METRIC_WINDOW, dedup_within_batch: bool = False,
                   leaderboards: bool = False) -> None:
     """Write one micro-batch's partials (comments → channel metrics → author metrics),
-    then, with ``leaderboards=True``, the leaderboards this batch changed."""
+    then, with ``leaderboards=True``, the leaderboards this batch changed.
+
+    By default a comment delivered twice in a batch is counted twice, as the
+    original sink does; ``dedup_within_batch=True`` keeps each comment's earliest
+    delivery (by topic time, then offset) — a deterministic choice, so a retried
+    batch keeps the same copy."""
     if stream_id is None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
     if dedup_within_batch:
-        batch = batch.dropDuplicates(["comment_id"])
+        order = [c for c in ("kafka_timestamp", "offset") if c in batch.columns]
+        batch = first_delivery(batch, "comment_id", order)
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cols = [c for c in COMMENT_COLUMNS if c in batch.columns]
@@ -73,7 +80,7 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
 def start_stream(spark: SparkSession, records: DataFrame, store: PartialStore | None = None,
                  checkpoint: str | None = None, trigger: dict | None = None, scorer: Scorer | None = None,
                  window: str = S.METRIC_WINDOW, query_name: str | None = None,
-                 leaderboards: bool = False) -> StreamingQuery:
+                 leaderboards: bool = False, dedup_within_batch: bool = False) -> StreamingQuery:
     """Start the comment stream. ``records`` is a streaming topic DataFrame
     (``read_comment_stream``); ``trigger`` defaults to a 10-second processing-time trigger."""
     store = store or PartialStore(spark)
@@ -84,7 +91,8 @@ def start_stream(spark: SparkSession, records: DataFrame, store: PartialStore |
         # here, so a batch read by fewer tasks than cores (one file per trigger, a
         # topic with few partitions) is spread before the whole-text work.
         scored = transform_comments(decode_comments(spread_for_cpu(batch), stamp_processing_time=True), scorer)
-        process_batch(scored, batch_id, store, window=window, leaderboards=leaderboards)
+        process_batch(scored, batch_id, store, window=window, leaderboards=leaderboards,
+                      dedup_within_batch=dedup_within_batch)
 
     writer = (records.writeStream
               .foreachBatch(run)

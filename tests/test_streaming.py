@@ -366,3 +366,21 @@ def test_batch_that_fails_half_written_is_redone_once_after_restart(spark, scrat
     assert _same(store.user_metric(), users_exp, USER_COLS)
     assert store.comments().count() == scored.count()
     assert store.raw("stream_metric").select("batch_id").distinct().count() == 3
+
+
+def test_redelivered_comments_in_a_batch_count_twice_unless_deduplicated(spark, scratch):
+    scored = transform_comments(decode_comments(views.topic_records(spark, SF)))
+    copies = scored.where(F.col("offset") % 10 == 0).withColumn("offset", F.col("offset") + 100000)
+    batch = scored.unionByName(copies)
+    plain = PartialStore(spark, os.path.join(scratch, "plain"))
+    dedup = PartialStore(spark, os.path.join(scratch, "dedup"))
+    process_batch(batch, 0, plain, "s1")
+    process_batch(batch, 0, dedup, "s1", dedup_within_batch=True)
+
+    def total(store):
+        return store.stream_metric().agg(F.sum("total_comments")).collect()[0][0]
+
+    assert total(plain) == scored.count() + copies.count()          # as the original sink counts
+    assert total(dedup) == scored.count()
+    kept = {r.comment_id: r.offset for r in dedup.comments().select("comment_id", "offset").collect()}
+    assert all(o < 100000 for o in kept.values())                  # the earliest delivery is kept
