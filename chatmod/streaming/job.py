@@ -13,6 +13,8 @@ watermark, which the partial design never does.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +68,17 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cols = [c for c in COMMENT_COLUMNS if c in batch.columns]
+        # the comment write fills the cache; the two metric writes then read the
+        # cached batch and run as concurrent jobs (small, latency-bound)
         store.write(batch.select(*cols), "comments", stream_id, batch_id)
-        store.write(stream_metric_partials(batch, window, sketch=True), "stream_metric", stream_id, batch_id)
         only_toxic = store.user_filter_scope == "batch"
-        store.write(user_metric_partials(batch, window, only_toxic=only_toxic), "user_metric", stream_id, batch_id)
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            jobs = [pool.submit(store.write, stream_metric_partials(batch, window, sketch=True), "stream_metric",
+                                stream_id, batch_id),
+                    pool.submit(store.write, user_metric_partials(batch, window, only_toxic=only_toxic), "user_metric",
+                                stream_id, batch_id)]
+            for job in jobs:
+                job.result()                     # a failed write fails the batch
         if leaderboards:
             from chatmod.streaming.sinks import emit_leaderboard_changes
             emit_leaderboard_changes(store, batch, stream_id, batch_id)
