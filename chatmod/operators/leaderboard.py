@@ -60,6 +60,17 @@ def _cover_nodes(s: Column, e: Column) -> Column:
     return F.filter(F.flatten(F.transform(levels, per_level)), keep)
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once under ``spark.checkpoint.dir``; unchanged (same result,
+    the input is then read per branch) where a session offers no checkpointing,
+    e.g. a client without a configured folder."""
+    try:
+        shared_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    except Exception:  # noqa: BLE001 - checkpointing is an optimisation here, never a change of result
+        return df
+
+
 def board_string(author: Column, total: Column) -> Column:
     return F.concat(author, F.lit(":"), total.cast("string"))
 
@@ -86,8 +97,7 @@ def leaderboard_changes(deltas: DataFrame, k: int = S.LEADERBOARD_SIZE, key: str
     if checkpoint:
         # every branch below reads the deltas: write them once to the shared
         # checkpoint folder instead of re-reading the input per branch
-        shared_dir(d.sparkSession)
-        d = d.checkpoint(eager=True)
+        d = _checkpointed(d)
     end = d.select((F.max(seq) + 1).alias("b_end")).scalar()
 
     per_item = Window.partitionBy(key, item).orderBy(seq)
