@@ -86,15 +86,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 SPREAD_MAX_BYTES = 512 * 1024 * 1024
 
 
-def _small_file_input(df: DataFrame, cores: int) -> bool:
-    """True when ``df`` reads fewer files than cores, totalling ≤ SPREAD_MAX_BYTES.
+SPREAD_BYTES_PER_TASK = 1024 * 1024   # at least this much input per spread partition
+
+
+def _small_input_bytes(df: DataFrame, cores: int) -> int | None:
+    """Total input bytes when ``df`` reads fewer files than cores, totalling at
+    most ``SPREAD_MAX_BYTES``; None otherwise.
 
     A Parquet row group is never split, so one small file with one row group is
     read by one task whatever the split count says. Only file lengths are looked
     up (metadata), and only for fewer files than cores."""
     files = df.inputFiles()
     if not files or len(files) >= cores:
-        return False
+        return None
     sc = df.sparkSession.sparkContext
     conf, fs_path = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
     total = 0
@@ -102,16 +106,17 @@ def _small_file_input(df: DataFrame, cores: int) -> bool:
         p = fs_path(f)
         total += p.getFileSystem(conf).getFileStatus(p).getLen()
         if total > SPREAD_MAX_BYTES:
-            return False
-    return True
+            return None
+    return total
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin a scan-level ``df`` over every core when its input cannot use
+    """Round-robin a scan-level ``df`` over the cores when its input cannot use
     them: fewer files than cores totalling at most ``SPREAD_MAX_BYTES`` (a row
     group is never split, so one small file is read by one or a few tasks). The
     CPU-heavy per-row work that follows (whole-text JSON, regex) then runs on
-    all cores.
+    up to every core, with at least ``SPREAD_BYTES_PER_TASK`` of input per task
+    (so a wide cluster does not get thousands of near-empty tasks).
 
     Decided from the input files alone — nothing is planned or run (asking a
     DataFrame with shuffles for its partition count would run the shuffles).
@@ -122,7 +127,10 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        spread = _small_file_input(df, cores)
+        total = _small_input_bytes(df, cores)
     except Exception:  # noqa: BLE001 - e.g. no JVM access (Spark Connect): leave as is
         return df
-    return df.repartition(cores) if spread else df
+    if total is None:
+        return df
+    parts = min(cores, -(-total // SPREAD_BYTES_PER_TASK))
+    return df.repartition(parts) if parts > 1 else df

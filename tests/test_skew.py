@@ -111,3 +111,13 @@ def test_filters_and_columns_reach_the_scan(spark):
         plan = _plan(q[name](spark, SF))
         scans = [line for line in plan.split("\n") if "FileScan parquet" in line or "ReadSchema" in line]
         assert scans and all("props" not in s and "text" not in s for s in scans), name
+
+
+def test_spread_keeps_a_minimum_of_input_per_task(spark, monkeypatch):
+    from chatmod import session
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")     # about 15 MB
+    monkeypatch.setattr(session, "SPREAD_BYTES_PER_TASK", 10 * 1024 * 1024)
+    assert session.spread_for_cpu(docs).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(session, "SPREAD_BYTES_PER_TASK", 100 * 1024 * 1024)
+    assert "RoundRobinPartitioning" not in _plan(session.spread_for_cpu(docs))   # one task's worth: left as is
