@@ -58,10 +58,10 @@ def doc_count(spark: SparkSession, sf_dir: str) -> Column:
 def message_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a message (doc_key, message).
 
-    No broadcast hint: the documents grow with the data, so the join is a
-    shuffle join on ``doc_key`` (uniform: event ids modulo the document count),
-    which AQE turns into a broadcast join only when the measured shuffle output
-    is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
+    No broadcast hint: the documents grow with the data, so the join strategy
+    comes from sizes — a shuffle join on ``doc_key`` (uniform: event ids modulo
+    the document count) unless the planner's estimate or AQE's measured shuffle
+    output puts one side under the broadcast threshold."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("message"))
 
 
@@ -99,20 +99,24 @@ def scored_comments(spark: SparkSession, sf_dir: str, with_message: bool = True,
     return apply_policy(top_label(base.drop("toxic_score"), "predictions"))
 
 
+def _redelivery() -> dict[str, Column]:
+    """Columns that differ when a consumer restarted from the earliest offset."""
+    return {"batch_id": F.col("batch_id") + REPLAY_BATCH_OFFSET,
+            "kafka_timestamp": F.col("kafka_timestamp") + F.make_dt_interval(hours=F.lit(REPLAY_DELAY_HOURS))}
+
+
 def replayed(rows: DataFrame) -> DataFrame:
     """The same rows redelivered by a consumer that restarted from the earliest offset."""
-    return (rows.withColumn("batch_id", F.col("batch_id") + REPLAY_BATCH_OFFSET)
-                .withColumn("kafka_timestamp", F.col("kafka_timestamp") + F.make_dt_interval(hours=F.lit(REPLAY_DELAY_HOURS))))
+    return rows.withColumns(_redelivery())
 
 
 def with_replay(rows: DataFrame) -> DataFrame:
     """``rows`` plus their redelivery (``replayed``), both made from one read: each
     row yields its two deliveries through a generator, so the input is scanned
     once instead of once per side of a union."""
-    redelivered = {"batch_id": F.col("batch_id") + REPLAY_BATCH_OFFSET,
-                   "kafka_timestamp": F.col("kafka_timestamp") + F.make_dt_interval(hours=F.lit(REPLAY_DELAY_HOURS))}
+    changed = _redelivery()
     first = F.struct(*[F.col(c) for c in rows.columns])
-    second = F.struct(*[redelivered.get(c, F.col(c)).alias(c) for c in rows.columns])
+    second = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns])
     return rows.select(F.explode(F.array(first, second)).alias("d")).select("d.*")
 
 
