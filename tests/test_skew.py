@@ -121,3 +121,32 @@ def test_spread_keeps_a_minimum_of_input_per_task(spark, monkeypatch):
     assert session.spread_for_cpu(docs).rdd.getNumPartitions() == 2
     monkeypatch.setattr(session, "SPREAD_BYTES_PER_TASK", 100 * 1024 * 1024)
     assert "RoundRobinPartitioning" not in _plan(session.spread_for_cpu(docs))   # one task's worth: left as is
+
+
+def test_a_comment_delivered_as_a_third_of_all_rows_is_upserted_whole(spark):
+    """A group of copies holding a third of the rows: the upsert combines copies in
+    every task before the shuffle (partial aggregate) and keeps one latest row."""
+    from chatmod.operators import merge as M
+
+    c = views.comments(spark, SF, with_message=False)
+    hot = c.withColumn("comment_id", F.when(F.col("comment_id").cast("long") % 3 == 0, F.lit("hot"))
+                       .otherwise(F.col("comment_id")))
+    latest = M.upsert_latest(hot, "comment_id", ["batch_id", "kafka_timestamp"])
+    plan = _plan(latest)
+    assert "partial_max_by" in plan                                       # combined map-side
+    n_other = c.where(F.col("comment_id").cast("long") % 3 != 0).count()
+    assert latest.count() == n_other + 1
+    want = hot.where(F.col("comment_id") == "hot").orderBy(F.col("batch_id").desc(), F.col("kafka_timestamp").desc()).first()
+    got = latest.where(F.col("comment_id") == "hot").first()
+    assert (got.batch_id, got.kafka_timestamp) == (want.batch_id, want.kafka_timestamp)
+
+
+def test_one_document_behind_a_third_of_the_comments(spark):
+    """A hot message (one document behind a third of the comments) keeps every row."""
+    c = views.comments(spark, SF, with_message=False, extra=[views.doc_key(spark, SF)])
+    hot = c.withColumn("doc_key", F.when(F.col("comment_id").cast("long") % 3 == 0, F.lit(0).cast("long"))
+                       .otherwise(F.col("doc_key")))
+    joined = views.attach_message(spark, SF, hot)
+    assert joined.count() == c.count()
+    doc0 = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 0").first().text
+    assert joined.where(F.col("message") == doc0).count() >= c.count() // 3
