@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmod import schema as S
-from chatmod.operators.serving import author_totals, top_authors_all
 from chatmod.operators.merge import present
+from chatmod.operators.serving import author_totals, top_authors_all
 from chatmod.session import bounded_broadcast
 from chatmod.streaming.leaderboards import update_boards
-from chatmod.streaming.store import PartialStore
+from chatmod.streaming.store import PartialStore, _delete, _subdirs
 
 
 def write_keyed_messages(df: DataFrame, fmt: str = "kafka", path: str | None = None, topic: str = S.TOPIC,
@@ -34,6 +36,12 @@ class StatusLog:
     as the next generation, so a trim that dies half-way leaves an uncommitted
     folder that nobody reads, and the previous generation stays whole. One
     writer at a time (appends and trims of one log are not concurrent).
+
+    Appends also land in ``<root>/feed``, an append-only folder in blocks of
+    ``capacity`` sequence numbers, which ``read_stream`` follows (new events
+    only, from where a checkpoint left off). ``trim`` deletes the feed blocks
+    that lie wholly before the oldest kept event, so, as with a length-capped
+    stream, a reader lagging more than the log's capacity misses trimmed events.
     """
 
     def __init__(self, spark: SparkSession, root: str, capacity: int = S.STATUS_LOG_CAPACITY):
@@ -60,8 +68,19 @@ class StatusLog:
     def append(self, events: DataFrame) -> None:
         """``events``: type, live_chat_id, video_id, seq (a monotonically increasing id)."""
         gens = self._generations()
-        events.select("seq", "type", "live_chat_id", "video_id").write.mode("append") \
-              .parquet(self._path(gens[-1] if gens else 0))
+        rows = events.select("seq", "type", "live_chat_id", "video_id").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            rows.write.mode("append").parquet(self._path(gens[-1] if gens else 0))
+            (rows.withColumn("block", F.floor(F.col("seq") / self.capacity).cast("long"))
+                 .write.mode("append").partitionBy("block").parquet(f"{self.root}/feed"))
+        finally:
+            rows.unpersist()
+
+    def read_stream(self) -> DataFrame:
+        """The status events as an unbounded stream (the push side of the log)."""
+        schema = T.StructType(S.STATUS_LOG_SCHEMA.fields + [T.StructField("block", T.LongType(), True)])
+        return (self.spark.readStream.schema(schema).parquet(f"{self.root}/feed")
+                .select("seq", "type", "live_chat_id", "video_id"))
 
     def read(self) -> DataFrame:
         gens = self._generations()
@@ -76,7 +95,13 @@ class StatusLog:
             return self.read()
         keep = self.read().orderBy(F.col("seq").desc()).limit(self.capacity)
         keep.write.mode("overwrite").parquet(self._path(gens[-1] + 1))
-        return self.read()
+        kept = self.read()
+        oldest = kept.select(F.min("seq")).first()[0]   # one scalar
+        if oldest is not None:
+            for block, path in _subdirs(self.spark, f"{self.root}/feed", "block"):
+                if block.lstrip("-").isdigit() and (int(block) + 1) * self.capacity <= oldest:
+                    _delete(self.spark, path)
+        return kept
 
 
 def leaderboards_for(store: PartialStore, videos: DataFrame, k: int = S.LEADERBOARD_SIZE) -> DataFrame:

@@ -84,3 +84,30 @@ def test_current_boards_equal_recomputed_leaderboards(spark, scratch):
     assert got == want and len(got) > 0
     click = {tuple(r) for r in current_boards(store, "s1", "click", table="leaderboard_changes").collect()}
     assert click == {x for x in want if x[0] == "click"}
+
+
+def test_status_log_stream_follows_appends_across_trims(spark, scratch):
+    root = os.path.join(scratch, "status")
+    log = StatusLog(spark, root, capacity=5)
+    out, ckpt = os.path.join(scratch, "pushed"), os.path.join(scratch, "ckpt")
+    schema = "seq long, type string, live_chat_id string, video_id string"
+
+    def rows(lo, hi):
+        return spark.createDataFrame([(i, "running", f"chat{i % 2}", f"v{i % 2}") for i in range(lo, hi)], schema)
+
+    def push():
+        q = (log.read_stream().writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        assert q.exception() is None
+        return sorted(r.seq for r in spark.read.parquet(out).collect())
+
+    log.append(rows(0, 12))
+    assert push() == list(range(12))
+    log.append(rows(12, 15))
+    assert push() == list(range(15))                       # only the new events, once
+    assert sorted(r.seq for r in log.trim().collect()) == [10, 11, 12, 13, 14]
+    blocks = sorted(d for d in os.listdir(os.path.join(root, "feed")) if d.startswith("block="))
+    assert blocks == ["block=2"]                           # blocks before seq 10 are gone
+    log.append(rows(15, 17))
+    assert push() == list(range(17))
