@@ -123,3 +123,13 @@ def test_kafka_reader_options(spark, monkeypatch):
                     "startingOffsets": "earliest", "failOnDataLoss": "false", "minPartitions": "12",
                     "kafka.bootstrap.servers": "b:9092"}
     assert read_comment_stream(spark, "kafka")["minPartitions"] == str(spark.sparkContext.defaultParallelism)
+
+
+def test_processing_time_stamp_p5(spark):
+    good = {"commentId": "c1", "videoId": "v1", "message": "hi", "authorId": "a", "authorImage": "",
+            "authorName": "n", "publishedAt": "2024-01-01T00:00:00Z"}
+    out = decode_comments(_records(spark, [json.dumps(good)]), stamp_processing_time=True)
+    assert dict(out.dtypes)["processing_time"] == "timestamp"
+    row = out.collect()[0]
+    assert row.processing_time is not None and row.comment_id == "c1"
+    assert "processing_time" not in decode_comments(_records(spark, [json.dumps(good)])).columns
