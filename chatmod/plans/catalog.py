@@ -194,6 +194,14 @@ def q_video_comments(spark, sf):
     return views.attach_message(spark, sf, top).select(*S.SERVED_COMMENT_FIELDS)
 
 
+@query("video_comments_all")
+def q_video_comments_all(spark, sf):
+    # newest 100 per video for every video: partial window-group limit, then the text for the survivors
+    c = views.scored_comments(spark, sf, with_message=False, extra=[views.doc_key(spark, sf)])
+    top = V.latest_comments(c, None, carry=["doc_key"])
+    return views.attach_message(spark, sf, top).select("video_id", *S.SERVED_COMMENT_FIELDS)
+
+
 def _feed_rows(spark, sf, with_message=True):
     extra = [] if with_message else [views.doc_key(spark, sf)]
     cols = S.FEED_FIELDS if with_message else [c for c in S.FEED_FIELDS if c != "message"] + ["doc_key"]
@@ -226,6 +234,12 @@ def q_recent_windows(spark, sf):
     return V.recent_windows(metrics, SERVED_VIDEO)
 
 
+@query("recent_windows_all")
+def q_recent_windows_all(spark, sf):
+    metrics = stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour")
+    return V.recent_windows(metrics, None)
+
+
 @query("upsert_recent_windows")
 def q_upsert_recent_windows(spark, sf):
     feed = M.metric_change_feed(_stream_partials(spark, sf, "1 hour"))

@@ -251,6 +251,15 @@ from top_all t left join authors a on t.author_id = a.author_id""",
     "video_comments": _with() + """
 select comment_id, author_name, message, toxic_label, toxic_category, recommended_action, published_at
 from scored_comments where video_id = 'click' order by published_at desc, comment_id desc limit 100""",
+    "video_comments_all": _with() + """
+select video_id, comment_id, author_name, message, toxic_label, toxic_category, recommended_action, published_at
+from (select *, row_number() over (partition by video_id order by published_at desc, comment_id desc) as rn
+      from scored_comments) where rn <= 100""",
+    "recent_windows_all": _with() + """
+select video_id, window_start, total_comments, coalesce(toxic_count, 0) as toxic_count, toxic_ratio,
+       coalesce(unique_viewers, 0) as unique_viewers
+from (select *, row_number() over (partition by video_id order by window_start desc) as rn
+      from (""" + _stream_metric("hour") + """)) where rn <= 20""",
     "rolling_feed": _with() + f"""
 select {_FEED_COLS}, batch_id from scored_comments where video_id = 'click'
 order by batch_id desc, published_at desc, comment_id desc limit 100""",

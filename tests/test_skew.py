@@ -99,6 +99,9 @@ def test_text_joins_after_the_shuffle_and_the_top_k(spark):
     feed = _plan(q["rolling_feed"](spark, SF))
     assert _first_line(feed, "Join", "doc_key") < _first_line(feed, "WindowGroupLimit")
     assert "doc_key" not in _plan(q["feed_count"](spark, SF))          # a count never joins the text
+    every = _plan(q["video_comments_all"](spark, SF))
+    assert _first_line(every, "Join", "doc_key") < _first_line(every, "WindowGroupLimit")
+    assert "Partial" in every
 
 
 def test_filters_and_columns_reach_the_scan(spark):
