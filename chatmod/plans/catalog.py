@@ -217,6 +217,14 @@ def q_rolling_feed(spark, sf):
     return views.attach_message(spark, sf, feed).select(*S.FEED_FIELDS, "batch_id")
 
 
+@query("rolling_feed_all")
+def q_rolling_feed_all(spark, sf):
+    # every video's feed at once: per-video top 100 (partial window-group limit), text for the survivors only
+    rows = _feed_rows(spark, sf, with_message=False)
+    feed = V.rolling_feed(rows, None, carry=["doc_key"])
+    return views.attach_message(spark, sf, feed).select(*S.FEED_FIELDS, "batch_id", "position")
+
+
 @query("feed_view")
 def q_feed_view(spark, sf):
     return V.feed_view(_feed_rows(spark, sf).where(F.col("video_id") == SERVED_VIDEO))
@@ -246,6 +254,12 @@ def q_upsert_recent_windows(spark, sf):
     return V.upsert_recent_windows(feed, SERVED_VIDEO)
 
 
+@query("upsert_recent_windows_all")
+def q_upsert_recent_windows_all(spark, sf):
+    feed = M.metric_change_feed(_stream_partials(spark, sf, "1 hour"))
+    return V.upsert_recent_windows(feed, None)
+
+
 @query("latest_status")
 def q_latest_status(spark, sf):
     return V.latest_status(views.status_log(spark, sf))

@@ -263,6 +263,18 @@ from (select *, row_number() over (partition by video_id order by window_start d
     "rolling_feed": _with() + f"""
 select {_FEED_COLS}, batch_id from scored_comments where video_id = 'click'
 order by batch_id desc, published_at desc, comment_id desc limit 100""",
+    "rolling_feed_all": _with() + f"""
+select {_FEED_COLS}, batch_id, position from (
+  select *, cast(row_number() over (partition by video_id order by batch_id desc, published_at desc, comment_id desc)
+                 as integer) as position
+  from scored_comments) where position <= 100""",
+    "upsert_recent_windows_all": _with(_STREAM_PARTS_HOUR) + """
+select video_id, window_start, total_comments, toxic_count, unique_viewers from (
+  select video_id, window_start, cast(sum(total_comments) as bigint) as total_comments,
+         cast(coalesce(sum(toxic_count), 0) as bigint) as toxic_count,
+         cast(coalesce(sum(unique_viewers), 0) as bigint) as unique_viewers,
+         row_number() over (partition by video_id order by window_start desc) as rn
+  from stream_parts group by 1, 2) where rn <= 20""",
     "feed_view": _with() + """
 select comment_id, video_id, author_id, author_name, author_image, message, published_at, toxic_label,
        case when toxic_label = 'Toxic' then toxic_category end as toxic_category,
