@@ -116,3 +116,21 @@ def test_single_pass_lexicon_equals_per_label(spark):
     b = {r.id: r.p for r in df.select("id", one.predictions(F.col("message_clean")).alias("p")).collect()}
     assert a == b
     assert many.score(df).count() == len(texts)
+
+
+def test_model_scorer_fused_nfc(spark):
+    """``normalize=True`` applies NFC inside the model's own Python hop: decomposed
+    text scores as its composed form; a null text scores as the empty text."""
+    import unicodedata
+
+    composed = ["café idiot", "naïve trash", None]
+    decomposed = [unicodedata.normalize("NFD", t) if t else t for t in composed]
+    assert decomposed[0] != composed[0]
+    schema = "id int, message_clean string"
+    fused = ModelScorer(lexicon_model_loader, normalize=True).score(
+        spark.createDataFrame(list(enumerate(decomposed)), schema))
+    plain = ModelScorer(lexicon_model_loader).score(
+        spark.createDataFrame([(i, t if t is not None else "") for i, t in enumerate(composed)], schema))
+    got = {r.id: tuple(r.predictions) for r in fused.collect()}
+    want = {r.id: tuple(r.predictions) for r in plain.collect()}
+    assert got == want
