@@ -134,3 +134,18 @@ def test_model_scorer_fused_nfc(spark):
     got = {r.id: tuple(r.predictions) for r in fused.collect()}
     want = {r.id: tuple(r.predictions) for r in plain.collect()}
     assert got == want
+
+
+def test_whole_texts_are_scored(spark):
+    """A lexicon word after 20,000 words still counts; the model scorer sees past the
+    128 tokens the original truncated to (truncation only on request)."""
+    from chatmod.functions.text import clean_messages
+
+    long_text = "fine " * 20000 + "idiot"
+    df = spark.createDataFrame([(0, long_text)], "id int, message string")
+    lex = LexiconScorer().score(clean_messages(df)).collect()[0]
+    assert lex.predictions.severe_toxic == 0.5
+    cleaned = clean_messages(df)
+    whole = ModelScorer(lexicon_model_loader).score(cleaned).collect()[0].predictions
+    cut = ModelScorer(lexicon_model_loader, max_tokens=S.MODEL_MAX_TOKENS).score(cleaned).collect()[0].predictions
+    assert whole.severe_toxic > cut.severe_toxic
