@@ -35,9 +35,15 @@ def extract_video_id(df: DataFrame, url_col: str = "url", form: str = "server")
 
     Rows with a null id are the rejects; ``video_id_rejects`` selects them.
     """
-    fn = video_id_server if form == "server" else video_id_client
+    pattern, group = ((S.VIDEO_ID_PATTERN_SERVER, 1) if form == "server" else (S.VIDEO_ID_PATTERN_CLIENT, 7))
     url = F.col(url_col)
-    return df.withColumn("video_id", fn(url)).withColumn("is_video_host", is_video_host(url))
+    # the regex runs once per row: its result gets its own projection before the
+    # length check reads it twice
+    cand = "__video_id_candidate"
+    return (df.withColumn(cand, F.regexp_extract(url, pattern, group))
+              .withColumn("video_id", _valid(F.col(cand)))
+              .withColumn("is_video_host", is_video_host(url))
+              .drop(cand))
 
 
 def video_id_rejects(extracted: DataFrame) -> DataFrame:
