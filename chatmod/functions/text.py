@@ -63,5 +63,13 @@ def clean_text(col: Column, normalize: bool = True) -> Column:
 
 def clean_messages(df: DataFrame, message_col: str = "message", out_col: str = "message_clean",
                    normalize: bool = True) -> DataFrame:
-    """Drop rows without a message and add the cleaned text column."""
-    return df.dropna(subset=[message_col]).withColumn(out_col, clean_text(F.col(message_col), normalize))
+    """Drop rows without a message and add the cleaned text column (``clean_text``).
+
+    The normalised, lower-cased text gets its own projection first: the link and
+    e-mail checks and the replacement all read it, and inside one conditional
+    expression Spark would otherwise recompute it for each use."""
+    text = nfc(F.col(message_col)) if normalize else F.coalesce(F.col(message_col), F.lit(""))
+    tmp = f"__{out_col}_lower"
+    lowered = df.dropna(subset=[message_col]).withColumn(tmp, F.lower(text))
+    cleaned = F.trim(F.regexp_replace(strip_garbage(F.col(tmp)), WHITESPACE_PATTERN, " "))
+    return lowered.withColumn(out_col, cleaned).drop(tmp)
