@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.util import inheritable_thread_target
 
 from chatmod import schema as S
 from chatmod.functions.policy import apply_policy, top_label
@@ -72,10 +73,13 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
         # cached batch and run as concurrent jobs (small, latency-bound)
         store.write(batch.select(*cols), "comments", stream_id, batch_id)
         only_toxic = store.user_filter_scope == "batch"
+        # the writer threads inherit this thread's job properties (the query's job
+        # group among them), so stopping the query cancels their jobs too
+        write = inheritable_thread_target(batch.sparkSession)(store.write)
         with ThreadPoolExecutor(max_workers=2) as pool:
-            jobs = [pool.submit(store.write, stream_metric_partials(batch, window, sketch=True), "stream_metric",
+            jobs = [pool.submit(write, stream_metric_partials(batch, window, sketch=True), "stream_metric",
                                 stream_id, batch_id),
-                    pool.submit(store.write, user_metric_partials(batch, window, only_toxic=only_toxic), "user_metric",
+                    pool.submit(write, user_metric_partials(batch, window, only_toxic=only_toxic), "user_metric",
                                 stream_id, batch_id)]
             for job in jobs:
                 job.result()                     # a failed write fails the batch
