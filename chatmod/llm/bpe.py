@@ -292,8 +292,14 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
         machine = Transducer(read_ranks(path))
         pieces = regex.compile(pattern)
 
-        def encode(chunks: list[bytes]) -> list[list[int]]:
-            return [[i for piece in pieces.findall(c.decode("utf-8")) for i in machine.encode(piece.encode("utf-8"))] for c in chunks]
+        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids: list[int] = []
+            ends = [0]
+            for chunk in chunks:
+                for piece in pieces.findall(chunk.decode("utf-8")):
+                    ids += machine.encode(piece.encode("utf-8"))
+                ends.append(len(ids))
+            return np.array(ids, np.uint32), np.diff(ends)
 
         _WORKER.clear()
         _WORKER[path, pattern] = ChunkEncoder(encode), machine

@@ -14,7 +14,7 @@ import numpy as np
 
 from chatmod.llm.spans import SPACES, U64, Bytes, equal_spans, ramp, slices
 
-TABLE_ROWS = 1 << 20        # distinct chunks a worker remembers; then it starts over
+TABLE_ROWS = 3 << 19        # distinct chunks a worker remembers; then it starts over
 
 # UTF-8 of the white space beyond ASCII (Unicode White_Space)
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -56,9 +56,9 @@ class _Blob:
 
 
 class ChunkEncoder:
-    """Ids of texts by a function that encodes distinct chunks (list of bytes to list of id lists)."""
+    """Ids of texts by a function that encodes distinct chunks: all their ids, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self._clear()
 
@@ -83,10 +83,9 @@ class ChunkEncoder:
         new = np.flatnonzero(row < 0)
         if len(new):
             raw = data.data.tobytes()
-            made = self.encode([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+            ids, size = self.encode([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
             row[new] = np.arange(len(new)) + len(self.at) - 1
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(size)])
             self.blob = _Blob(np.concatenate([self.blob.data, data.data[ramp(start[new], length[new])]]))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length[new])])

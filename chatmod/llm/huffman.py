@@ -83,13 +83,11 @@ class Code:
         return out
 
 
-def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int, np.ndarray]:
-    """Bit strings (the low ``lengths`` bits of values, 1 to 64 each) one after the other:
-    (bytes, number of bits, offset of each string)."""
-    offset = np.cumsum(lengths) - lengths
-    total = int(lengths.sum())
-    out = np.zeros(total // 64 + 2, U64)
-    if total:
+def place(values: np.ndarray, lengths: np.ndarray, offset: np.ndarray, words: int) -> np.ndarray:
+    """Bit strings (the low ``lengths`` bits of values, 1 to 64 each) at ascending bit offsets of ``words`` big-endian
+    words. No two strings share a bit."""
+    out = np.zeros(words + 1, U64)
+    if len(values):
         word, room = offset >> 6, 64 - (offset & 63)
         over = lengths - room
         fits = over <= 0
@@ -98,4 +96,11 @@ def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int, np.ndarra
         out[word[starts]] = np.add.reduceat(here, starts)
         cut = np.flatnonzero(~fits)
         out[word[cut] + 1] += values[cut] << (64 - over[cut]).astype(U64)
-    return out.astype(">u8").tobytes()[:-(-total // 8)], total, offset
+    return out[:words].astype(">u8")
+
+
+def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int, np.ndarray]:
+    """Bit strings one after the other: (bytes, number of bits, offset of each string)."""
+    offset = np.cumsum(lengths) - lengths
+    total = int(lengths.sum())
+    return place(values, lengths, offset, -(-total // 64)).tobytes()[:-(-total // 8)], total, offset

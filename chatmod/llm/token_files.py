@@ -2,7 +2,7 @@
 
 1. Texts are tokenised (the tokenizers library) into a table of ids, the end id appended to each.
 2. Ids are counted over the whole corpus; the counts fix one canonical code of at most ``LIMIT`` bits.
-3. Each document becomes a bit string with a checkpoint (bit offset) every ``STRIDE`` ids. Documents are dealt
+3. Each document becomes a bit string with a checkpoint (bits since the last one) every ``STRIDE`` ids. Documents are dealt
    to ranges of the id by percentiles, sorted, and joined to blocks of about ``BLOCK_IDS`` ids.
 
 A set of files is a folder: ``code`` (id, length), ``blocks`` (one row per block: its range, its number
@@ -15,38 +15,63 @@ they occur; null ids come first; an empty table makes empty files. Extra columns
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatmod.llm.chunks import ChunkEncoder
-from chatmod.llm.huffman import Code, code_lengths, pack
-from chatmod.llm.spans import utf8
+from chatmod.llm.huffman import Code, code_lengths, pack, place
+from chatmod.llm.spans import ramp, utf8
 from chatmod.session import shared_dir
 
 LIMIT = 16              # bits of the longest code (at least the bits of the vocabulary's size)
-STRIDE = 512            # ids between checkpoints
-BLOCK_IDS = 1 << 16
+STRIDE = 128            # ids between checkpoints
+BLOCK_IDS = 1 << 18
 RANGES_PER_PARTITION = 4
 
+# Fixed value: how the byte-level pre-tokenizer splits texts
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECES = 1000           # pieces handed to the tokenizer as one sequence
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def _tokenizer(path: str) -> ChunkEncoder:
+    """Encoder of a tokenizer file. Distinct chunks are split here and passed on as pieces, many at once, if the
+    file's pre-tokenizer is the plain byte-level one; else each is a text of its own."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
-
-        def encode(chunks: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
+        setup = json.loads(tokenizer.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if setup["normalizer"] is None and plain.items() <= (setup["pre_tokenizer"] or {}).items():
+            tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            split = regex.compile(PATTERN).findall
+            n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            for token, i in tokenizer.get_vocab().items():
+                n_bytes[i] = len(token)             # the byte-level alphabet has a character per byte
+
+            def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                pieces = [piece for chunk in chunks for piece in split(chunk.decode("utf-8"))]
+                parts = [pieces[i:i + PIECES] for i in range(0, len(pieces), PIECES)]
+                made = tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
+                ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
+                ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(c) for c in chunks])) + 1    # tokens cover all bytes
+                return ids, np.diff(ends, prepend=0)
+        else:
+            def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                made = [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
+                return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made])
 
         _ENCODERS.clear()
         _ENCODERS[path] = ChunkEncoder(encode)
@@ -98,31 +123,37 @@ def _bits(lengths: np.ndarray, bounds: list):
             known = np.flatnonzero(~np.asarray(doc.is_null()))
             if len(bounds) and len(known):
                 part[known] = np.searchsorted(np.array(bounds), doc.take(pa.array(known)).to_numpy(zero_copy_only=False), "left")
-            rows, n_bits, marks = [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                raw, total, offset = code.encode(ids[a:b])
-                rows.append(raw)
-                n_bits.append(total)
-                marks.append(offset[::STRIDE].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), doc, batch.column("tie"), pa.array(np.diff(at)), pa.array(n_bits, pa.int64()),
-                 pa.array(marks, pa.binary()), pa.array(rows, pa.binary())],
-                names=["part", "doc_id", "tie", "n_tokens", "n_bits", "marks", "bits"])
+            # every document starts at a word of 64 bits
+            length = code.lengths[ids]
+            end = np.concatenate([[0], np.cumsum(length)])
+            n_bits = np.diff(end[at])
+            word = np.concatenate([[0], np.cumsum(-(-n_bits // 64))])
+            shift = 64 * word[:-1] - end[at[:-1]]
+            n = np.diff(at)
+            packed = place(code.codes[ids], length, end[:-1] + np.repeat(shift, n), int(word[-1]))
+            segments = -(-n // STRIDE)
+            mark = ramp(np.zeros(len(n), np.int64), segments) * STRIDE + np.repeat(at[:-1], segments)
+            until = np.minimum(mark + STRIDE, np.repeat(at[1:], segments))
+            marks = (end[until] - end[mark]).astype("<u2")
+            mark_at = np.concatenate([[0], np.cumsum(segments)])
+            rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * word).astype(np.int32)), pa.py_buffer(packed)])
+            marks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * mark_at).astype(np.int32)), pa.py_buffer(marks)])
+            yield pa.RecordBatch.from_arrays([pa.array(part), doc, batch.column("tie"), pa.array(n), pa.array(n_bits), marks, rows],
+                                             names=["part", "doc_id", "tie", "n_tokens", "n_bits", "marks", "bits"])
 
     return bits
 
 
-def _join(strings: list[bytes], n_bits: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bit strings one after the other, and where each starts."""
+def _join(strings: list[bytes], n_bits: np.ndarray) -> bytes:
+    """Bit strings, each filled up to words of 64 bits, one right after the other."""
     words = -(-n_bits // 64)
-    raw = b"".join(s + b"\0" * (-len(s) % 8) for s in strings)
-    value = np.frombuffer(raw, ">u8").astype(np.uint64)
+    value = np.frombuffer(b"".join(strings), ">u8").astype(np.uint64)
     length = np.full(len(value), 64, np.int64)
     last = np.cumsum(words) - 1
     some = words > 0
     length[last[some]] = (n_bits - 64 * (words - 1))[some]
     value = value >> (64 - length).astype(np.uint64)
-    return pack(value, length)[0], np.cumsum(n_bits) - n_bits
+    return pack(value, length)[0]
 
 
 _BLOCK_DDL = "part int, block int, start long, doc_ids array<{}>, n_tokens array<long>, n_bits long, marks binary, bits binary"
@@ -138,12 +169,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block():
         nonlocal held, size, number, start
         n = np.array([h[1] for h in held], np.int64)
-        bits, offset = _join([h[4] for h in held], np.array([h[2] for h in held], np.int64))
-        marks = np.concatenate([np.frombuffer(h[3], "<i8") + o for h, o in zip(held, offset.tolist())])
+        bits = _join([h[4] for h in held], np.array([h[2] for h in held], np.int64))
+        marks = b"".join(h[3] for h in held)
         out = pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "start": pa.array([start], pa.int64()),
             "doc_ids": pa.array([[h[0] for h in held]], pa.list_(kind)), "n_tokens": pa.array([n.tolist()], pa.list_(pa.int64())),
-            "n_bits": pa.array([sum(h[2] for h in held)], pa.int64()), "marks": pa.array([marks.astype("<i8").tobytes()], pa.binary()),
+            "n_bits": pa.array([sum(h[2] for h in held)], pa.int64()), "marks": pa.array([marks], pa.binary()),
             "bits": pa.array([bits], pa.binary())})
         start, number, held, size = start + size, number + 1, [], 0
         return out
@@ -204,7 +235,8 @@ def _read(lengths: np.ndarray, base: dict[int, int]):
                 last = np.cumsum(segments) - 1
                 count = np.full(int(segments.sum()), STRIDE, np.int64)
                 count[last] = n - STRIDE * (segments - 1)
-                ids = code.decode(batch.column("bits")[row].as_py(), np.frombuffer(batch.column("marks")[row].as_py(), "<i8"), count)
+                marks = np.frombuffer(batch.column("marks")[row].as_py(), "<u2").astype(np.int64)
+                ids = code.decode(batch.column("bits")[row].as_py(), np.cumsum(marks) - marks, count)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 start = base[batch.column("part")[row].as_py()] + batch.column("start")[row].as_py() + ends[:-1]
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
