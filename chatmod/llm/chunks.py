@@ -14,6 +14,7 @@ import numpy as np
 
 from chatmod.llm.spans import SPACES, U64, Bytes, equal_spans, ramp, slices
 
+SLICE_BYTES = 4 << 20       # texts that share one look-up in the table
 TABLE_ROWS = 3 << 19        # distinct chunks a worker remembers; then it starts over
 
 # UTF-8 of the white space beyond ASCII (Unicode White_Space)
@@ -96,7 +97,7 @@ class ChunkEncoder:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Per slice of rows: lo, hi, all ids, and the place of each row's first id (one more at the end)."""
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, SLICE_BYTES):
             if len(self.at) > TABLE_ROWS:
                 self._clear()
             part, at = Bytes(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1] - offsets[lo]

@@ -35,7 +35,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -52,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
+        size = -(-n // (1 << 20)) << 20
         for i, r in enumerate((_RADIX, pow(_RADIX, -1, 1 << 64))):
             p = np.full(size, U64(r))
             p[0] = 1

@@ -34,7 +34,7 @@ WINDOW = 35             # words
 MINIMIZER_WORDS = 8
 CELL_BITS = 16          # table of minimiser frequencies: 2**16 counts, whatever the input
 FREQUENT_SHARE = 8192   # a cell is frequent above 1/8192 of all runs of words (so at most 8192 cells are)
-FLUSH_BYTES = 48 << 20  # packed strings a task holds before it sends them
+FLUSH_BYTES = 24 << 20  # packed strings a task holds before it sends them
 BUCKETS_PER_PARTITION = 16
 
 
