@@ -31,6 +31,7 @@ MOVE_SUB = 64           # and of the moves of a round
 def _numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with a gapless number from 0 within ``keys``, in an arbitrary but fixed order."""
     sub = df.withColumn("__sub", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SUB)).cast("int"))
+    sub = sub.repartition(*keys, "__sub")       # rows dealt by the keys alone would meet in one task
     counts = sub.groupBy(*keys, "__sub").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
