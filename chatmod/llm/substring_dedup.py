@@ -31,7 +31,7 @@ from chatmod.llm.frames import row_keys
 from chatmod.llm.spans import SPACES, U64, Words, ramp, sliding_min, slices, utf8
 
 WINDOW = 35             # words
-MINIMIZER_WORDS = 8
+MINIMIZER_WORDS = 4
 CELL_BITS = 16          # table of minimiser frequencies: 2**16 counts, whatever the input
 FREQUENT_SHARE = 8192   # a cell is frequent above 1/8192 of all runs of words (so at most 8192 cells are)
 FLUSH_BYTES = 24 << 20  # packed strings a task holds before it sends them
@@ -98,7 +98,7 @@ class _Buckets:
                 blobs.setdefault(int(bucket[order[a]]), []).append(
                     [c[a:b].tobytes() for c in columns] + [packed[byte[a]:byte[b]].tobytes()])
         self.parts, self.held = [], 0
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for bucket, parts in blobs.items():
             fields = [b"".join(column) for column in zip(*parts)]
             head = np.array([len(x) for x in fields], np.int64).tobytes()
