@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from chatmod.llm.chunks import ChunkEncoder
 from chatmod.llm.spans import ramp, utf8
 
-MOST_STATES = 50_000        # determinised states a worker builds
-MOST_FITS = 500_000         # judged token pairs a worker keeps
+MOST_STATES = 30_000        # determinised states a worker builds
+MOST_FITS = 150_000         # judged token pairs a worker keeps
+TABLE_ROWS = 1 << 19        # distinct chunks a worker remembers
+FEED = 1 << 16              # ids decoded at a time
 NEVER = 1 << 62
 
 
@@ -254,8 +256,8 @@ class Utf8Stream:
     def __init__(self, decoder: Decoder):
         self.decoder, self.state, self.held = decoder, 0, b""
 
-    def feed(self, ids: np.ndarray) -> str:
-        """The text known after these ids; broken bytes come out as U+FFFD."""
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The bytes of all characters known after these ids; broken bytes count as characters."""
         ids = np.asarray(ids, np.int64)
         steps = self.decoder.steps
         odd = np.flatnonzero(steps[ids, 0])          # tokens after which a reader that was between characters is not
@@ -277,11 +279,12 @@ class Utf8Stream:
         else:
             self.held += rest
         self.state = state
-        return known.decode("utf-8", "replace")
+        return known
 
-    def finish(self) -> str:
+    def finish(self) -> bytes:
+        """What is left: the bytes of an unfinished character."""
         out, self.held, self.state = self.held, b"", 0
-        return out.decode("utf-8", "replace")
+        return out
 
 
 _WORKER: dict[tuple[str, str], tuple[ChunkEncoder, Transducer]] = {}
@@ -302,7 +305,7 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
             return np.array(ids, np.uint32), np.diff(ends)
 
         _WORKER.clear()
-        _WORKER[path, pattern] = ChunkEncoder(encode), machine
+        _WORKER[path, pattern] = ChunkEncoder(encode, TABLE_ROWS), machine
     return _WORKER[path, pattern][0]
 
 
@@ -324,18 +327,20 @@ def _encode(path: str, pattern: str, text: str):
     return encode
 
 
-def _decode(path: str):
+def _decode(path: str, text: bool):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
         for batch in batches:
-            raw, text = [], []
+            raw = []
             for ids in batch.column("ids"):
                 ids = np.frombuffer(ids.as_py() or b"", "<u4").astype(np.int64)
-                raw.append(decoder.bytes(ids).tobytes())
                 stream = Utf8Stream(decoder)
-                text.append("".join([stream.feed(ids[a:a + 65536]) for a in range(0, len(ids), 65536)]) + stream.finish())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary()), pa.array(text, pa.string())],
-                                             names=[*batch.schema.names, "decoded", "decoded_text"])
+                raw.append(b"".join([stream.feed(ids[a:a + FEED]) for a in range(0, len(ids), FEED)]) + stream.finish())
+            columns, names = [*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"]
+            if text:
+                columns.append(pa.array([b.decode("utf-8", "replace") for b in raw], pa.string()))
+                names.append("decoded_text")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return decode
 
@@ -347,8 +352,22 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     return rows.mapInArrow(_encode(ranks_path, pattern, text_col), schema)
 
 
-def decode_ids(rows: DataFrame, ranks_path: str) -> DataFrame:
-    """``rows`` with decoded (the bytes of ``ids``) and decoded_text."""
-    rows = rows.drop("decoded", "decoded_text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())])
-    return rows.mapInArrow(_decode(ranks_path), schema)
+def decode_ids(rows: DataFrame, ranks_path: str, text: bool = True) -> DataFrame:
+    """``rows`` with decoded (the bytes of ``ids``) and, if wanted, decoded_text."""
+    rows = rows.drop("decoded", *["decoded_text"] * text)
+    return rows.mapInArrow(_decode(ranks_path, text), _decoded_schema(rows.schema, text))
+
+
+def _decoded_schema(schema: T.StructType, text: bool) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType()), *[T.StructField("decoded_text", T.StringType())] * text])
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, ids and decoded: encoding and decoding in one pass through Python."""
+    rows = docs.drop("n_tokens", "ids", "decoded")
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decode(ranks_path, False)(_encode(ranks_path, pattern, text_col)(batches))
+
+    return rows.mapInArrow(both, _decoded_schema(schema, False))

@@ -59,8 +59,8 @@ class _Blob:
 class ChunkEncoder:
     """Ids of texts by a function that encodes distinct chunks: all their ids, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], table_rows: int = TABLE_ROWS):
+        self.encode, self.table_rows = encode, table_rows
         self._clear()
 
     def _clear(self):
@@ -98,7 +98,7 @@ class ChunkEncoder:
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Per slice of rows: lo, hi, all ids, and the place of each row's first id (one more at the end)."""
         for lo, hi in slices(offsets, SLICE_BYTES):
-            if len(self.at) > TABLE_ROWS:
+            if len(self.at) > self.table_rows:
                 self._clear()
             part, at = Bytes(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1] - offsets[lo]
             start = chunk_starts(part.data, at)
