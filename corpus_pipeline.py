@@ -37,7 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.decode_ids(bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
+    encoded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return encoded.select(*docs.columns, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
