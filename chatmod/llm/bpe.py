@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chatmod.llm.chunks import ChunkEncoder
-from chatmod.llm.spans import ramp, utf8
+from chatmod.llm.spans import frugal, ramp, utf8
 
 MOST_STATES = 30_000        # determinised states a worker builds
 MOST_FITS = 150_000         # judged token pairs a worker keeps
 TABLE_ROWS = 1 << 19        # distinct chunks a worker remembers
+SLICE_BYTES = 1 << 20       # of text encoded at a time
 FEED = 1 << 16              # ids decoded at a time
 NEVER = 1 << 62
 
@@ -305,7 +306,7 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
             return np.array(ids, np.uint32), np.diff(ends)
 
         _WORKER.clear()
-        _WORKER[path, pattern] = ChunkEncoder(encode, TABLE_ROWS), machine
+        _WORKER[path, pattern] = ChunkEncoder(encode, TABLE_ROWS, SLICE_BYTES), machine
     return _WORKER[path, pattern][0]
 
 
@@ -349,13 +350,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
     rows = docs.drop("n_tokens", "ids")
     schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(_encode(ranks_path, pattern, text_col), schema)
+    return rows.mapInArrow(frugal(_encode(ranks_path, pattern, text_col)), schema)
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, text: bool = True) -> DataFrame:
     """``rows`` with decoded (the bytes of ``ids``) and, if wanted, decoded_text."""
     rows = rows.drop("decoded", *["decoded_text"] * text)
-    return rows.mapInArrow(_decode(ranks_path, text), _decoded_schema(rows.schema, text))
+    return rows.mapInArrow(frugal(_decode(ranks_path, text)), _decoded_schema(rows.schema, text))
 
 
 def _decoded_schema(schema: T.StructType, text: bool) -> T.StructType:
@@ -367,6 +368,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     rows = docs.drop("n_tokens", "ids", "decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
+    @frugal
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _decode(ranks_path, False)(_encode(ranks_path, pattern, text_col)(batches))
 

@@ -14,7 +14,7 @@ import numpy as np
 
 from chatmod.llm.spans import SPACES, U64, Bytes, equal_spans, ramp, slices
 
-SLICE_BYTES = 4 << 20       # texts that share one look-up in the table
+SLICE_BYTES = 2 << 20       # texts that share one look-up in the table
 TABLE_ROWS = 3 << 19        # distinct chunks a worker remembers; then it starts over
 
 # UTF-8 of the white space beyond ASCII (Unicode White_Space)
@@ -59,8 +59,8 @@ class _Blob:
 class ChunkEncoder:
     """Ids of texts by a function that encodes distinct chunks: all their ids, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], table_rows: int = TABLE_ROWS):
-        self.encode, self.table_rows = encode, table_rows
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], table_rows: int = TABLE_ROWS, slice_bytes: int = SLICE_BYTES):
+        self.encode, self.table_rows, self.slice_bytes = encode, table_rows, slice_bytes
         self._clear()
 
     def _clear(self):
@@ -97,7 +97,7 @@ class ChunkEncoder:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Per slice of rows: lo, hi, all ids, and the place of each row's first id (one more at the end)."""
-        for lo, hi in slices(offsets, SLICE_BYTES):
+        for lo, hi in slices(offsets, self.slice_bytes):
             if len(self.at) > self.table_rows:
                 self._clear()
             part, at = Bytes(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1] - offsets[lo]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmod.llm.spans import LOWER, U64, Words, equal_spans, ramp, slices, utf8
+from chatmod.llm.spans import LOWER, U64, equal_spans, frugal, ramp, slices, utf8, Words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -180,10 +180,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     what stands between them; null unless ``clean``)."""
     rows = docs.drop(*RESULT.fieldNames())
     rows = rows.select("*", F.lit(None).cast("array<int>").alias("__hit"), F.lit(None).cast("array<string>").alias("__item"))
-    for shared in _blocks(benchmark, item_id, item_text, block_bytes):
-        rows = rows.mapInArrow(_scan(shared, window, text_col), rows.schema)
+    *earlier, last = (_scan(shared, window, text_col) for shared in _blocks(benchmark, item_id, item_text, block_bytes))
+    for scan in earlier:
+        rows = rows.mapInArrow(frugal(scan), rows.schema)
+    finish = _finish(text_col, clean)
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("__hit", "__item")] + RESULT.fields)
-    return rows.mapInArrow(_finish(text_col, clean), schema)
+    return rows.mapInArrow(frugal(lambda batches: finish(last(batches))), schema)
 
 
 def contaminated() -> Column:

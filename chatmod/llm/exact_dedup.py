@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmod.llm.frames import cut, row_keys
-from chatmod.llm.spans import SPACES, U64, Bytes, slices, utf8
+from chatmod.llm.spans import SPACES, U64, frugal, slices, utf8, Bytes
 
 ROLL = 48                                   # bytes that decide on a cut
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384    # chunk sizes in bytes: least, mean (as a power of two), most
@@ -75,6 +75,7 @@ def _id(content: bytes, size: int) -> bytes:
 
 
 def _chunks(size: int):
+    @frugal
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, key, at, ends, _ in _key_forms(batch.column(0)):
@@ -92,6 +93,7 @@ def _chunks(size: int):
 
 
 def _recipes(size: int):
+    @frugal
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[bytes] = []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmod.llm.frames import cut
-from chatmod.llm.spans import LOWER, SPACES, slices, utf8
+from chatmod.llm.spans import LOWER, SPACES, frugal, slices, utf8
 
 SAMPLE_ROWS = 10_000
 CELL_BITS = 16
@@ -63,6 +63,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count_grams(languages: list[str]):
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((len(languages), 1 << CELL_BITS), np.int64)
         for batch in batches:
@@ -94,6 +95,7 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _text_evidence(log_p: np.ndarray):
+    @frugal
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = [x or "" for x in batch.column("__html").to_pylist()]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmod.llm.frames import cut, row_keys
+from chatmod.llm.spans import frugal
 
 # Titles and the gender they tell (f, m, or n for none)
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f",
@@ -155,6 +156,7 @@ def find(text: str) -> Iterator[tuple[str, str, str, int, int]]:
 
 def _mentions(text_col: str):
     """Distinct entities of each row: (k1, k2, kind, canonical)."""
+    @frugal
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -171,6 +173,7 @@ def _mentions(text_col: str):
 
 
 def _draws(key: bytes):
+    @frugal
     def draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "canonical", "attempt")))
@@ -182,6 +185,7 @@ def _draws(key: bytes):
 
 
 def _rewrite(text_col: str, key: bytes):
+    @frugal
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, later = batch.column(text_col).to_pylist(), batch.column("__later").to_pylist()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from chatmod.llm.components import connected_components
 from chatmod.llm.exact_dedup import semi_once
 from chatmod.llm.frames import cut, row_keys
-from chatmod.llm.spans import LOWER, SPACES, U64, Words, slices, utf8
+from chatmod.llm.spans import LOWER, SPACES, U64, frugal, slices, utf8, Words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BUCKET_ROWS = 2048          # distinct fingerprints compared in one bucket
@@ -59,6 +59,7 @@ def fingerprints(words: Words, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint(shingle: int):
+    @frugal
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("__text"))
@@ -123,6 +124,7 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _link(radius: int):
+    @frugal
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(key: np.ndarray, fp: np.ndarray):
             head = np.flatnonzero(np.diff(key, prepend=key[0] - 1))

@@ -7,7 +7,10 @@ Hashes only group candidates: ``equal_spans`` and ``group_spans`` compare the by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def frugal(task):
+    """A function over Arrow batches that gives its worker's free memory back when it ends: workers outlive
+    tasks, and several of them share an executor's memory."""
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):         # only the GNU C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,7 +104,11 @@ class Bytes:
         self.data, n = data, len(data)
         power, self.inverse = _powers(n + 1)
         self.prefix = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=self.prefix[1:])
+        terms = self.prefix[1:]
+        terms[:] = data
+        terms += U64(1)
+        terms *= power[:n]
+        np.cumsum(terms, out=terms)
         padded = np.zeros(n + 8, np.uint8)
         padded[:n] = data
         self.eight = np.ndarray(n + 1, "<u8", padded.data, strides=(1,))

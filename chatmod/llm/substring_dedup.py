@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmod.llm.frames import row_keys
-from chatmod.llm.spans import SPACES, U64, Words, ramp, sliding_min, slices, utf8
+from chatmod.llm.spans import SPACES, U64, frugal, ramp, slices, sliding_min, utf8, Words
 
 WINDOW = 35             # words
 MINIMIZER_WORDS = 4
@@ -49,6 +49,7 @@ def _runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_cells(size: int):
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
@@ -156,6 +157,7 @@ def _pack(window: int, size: int, buckets: int, frequent: list[int]):
         n = np.diff(head, append=len(at))
         return at[head], at[head] + n + window - 1, least[head], doc[head], at[head] - words.first[doc[head]], n
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Buckets()
 
@@ -224,6 +226,7 @@ def _count(window: int):
 
 
 def _remove(text: str):
+    @frugal
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(text))

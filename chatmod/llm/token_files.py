@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from chatmod.llm.chunks import ChunkEncoder
 from chatmod.llm.huffman import Code, code_lengths, pack, place
-from chatmod.llm.spans import ramp, utf8
+from chatmod.llm.spans import frugal, ramp, utf8
 from chatmod.session import shared_dir
 
 LIMIT = 16              # bits of the longest code (at least the bits of the vocabulary's size)
@@ -79,6 +79,7 @@ def _tokenizer(path: str) -> ChunkEncoder:
 
 
 def _tokenise(path: str, end_id: int):
+    @frugal
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(path)
         for batch in batches:
@@ -103,6 +104,7 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), "<u4"), offsets // 4
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(0, np.int64)
     for batch in batches:
@@ -114,6 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(lengths: np.ndarray, bounds: list):
+    @frugal
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
@@ -159,6 +162,7 @@ def _join(strings: list[bytes], n_bits: np.ndarray) -> bytes:
 _BLOCK_DDL = "part int, block int, start long, doc_ids array<{}>, n_tokens array<long>, n_bits long, marks binary, bits binary"
 
 
+@frugal
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, doc_id) to blocks; ``start`` counts the ids of the part before the block."""
     part, number, start = None, 0, 0
@@ -226,6 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
 
 
 def _read(lengths: np.ndarray, base: dict[int, int]):
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:

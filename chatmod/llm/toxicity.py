@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmod.llm.spans import LOWER, Words, slices, utf8
+from chatmod.llm.spans import LOWER, frugal, slices, utf8, Words
 
 SAMPLE_ROWS = 40_000        # labelled rows the classifier is fitted on
 MOST_TERMS = 4_000
@@ -209,6 +209,7 @@ def _features(machine: LexiconAutomaton, data: np.ndarray, offsets: np.ndarray)
     return out, count
 
 
+@frugal
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per slice: terms (whole words and beginnings) with the numbers of toxic and clean texts that hold them."""
     for batch in batches:
@@ -291,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _feature_rows(terms: list):
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = LexiconAutomaton(terms)
         for batch in batches:
@@ -305,6 +307,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     """``docs`` with score (0 to 1), predicted (0 or 1) and n_hits (words that matched the lexicon)."""
     rows = docs.drop("score", "predicted", "n_hits")
 
+    @frugal
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = LexiconAutomaton(model.terms)
         for batch in batches:
