@@ -155,6 +155,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def semi_once(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` whose keys (k1, k2) are in ``keys``, one row per key."""
     rows = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(row_keys(id_col, text_col), ("k1", "k2"))])
-    found = rows.join(keys, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
+    keys = keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    found = rows.join(keys, ["__k1", "__k2"], "left_semi")
     first = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
     return found.withColumn("__n", first).where("__n = 1").drop("__n", "__k1", "__k2")

@@ -236,11 +236,10 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
     if later.isEmpty():
         marked = rows.withColumn("__later", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
-        per_row = mentions.join(later, ["kind", "canonical"]).groupBy("k1", "k2").agg(
+        per_row = mentions.join(later, ["kind", "canonical"]).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
             F.collect_set(F.struct("kind", "canonical", "attempt")).alias("__later"))
         keyed = rows.select("*", *[c.alias(f"__{k}") for c, k in zip(row_keys(id_col, text_col), ("k1", "k2"))])
-        marked = keyed.join(per_row, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(
-            *[rows[c] for c in rows.columns], "__later")
+        marked = keyed.join(per_row, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     schema = T.StructType([*marked.schema.fields[:-1], T.StructField("safe_text", T.StringType()),
                            *[T.StructField(n, T.LongType()) for n in results[1:]]])
     return marked.mapInArrow(_rewrite(text_col, key), schema)

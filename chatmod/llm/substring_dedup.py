@@ -271,11 +271,11 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     packed = docs.select(*row_keys(id_col, text_col), text_col).mapInArrow(
         _pack(window, minimizer_words, parts * BUCKETS_PER_PARTITION, frequent), _OUT_DDL)
     spans = packed.groupBy("bucket").applyInArrow(_count(window), "k1 long, k2 long, `from` int, until int")
-    cuts = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "until")).alias("__cut"))
+    cuts = spans.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
+        F.collect_set(F.struct("from", "until")).alias("__cut"))
     rows = docs.drop("n_words", "n_removed", "kept_text")
     rows = rows.select("*", *[c.alias(f"__{k}") for c, k in zip(row_keys(id_col, text_col), ("k1", "k2"))])
-    joined = rows.join(cuts, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
-    joined = joined.select(*[rows[c] for c in rows.columns[:-2]], "__cut")
+    joined = rows.join(cuts, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     schema = T.StructType(joined.schema.fields[:-1] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                                                        T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_remove(text_col), schema)

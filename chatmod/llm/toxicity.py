@@ -12,7 +12,8 @@ and keeps at most ``MOST_TERMS`` terms; scoring covers every row and the whole t
 
 Defined cases: null and empty texts have no hits and get the score of the intercept; without labels of both
 classes every score is the share of toxic labels (0.5 without any); rows that repeat score alike; a document
-with several labels counts as toxic if one of them says so. Extra columns pass through.
+with several labels counts as toxic if one of them says so. Extra columns pass through; columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
