@@ -11,17 +11,17 @@ from chatmod import schema as S
 def top_label(df: DataFrame, struct_col: str = "predictions", labels: list[str] | None = None) -> DataFrame:
     """Add ``toxic_score`` (row max, nulls skipped) and ``toxic_category``.
 
-    The category is the first label, in label order, whose score is within the
-    tie tolerance of the maximum; it is set even when the row is not toxic.
-    All-null predictions give a null score and category.
+    The scores become one array of (label, score) entries in label order; the
+    category is the first entry within the tie tolerance of the array's largest
+    score. It is set even when the row is not toxic. All-null predictions give a
+    null score and category.
     """
-    labels = labels or S.LABELS
-    scores = [F.col(f"{struct_col}.{l}") for l in labels]
-    best = F.greatest(*scores)
-    category = F.coalesce(*[
-        F.when(F.abs(s - best) < S.LABEL_TIE_TOLERANCE, F.lit(l)) for s, l in zip(scores, labels)
-    ])
-    return df.withColumn("toxic_score", best).withColumn("toxic_category", category)
+    ranked = F.array(*[F.struct(F.lit(name).alias("label"), F.col(f"{struct_col}.{name}").alias("score"))
+                       for name in labels or S.LABELS])
+    highest = F.array_max(F.transform(ranked, lambda e: e["score"]))
+    leading = F.filter(ranked, lambda e: F.abs(e["score"] - F.col("toxic_score")) < S.LABEL_TIE_TOLERANCE)
+    return (df.withColumn("toxic_score", highest)
+              .withColumn("toxic_category", F.try_element_at(leading, F.lit(1))["label"]))
 
 
 def toxic_label(score: Column, threshold: float = S.TOXIC_LABEL_THRESHOLD) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -114,11 +115,12 @@ class LexiconScorer(Scorer):
 # ---------------------------------------------------------------------------
 # Model scorer
 # ---------------------------------------------------------------------------
-_MODELS: dict[int, object] = {}
+MODELS_KEPT = 4                    # models a worker keeps; the one loaded first goes first
+_MODELS: dict[str, object] = {}
 _MODEL_LOCK = threading.Lock()
 
 
-def _model_for(key: int, load: Callable[[], object]):
+def _model_for(key: str, load: Callable[[], object]):
     """Load the model once per Python worker process (double-checked lock)."""
     model = _MODELS.get(key)
     if model is None:
@@ -126,6 +128,8 @@ def _model_for(key: int, load: Callable[[], object]):
             model = _MODELS.get(key)
             if model is None:
                 model = load()
+                while len(_MODELS) >= MODELS_KEPT:
+                    _MODELS.pop(next(iter(_MODELS)))
                 _MODELS[key] = model
     return model
 
@@ -143,7 +147,7 @@ class ModelScorer(Scorer):
         self.load = load
         self.normalize = normalize
         self.max_tokens = max_tokens
-        self.key = id(load)
+        self.key = uuid.uuid4().hex   # of this scorer alone: an object's id may be used again
 
     def _udf(self):
         load, normalize, max_tokens, key = self.load, self.normalize, self.max_tokens, self.key

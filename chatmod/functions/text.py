@@ -17,16 +17,6 @@ def _nfc(value: str) -> str:
     return value if unicodedata.is_normalized("NFC", value) else unicodedata.normalize("NFC", value)
 
 
-@F.pandas_udf(T.StringType())
-def nfc_normalize(s: pd.Series) -> pd.Series:
-    """Unicode NFC of each value; null becomes the empty string.
-
-    Spark has no built-in Unicode normaliser, so this is the one Python hop of
-    the text path (Arrow batches, no per-row serialisation).
-    """
-    return s.fillna("").map(_nfc)
-
-
 @F.pandas_udf(T.StringType())
 def _nfc_or_null(s: pd.Series) -> pd.Series:
     return s.map(_nfc, na_action="ignore")
@@ -53,17 +43,9 @@ def strip_garbage(text: Column) -> Column:
              .otherwise(text))
 
 
-def clean_text(col: Column, normalize: bool = True) -> Column:
-    """Column expression of the cleaning chain; everything but NFC stays in the JVM."""
-    text = nfc(col) if normalize else F.coalesce(col, F.lit(""))
-    text = strip_garbage(F.lower(text))
-    text = F.regexp_replace(text, WHITESPACE_PATTERN, " ")
-    return F.trim(text)
-
-
 def clean_messages(df: DataFrame, message_col: str = "message", out_col: str = "message_clean",
                    normalize: bool = True) -> DataFrame:
-    """Drop rows without a message and add the cleaned text column (``clean_text``).
+    """Drop rows without a message and add the cleaned text column.
 
     The normalised, lower-cased text gets its own projection first: the link and
     e-mail checks and the replacement all read it, and inside one conditional

@@ -12,16 +12,6 @@ def _valid(candidate: Column) -> Column:
     return F.when(F.length(candidate) == S.VIDEO_ID_LENGTH, candidate)
 
 
-def video_id_server(url: Column) -> Column:
-    """Id per the server rule (group 1 of the server pattern); null when invalid."""
-    return _valid(F.regexp_extract(url, S.VIDEO_ID_PATTERN_SERVER, 1))
-
-
-def video_id_client(url: Column) -> Column:
-    """Id per the browser rule (group 7 of the client pattern); null when invalid."""
-    return _valid(F.regexp_extract(url, S.VIDEO_ID_PATTERN_CLIENT, 7))
-
-
 def is_video_host(url: Column) -> Column:
     cond = None
     for host in S.VIDEO_HOSTS:

@@ -61,14 +61,9 @@ def _cover_nodes(s: Column, e: Column) -> Column:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once under ``spark.checkpoint.dir``; unchanged (same result,
-    the input is then read per branch) where a session offers no checkpointing,
-    e.g. a client without a configured folder."""
-    try:
-        shared_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001 - checkpointing is an optimisation here, never a change of result
-        return df
+    """``df`` written once under ``spark.checkpoint.dir``."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def board_string(author: Column, total: Column) -> Column:

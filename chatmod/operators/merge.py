@@ -105,13 +105,17 @@ def merge_full_outer(state: DataFrame, batch: DataFrame, rounding: str = "half_u
     and bump the version. Equals ``merge_stream_metric`` over all partials.
     """
     s, b = state.alias("s"), batch.alias("b")
-    joined = s.join(b, on=STREAM_KEY, how="full")
+    same_key = F.col(f"s.{STREAM_KEY[0]}").eqNullSafe(F.col(f"b.{STREAM_KEY[0]}"))
+    for k in STREAM_KEY[1:]:
+        same_key &= F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = s.join(b, same_key, how="full")
+    keys = [F.coalesce(f"b.{k}", f"s.{k}").alias(k) for k in STREAM_KEY]
 
     def add(c: str) -> Column:
         return (F.coalesce(F.col(f"s.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))).cast("long")
 
     out = joined.select(
-        *STREAM_KEY,
+        *keys,
         F.coalesce(F.col("b.window_end"), F.col("s.window_end")).alias("window_end"),
         add("total_comments").alias("total_comments"),
         add("toxic_count").alias("toxic_count"),
@@ -166,7 +170,8 @@ def metric_change_feed(partials: DataFrame, key: Sequence[str] = STREAM_KEY,
     Rows with a null or empty video id are dropped (the feed's key guard).
     """
     key = list(key)
-    w = Window.partitionBy(*key).orderBy("batch_id")
+    order = ["batch_id", *[c for c in ("stream_id",) if c in partials.columns]]   # one order over all streams
+    w = Window.partitionBy(*key).orderBy(*order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = partials.select(
         "batch_id", *key,

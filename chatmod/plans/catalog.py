@@ -52,12 +52,12 @@ def query(name: str, rows_only: bool = False):
 
 @query("stream_metric_1m")
 def q_stream_metric_1m(spark, sf):
-    return stream_metric_partials(views.comments(spark, sf, with_message=False), "1 minute")
+    return stream_metric_partials(views.comments(spark, sf, with_message=False), "1 minute", viewers="exact")
 
 
 @query("stream_metric_1h")
 def q_stream_metric_1h(spark, sf):
-    return stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour")
+    return stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour", viewers="exact")
 
 
 @query("user_metric_1m")
@@ -85,7 +85,7 @@ def q_unique_viewers_merged(spark, sf):
 # -- merges across batches --------------------------------------------------
 
 def _stream_partials(spark, sf, window=MERGE_WINDOW):
-    return stream_metric_partials(views.comments(spark, sf, with_message=False), window, keys=["batch_id"])
+    return stream_metric_partials(views.comments(spark, sf, with_message=False), window, keys=["batch_id"], viewers="exact")
 
 
 def _user_partials(spark, sf, window=MERGE_WINDOW, only_toxic=True):
@@ -180,8 +180,10 @@ def q_leaderboard_changes(spark, sf):
 
 @query("enrich_leaderboard")
 def q_enrich_leaderboard(spark, sf):
-    profiles = views.comments(spark, sf, with_message=False).where(F.col("video_id") == "signup")
-    return V.enrich_leaderboard(V.top_authors_all(_totals(spark, sf)), V.author_lookup(profiles))
+    # only the board's few authors are looked up, over the comments of all videos
+    board = V.top_authors_all(_totals(spark, sf))
+    profiles = views.comments(spark, sf, with_message=False).join(board.select("author_id").distinct(), "author_id", "left_semi")
+    return V.enrich_leaderboard(board, V.author_lookup(profiles))
 
 
 # -- serving ----------------------------------------------------------------
@@ -238,13 +240,13 @@ def q_feed_count(spark, sf):
 
 @query("recent_windows")
 def q_recent_windows(spark, sf):
-    metrics = stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour")
+    metrics = stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour", viewers="exact")
     return V.recent_windows(metrics, SERVED_VIDEO)
 
 
 @query("recent_windows_all")
 def q_recent_windows_all(spark, sf):
-    metrics = stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour")
+    metrics = stream_metric_partials(views.comments(spark, sf, with_message=False), "1 hour", viewers="exact")
     return V.recent_windows(metrics, None)
 
 

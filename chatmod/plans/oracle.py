@@ -243,7 +243,7 @@ select video_id, batch_id, leaderboard from l where previous is null or previous
     "enrich_leaderboard": _with(_USER_1M) + """,
 authors as (
   select author_id, max_by(author_name, kafka_timestamp) as name, max_by(author_image, kafka_timestamp) as avatar
-  from comments where video_id = 'signup' group by 1)
+  from comments group by 1)
 select t.video_id, t.rank, t.author_id,
        coalesce(nullif(a.name, ''), 'Unknown') as author_name, coalesce(nullif(a.avatar, ''), '') as author_image,
        t.toxic_count

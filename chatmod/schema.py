@@ -33,7 +33,8 @@ MODEL_MAX_TOKENS = 128             # scorer input truncation length (tokens)
 APPROX_DISTINCT_RSD = 0.01         # relative std. dev. of approximate distinct counts
 
 # Text cleaning: URL / www / e-mail-like tokens are removed, whitespace collapsed.
-GARBAGE_PATTERN = r"(https?://\S+|www\.\S+|\S+@\S+)"
+# (an e-mail-like token is looked for once, from its start: every alternative runs to the token's end)
+GARBAGE_PATTERN = r"(https?://\S+|www\.\S+|(?<!\S)\S+@\S+)"
 LINK_PATTERN = r"(https?://\S+|www\.\S+)"   # the same without the e-mail alternative
 WHITESPACE_PATTERN = r"\s+"
 

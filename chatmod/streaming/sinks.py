@@ -104,17 +104,6 @@ class StatusLog:
         return kept
 
 
-def leaderboards_for(store: PartialStore, videos: DataFrame, k: int = S.LEADERBOARD_SIZE) -> DataFrame:
-    """Current top-``k`` board string per video, for the given videos only."""
-    touched = bounded_broadcast(videos.select("video_id").distinct(), 100_000)
-    users = store.user_metric().join(touched, on="video_id", how="left_semi")
-    top = top_authors_all(author_totals(users), k)
-    entry = F.concat(F.col("author_id"), F.lit(":"), F.col("toxic_count").cast("string"))
-    return (top.groupBy("video_id")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("t")))),
-                                             lambda x: x["t"]), ",").alias("leaderboard")))
-
-
 TOUCHED_AUTHORS_BROADCAST_ROWS = 200_000
 
 

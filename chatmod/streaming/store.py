@@ -98,15 +98,18 @@ class PartialStore:
            .parquet(self.path(table)))
 
     # -- reading -------------------------------------------------------------
-    def _latest_snapshot(self, table: str):
-        folded_path = self.path(f"{table}__folded")
-        if not _exists(self.spark, folded_path):
-            return None, None
-        folded = self.spark.read.parquet(folded_path)
-        latest = folded.select(F.max("snap")).scalar()
-        folded = folded.where(F.col("snap") == latest).select("stream_id", "max_batch_id")
-        snap = self.spark.read.parquet(self.path(f"{table}__snapshot")).where(F.col("snap") == latest).drop("snap")
-        return snap, folded
+    def _snapshots(self, table: str) -> list[int]:
+        """Numbers of the snapshots kept, newest first."""
+        if not _exists(self.spark, self.path(f"{table}__folded")):
+            return []
+        found = _subdirs(self.spark, self.path(f"{table}__folded"), "snap")
+        return sorted((int(v) for v, _ in found if v.isdigit()), reverse=True)
+
+    def _snapshot(self, table: str, snap: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of a snapshot, and the highest batch it folded per stream."""
+        folded = self.spark.read.parquet(self.path(f"{table}__folded")).where(F.col("snap") == snap)
+        rows = self.spark.read.parquet(self.path(f"{table}__snapshot")).where(F.col("snap") == snap).drop("snap")
+        return rows, folded.select("stream_id", "max_batch_id")
 
     def raw(self, table: str) -> DataFrame | None:
         """All partial files of a table, listed once (the listing is fixed from here on);
@@ -123,16 +126,33 @@ class PartialStore:
     def partials(self, table: str, raw: DataFrame | None = None) -> DataFrame | None:
         """Current partial rows: the latest snapshot plus partials written after it."""
         parts = raw if raw is not None else self.raw(table)
-        snap, folded = self._latest_snapshot(table)
-        if snap is None:
-            return parts
-        if parts is None:
-            return snap
+        snaps = self._snapshots(table)
+        return self._with_base(parts, *self._snapshot(table, snaps[0])) if snaps else parts
+
+    @staticmethod
+    def _newer(parts: DataFrame, folded: DataFrame) -> DataFrame:
         # the ledger has one row per stream; broadcast after checking that bound
-        newer = (parts.join(bounded_broadcast(folded, LEDGER_BROADCAST_ROWS), on="stream_id", how="left")
-                      .where(F.col("max_batch_id").isNull() | (F.col("batch_id") > F.col("max_batch_id")))
-                      .drop("max_batch_id"))
-        return newer.unionByName(snap, allowMissingColumns=True)
+        return (parts.join(bounded_broadcast(folded, LEDGER_BROADCAST_ROWS), on="stream_id", how="left")
+                     .where(F.col("max_batch_id").isNull() | (F.col("batch_id") > F.col("max_batch_id")))
+                     .drop("max_batch_id"))
+
+    def _with_base(self, parts: DataFrame | None, snap: DataFrame, folded: DataFrame) -> DataFrame:
+        return snap if parts is None else self._newer(parts, folded).unionByName(snap, allowMissingColumns=True)
+
+    def _feed(self, table: str, since_batch: int, stream_id: str | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """(base, newer) for a feed after ``since_batch``: the newest snapshot that folded no later batch, and
+        the partials after it. Raises if the batches after ``since_batch`` are folded away already."""
+        raw = self.raw(table)
+        snaps = self._snapshots(table)
+        own = F.lit(True) if stream_id is None else F.col("stream_id") == stream_id
+        for snap in snaps:
+            rows, folded = self._snapshot(table, snap)
+            last = folded.where(own).agg(F.max("max_batch_id")).first()[0]
+            if last is None or last <= since_batch:
+                return rows.where(own), None if raw is None else self._newer(raw, folded).where(own)
+        if len(snaps) > 1:      # what the oldest snapshot kept folded has been deleted
+            raise ValueError(f"batches after {since_batch} are folded into snapshots; read the table and follow it from batch {last}")
+        return None, None if raw is None else raw.where(own)
 
     def _video(self, table: str, video_id: str | None) -> DataFrame:
         parts = self.partials(table)
@@ -184,24 +204,29 @@ class PartialStore:
     def metric_changes(self, since_batch: int = -1, stream_id: str | None = None,
                        video_id: str | None = None) -> DataFrame:
         """Channel-metric change events (insert / update, merged values) of the
-        batches after ``since_batch`` of one stream."""
-        parts = self._video("stream_metric", video_id)
-        if stream_id is not None:
-            parts = parts.where(F.col("stream_id") == stream_id)
+        batches after ``since_batch`` (of one stream, or of all in the order batch, stream)."""
+        base, newer = self._feed("stream_metric", since_batch, stream_id)
+        parts = newer if base is None else base if newer is None else newer.unionByName(base, allowMissingColumns=True)
+        if video_id is not None:
+            parts = parts.where(F.col("video_id") == video_id)
         return M.metric_change_feed(parts).where(F.col("batch_id") > since_batch)
 
     def comment_inserts(self, since_batch: int = -1, stream_id: str | None = None,
                         video_id: str | None = None) -> DataFrame:
         """First deliveries of comments in the batches after ``since_batch`` (the insert-only feed)."""
-        parts = self._video("comments", video_id)
-        if stream_id is not None:
-            parts = parts.where(F.col("stream_id") == stream_id)
+        base, newer = self._feed("comments", since_batch, stream_id)
+        parts = newer if newer is not None else base.limit(0)
+        if base is not None and newer is not None:
+            parts = newer.join(base.select("comment_id"), "comment_id", "left_anti")
+        if video_id is not None:
+            parts = parts.where(F.col("video_id") == video_id)
         first = M.first_delivery(parts, "comment_id", ["written_at", "batch_id"])
         return first.where((F.col("batch_id") > since_batch) & M.present("video_id"))
 
     # -- compaction ----------------------------------------------------------
     def compact(self, table: str, snap: int) -> None:
-        """Fold every partial written so far into snapshot ``snap`` (one row per key)."""
+        """Fold every partial written so far into snapshot ``snap``: one row per stream and key, with the
+        last batch that touched it, so change feeds can go on from it."""
         raw = self.raw(table)
         if raw is None:
             return
@@ -212,7 +237,8 @@ class PartialStore:
         if table == "stream_metric":
             key, extra = M.STREAM_KEY, [F.hll_union_agg("unique_viewers_sketch", True).alias("unique_viewers_sketch")] \
                 if "unique_viewers_sketch" in parts.columns else []
-            rows = parts.groupBy(*key).agg(
+            rows = parts.groupBy("stream_id", *key).agg(
+                F.max("batch_id").alias("batch_id"),
                 F.max("window_end").alias("window_end"),
                 F.sum("total_comments").cast("long").alias("total_comments"),
                 F.sum("toxic_count").cast("long").alias("toxic_count"),
@@ -221,7 +247,8 @@ class PartialStore:
                  .cast("long").alias("version"),
                 F.max("written_at").alias("written_at"), *extra)
         elif table == "user_metric":
-            rows = parts.groupBy(*M.USER_KEY).agg(
+            rows = parts.groupBy("stream_id", *M.USER_KEY).agg(
+                F.max("batch_id").alias("batch_id"),
                 F.max("window_end").alias("window_end"),
                 F.max_by("author_name", "written_at").alias("author_name"),
                 F.max_by("author_image", "written_at").alias("author_image"),
@@ -237,10 +264,11 @@ class PartialStore:
             latest = parts.groupBy("stream_id", "video_id").agg(F.max("batch_id").alias("batch_id"))
             rows = parts.join(latest, on=["stream_id", "video_id", "batch_id"], how="left_semi")
         else:
-            rows = M.upsert_latest(parts, "comment_id", ["written_at", "batch_id"])
-        if table != "boards":
-            rows = rows.drop("stream_id", "batch_id").withColumn("stream_id", F.lit("_snapshot")) \
-                       .withColumn("batch_id", F.lit(int(snap)).cast("long"))
+            latest = F.max_by(F.struct(*parts.columns), F.struct("written_at", "batch_id")).alias("r")
+            rows = parts.groupBy("stream_id", "comment_id").agg(latest).select("r.*")
+        keys = [k for k in SORT_KEYS.get(table, []) if k in rows.columns]
+        if keys:        # row groups that a video filter can skip
+            rows = rows.sortWithinPartitions(*keys)
         (rows.withColumn("snap", F.lit(int(snap))).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("snap")
              .parquet(self.path(f"{table}__snapshot")))

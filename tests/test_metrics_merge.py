@@ -137,3 +137,12 @@ def test_merge_properties_random_batches(spark):
         assert again == merged
 
     check()
+
+
+def test_full_outer_merge_matches_null_keys(spark):
+    from chatmod.operators.merge import merge_full_outer, merge_stream_metric
+    ddl = "video_id string, window_start long, window_end long, total_comments long, toxic_count long, unique_viewers long, batch_id long"
+    rows = [(v, w, 1, 2, 1, 1, b) for v in (None, "a") for w in (None, 5) for b in (0, 1)]
+    parts = spark.createDataFrame(rows, ddl)
+    step = merge_full_outer(merge_stream_metric(parts.where("batch_id = 0")), parts.where("batch_id = 1"))
+    assert sorted(step.collect(), key=repr) == sorted(merge_stream_metric(parts).collect(), key=repr)

@@ -149,3 +149,39 @@ def test_whole_texts_are_scored(spark):
     whole = ModelScorer(lexicon_model_loader).score(cleaned).collect()[0].predictions
     cut = ModelScorer(lexicon_model_loader, max_tokens=S.MODEL_MAX_TOKENS).score(cleaned).collect()[0].predictions
     assert whole.severe_toxic > cut.severe_toxic
+
+
+def test_many_short_lived_models_on_one_worker(spark):
+    """Each scorer gets its own model, however many loaders came and went before."""
+    import gc
+
+    import numpy as np
+    from chatmod.functions import scoring
+
+    class Constant:
+        def __init__(self, bias):
+            self.bias = bias
+
+        def predict(self, texts):
+            return np.full((len(texts), 5), float(self.bias))
+
+    df = spark.createDataFrame([("x",)], "message_clean string").coalesce(1)
+    for bias in range(-4, 5):
+        got = scoring.ModelScorer(lambda b=bias: Constant(b)).score(df).select("predictions.*").first()[0]
+        assert abs(got - 1 / (1 + np.exp(-bias))) < 1e-3
+        gc.collect()
+    scoring._MODELS.clear()
+    for i in range(20):
+        scoring._model_for(str(i), lambda: object())
+    assert len(scoring._MODELS) == scoring.MODELS_KEPT
+
+
+def test_long_token_beside_an_address_is_linear(spark):
+    import time
+
+    from chatmod.functions.text import clean_messages
+    long = "a" * 1_000_000
+    df = spark.createDataFrame([(f"{long} b@c.example {long}",)], "message string")
+    started = time.time()
+    assert clean_messages(df, normalize=False).first().message_clean == f"{long} {long}"
+    assert time.time() - started < 20
