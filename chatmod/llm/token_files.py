@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from chatmod.llm.chunks import ChunkEncoder
 from chatmod.llm.huffman import Code, code_lengths, pack, place
-from chatmod.llm.spans import frugal, ramp, utf8
+from chatmod.llm.spans import frugal, ramp, slices, utf8
 from chatmod.session import shared_dir
 
 LIMIT = 16              # bits of the longest code (at least the bits of the vocabulary's size)
 STRIDE = 128            # ids between checkpoints
 BLOCK_IDS = 1 << 18
+SLICE_IDS = 1 << 19     # ids coded at a time
 RANGES_PER_PARTITION = 4
 
 # Fixed value: how the byte-level pre-tokenizer splits texts
@@ -99,18 +100,21 @@ def _tokenise(path: str, end_id: int):
     return tokenise
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a column of ids: rows lo to hi, their ids, and where each row's start."""
     data, offsets = utf8(column)
-    return np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+    for lo, hi in slices(offsets, 4 * SLICE_IDS):
+        yield lo, hi, data[offsets[lo]:offsets[hi]].view("<u4"), (offsets[lo:hi + 1] - offsets[lo]) // 4
 
 
 @frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(0, np.int64)
     for batch in batches:
-        one = np.bincount(_ids(batch.column("ids"))[0], minlength=len(n))
-        one[:len(n)] += n
-        n = one
+        for _, _, ids, _ in _ids(batch.column("ids")):
+            one = np.bincount(ids, minlength=len(n))
+            one[:len(n)] += n
+            n = one
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_pydict({"id": pa.array(at.astype(np.int64)), "n": pa.array(n[at])})
 
@@ -120,29 +124,31 @@ def _bits(lengths: np.ndarray, bounds: list):
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
-            ids, at = _ids(batch.column("ids"))
-            doc = batch.column("doc_id")
-            part = np.zeros(batch.num_rows, np.int32)
-            known = np.flatnonzero(~np.asarray(doc.is_null()))
-            if len(bounds) and len(known):
-                part[known] = np.searchsorted(np.array(bounds), doc.take(pa.array(known)).to_numpy(zero_copy_only=False), "left")
-            # every document starts at a word of 64 bits
-            length = code.lengths[ids]
-            end = np.concatenate([[0], np.cumsum(length)])
-            n_bits = np.diff(end[at])
-            word = np.concatenate([[0], np.cumsum(-(-n_bits // 64))])
-            shift = 64 * word[:-1] - end[at[:-1]]
-            n = np.diff(at)
-            packed = place(code.codes[ids], length, end[:-1] + np.repeat(shift, n), int(word[-1]))
-            segments = -(-n // STRIDE)
-            mark = ramp(np.zeros(len(n), np.int64), segments) * STRIDE + np.repeat(at[:-1], segments)
-            until = np.minimum(mark + STRIDE, np.repeat(at[1:], segments))
-            marks = (end[until] - end[mark]).astype("<u2")
-            mark_at = np.concatenate([[0], np.cumsum(segments)])
-            rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * word).astype(np.int32)), pa.py_buffer(packed)])
-            marks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * mark_at).astype(np.int32)), pa.py_buffer(marks)])
-            yield pa.RecordBatch.from_arrays([pa.array(part), doc, batch.column("tie"), pa.array(n), pa.array(n_bits), marks, rows],
-                                             names=["part", "doc_id", "tie", "n_tokens", "n_bits", "marks", "bits"])
+            for lo, hi, ids, at in _ids(batch.column("ids")):
+                rows = batch.slice(lo, hi - lo)
+                doc = rows.column("doc_id")
+                part = np.zeros(hi - lo, np.int32)
+                known = np.flatnonzero(~np.asarray(doc.is_null()))
+                if len(bounds) and len(known):
+                    part[known] = np.searchsorted(np.array(bounds), doc.take(pa.array(known)).to_numpy(zero_copy_only=False), "left")
+                # every document starts at a word of 64 bits
+                length = code.lengths[ids]
+                end = np.concatenate([[0], np.cumsum(length)])
+                n_bits = np.diff(end[at])
+                word = np.concatenate([[0], np.cumsum(-(-n_bits // 64))])
+                n = np.diff(at)
+                shift = np.repeat(64 * word[:-1] - end[at[:-1]], n)
+                packed = place(code.codes[ids], length, end[:-1] + shift, int(word[-1]))
+                segments = -(-n // STRIDE)
+                mark = ramp(np.zeros(len(n), np.int64), segments) * STRIDE + np.repeat(at[:-1], segments)
+                until = np.minimum(mark + STRIDE, np.repeat(at[1:], segments))
+                marks = (end[until] - end[mark]).astype("<u2")
+                mark_at = np.concatenate([[0], np.cumsum(segments)])
+                binary = lambda ends, data: pa.Array.from_buffers(
+                    pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), doc, rows.column("tie"), pa.array(n), pa.array(n_bits), binary(2 * mark_at, marks), binary(8 * word, packed)],
+                    names=["part", "doc_id", "tie", "n_tokens", "n_bits", "marks", "bits"])
 
     return bits
 
