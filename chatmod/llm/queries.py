@@ -47,7 +47,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of equal row counts that cut few groups of equal texts."""
     placed = sharding.balanced_shards(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("int").alias("slot"),
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
