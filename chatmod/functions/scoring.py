@@ -187,11 +187,15 @@ class HashingLinearModel:
         return zlib.crc32(token.encode("utf-8")) % self.buckets
 
     def predict(self, texts: list[str]) -> np.ndarray:
+        """Every distinct token of the batch is hashed once; the weights of all tokens are added in one step."""
+        tokens = [t.split() for t in texts]
+        number = {token: k for k, token in enumerate({token for row in tokens for token in row})}
+        bucket = np.array([self.bucket(token) for token in number], dtype=np.int64)
+        at = np.array([number[token] for row in tokens for token in row], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(r) for r in tokens])
+        weighted = np.any(self.weights != 0, axis=1)[bucket][at]        # most buckets weigh nothing
         out = np.tile(self.bias, (len(texts), 1))
-        for i, t in enumerate(texts):
-            idx = [self.bucket(tok) for tok in t.split()]
-            if idx:
-                out[i] += self.weights[idx].sum(axis=0)
+        np.add.at(out, row[weighted], self.weights[bucket[at[weighted]]])
         return out
 
     @classmethod

@@ -25,10 +25,12 @@ from chatmod.operators.metrics import (stream_metric_partials, unique_viewers, u
 from chatmod.plans import views
 from chatmod.session import spread_for_cpu
 from chatmod.sources.chat_pages import flatten_chat_pages as _flatten
+from chatmod.sources.topic import comment_rejects
 from chatmod.sources.topic import decode_comments as _decode
 from chatmod.sources.topic import parse_published_at as _parse
 from chatmod.sources.topic import snake_case_columns as _snake
 from chatmod.sources.topic import to_keyed_messages as _keyed
+from chatmod.streaming.job import transform_comments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +84,25 @@ def q_unique_viewers_merged(spark, sf):
     return _uv_merged(parts)
 
 
+def _within_three_errors(viewers, exact):
+    """Per video the exact count and whether the estimate lies within three relative standard errors."""
+    both = exact.withColumnRenamed("unique_viewers", "exact_viewers").join(viewers, "video_id")
+    near = F.abs(F.col("unique_viewers") - F.col("exact_viewers")) <= 3 * S.APPROX_DISTINCT_RSD * F.col("exact_viewers")
+    return both.select("video_id", "exact_viewers", near.alias("within_bound"))
+
+
+@query("unique_viewers_approx_bound")
+def q_unique_viewers_approx_bound(spark, sf):
+    return _within_three_errors(q_unique_viewers_approx(spark, sf),
+                                unique_viewers(views.comments(spark, sf, with_message=False), None, method="exact"))
+
+
+@query("unique_viewers_merged_bound")
+def q_unique_viewers_merged_bound(spark, sf):
+    return _within_three_errors(q_unique_viewers_merged(spark, sf),
+                                unique_viewers(views.comments(spark, sf, with_message=False), None, method="exact"))
+
+
 # -- merges across batches --------------------------------------------------
 
 def _stream_partials(spark, sf, window=MERGE_WINDOW):
@@ -121,6 +142,21 @@ def q_merge_full_outer(spark, sf):
     return M.merge_full_outer(state, parts.where(F.col("batch_id") == last))
 
 
+@query("merge_full_outer_nulls")
+def q_merge_full_outer_nulls(spark, sf):
+    rows = views.without_some_videos(views.comments(spark, sf, with_message=False))
+    parts = stream_metric_partials(rows, MERGE_WINDOW, keys=["batch_id"], viewers="exact")
+    last = views.BATCHES - 1
+    state = M.merge_stream_metric(parts.where(F.col("batch_id") < last))
+    return M.merge_full_outer(state, parts.where(F.col("batch_id") == last))
+
+
+@query("change_feed_metric_nulls")
+def q_change_feed_metric_nulls(spark, sf):
+    rows = views.without_some_videos(views.comments(spark, sf, with_message=False))
+    return M.metric_change_feed(stream_metric_partials(rows, MERGE_WINDOW, keys=["batch_id"], viewers="exact"))
+
+
 @query("skip_processed_batches")
 def q_skip_processed_batches(spark, sf):
     ledger = spark.createDataFrame([(b,) for b in PROCESSED_LEDGER], "batch_id long")
@@ -283,6 +319,12 @@ def q_clean_messages(spark, sf):
     return _clean(_documents(spark, sf)).select("doc_id", "message_clean")
 
 
+@query("clean_messages_nfd")
+def q_clean_messages_nfd(spark, sf):
+    docs = _documents(spark, sf)
+    return _clean(docs.withColumn("message", views.decomposed(F.col("message")))).select("doc_id", "message_clean")
+
+
 @query("score_comments")
 def q_score_comments(spark, sf):
     c = views.scored_comments(spark, sf, with_message=False)
@@ -338,6 +380,29 @@ def q_score_logits(spark, sf):
     return c.select("comment_id", logit.alias("logit"), round_score(sigmoid(logit)).alias("score"))
 
 
+# -- the whole path: topic records to the three outputs ------------------------
+
+def _transformed(spark, sf):
+    scored = transform_comments(_decode(views.topic_records(spark, sf)))
+    return scored.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query("pipeline_comments")
+def q_pipeline_comments(spark, sf):
+    return _transformed(spark, sf).select("comment_id", "video_id", "author_id", "message", "published_at", "kafka_timestamp",
+                                          "toxic_score", "toxic_category", "toxic_label", "recommended_action")
+
+
+@query("pipeline_stream_metric")
+def q_pipeline_stream_metric(spark, sf):
+    return stream_metric_partials(_transformed(spark, sf), viewers="exact")
+
+
+@query("pipeline_user_metric")
+def q_pipeline_user_metric(spark, sf):
+    return user_metric_partials(_transformed(spark, sf))
+
+
 # -- sources and sinks ------------------------------------------------------
 
 @query("decode_comments")
@@ -345,6 +410,18 @@ def q_decode_comments(spark, sf):
     return _decode(views.topic_records(spark, sf))
 
 
+@query("decode_damaged")
+def q_decode_damaged(spark, sf):
+    # records without id or value drop at the decode step, those without a message at the cleaning step
+    rows = _clean(_parse(_decode(views.damaged_records(spark, sf)), zone_free=True))
+    return rows.select("comment_id", "video_id", "message", "author_id", "published_at", "kafka_timestamp", "offset", "partition")
+
+
+@query("decode_rejects")
+def q_decode_rejects(spark, sf):
+    return comment_rejects(views.damaged_records(spark, sf))
+
+
 @query("snake_case_columns")
 def q_snake_case_columns(spark, sf):
     rec = views.topic_records(spark, sf)

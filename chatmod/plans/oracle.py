@@ -361,3 +361,40 @@ from comments_msg where video_id <> 'error'""",
     "extract_video_id_client": _video_id_sql(_CLIENT_RE, 7),
     "extract_video_id_pages": _page_video_id_sql(),
 }
+
+# Queries made from others: the same comments with lost video ids, decomposed letters, text scores, damaged records
+_LOST_VIDEOS = ("event_type as video_id", "case when event_id % 5 <> 0 then event_type end as video_id")
+_BOUND = _with() + """
+select video_id, count(distinct author_id) as exact_viewers, true as within_bound from comments group by 1"""
+_SCORED_TEXT = f"""
+text_scores as ({SQL["score_documents"]}),
+scored_text as (
+  select c.comment_id, c.video_id, c.author_id, c.author_name, c.author_image, c.message, c.published_at, c.kafka_timestamp,
+         s.toxic_score, s.toxic_category, s.toxic_label, s.recommended_action
+  from comments_msg c join text_scores s on c.event_id % (select count(*) from documents) = s.doc_id)"""
+
+SQL |= {
+    "unique_viewers_approx_bound": _BOUND,
+    "unique_viewers_merged_bound": _BOUND,
+    "merge_full_outer_nulls": SQL["merge_full_outer"].replace(*_LOST_VIDEOS),
+    "change_feed_metric_nulls": SQL["change_feed_metric"].replace(*_LOST_VIDEOS),
+    "clean_messages_nfd": SQL["clean_messages"],
+    "pipeline_comments": _with(_SCORED_TEXT) + """
+select comment_id, video_id, author_id, message, published_at, kafka_timestamp, toxic_score, toxic_category, toxic_label,
+       recommended_action
+from scored_text""",
+    "pipeline_stream_metric": _with(_SCORED_TEXT) + _stream_metric("minute").replace("from comments", "from scored_text"),
+    "pipeline_user_metric": _with(_SCORED_TEXT) + _user_metric_1m().replace("from comments", "from scored_text"),
+    "decode_damaged": _with() + """
+select comment_id, case event_id % 11 when 4 then null when 5 then '' else video_id end as video_id, message, author_id,
+       case when event_id % 11 <> 6 then published_at end as published_at, kafka_timestamp,
+       cast(event_id as bigint) as "offset", cast(length(video_id) % 3 as integer) as "partition"
+from comments_msg where event_id % 11 > 3 and message is not null""",
+    "decode_rejects": _with() + f"""
+select case event_id % 11
+         when 0 then '{{"commentId":"' || comment_id || '"'
+         when 1 then '{{"type":"CHAT","videoId":"' || video_id || '","authorId":"' || author_id || '","authorImage":"'
+                     || author_image || '","authorName":"' || author_name || '","publishedAt":"' || {_ISO} || '"}}' end as raw_value,
+       kafka_timestamp, cast(event_id as bigint) as "offset", cast(length(video_id) % 3 as integer) as "partition"
+from comments_msg where event_id % 11 < 3""",
+}

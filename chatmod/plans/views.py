@@ -10,6 +10,8 @@ tables. ``toxic_score`` and the five label scores are derived from integers
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,35 @@ def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BAD_CYCLE = 11   # of this many consecutive events, the first seven arrive damaged, each in its own way
+
+
+def damaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``topic_records`` as a careless producer sends them. By event id modulo ``BAD_CYCLE``: 0 JSON cut off,
+    1 no comment id (nor message), 2 no value at all, 3 no message, 4 no video, 5 an empty video, 6 a malformed time."""
+    c = comments(spark, sf_dir).withColumn("published_at", iso(F.col("published_at")))
+    kind = F.col("comment_id").cast("long") % BAD_CYCLE
+    payload = F.to_json(F.struct(
+        F.lit(S.MESSAGE_TYPE_CHAT).alias("type"),
+        F.when(kind != 1, F.col("comment_id")).alias("commentId"),
+        F.when(kind == 5, "").when(kind != 4, F.col("video_id")).alias("videoId"),
+        F.when(~kind.isin(1, 3), F.col("message")).alias("message"),
+        F.col("author_id").alias("authorId"),
+        F.col("author_image").alias("authorImage"),
+        F.col("author_name").alias("authorName"),
+        F.when(kind == 6, "bad").otherwise(F.col("published_at")).alias("publishedAt"),
+    ))
+    cut_off = F.concat(F.lit('{"commentId":"'), F.col("comment_id"), F.lit('"'))
+    return c.select(
+        F.col("video_id").alias("key"),
+        F.when(kind == 0, cut_off).when(kind != 2, payload).alias("value"),
+        F.lit(S.TOPIC).alias("topic"),
+        (F.length("video_id") % 3).cast("int").alias("partition"),
+        F.col("comment_id").cast("long").alias("offset"),
+        F.col("kafka_timestamp").alias("timestamp"),
+    )
+
+
 PAGE_SIZE = 200  # items per chat page (pages never grow with the data)
 
 
@@ -169,6 +200,21 @@ def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("video_id", page.alias("page_no")).agg(F.collect_list(item).alias("items"))
 
 
+DECOMPOSED = "àáâäçèéêëíîïñóôöùúûüÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"    # letters of the test languages that have a decomposed form
+
+
+def decomposed(text: Column) -> Column:
+    """The text with these letters written as base letter and combining mark."""
+    for letter in DECOMPOSED:
+        text = F.replace(text, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    return text
+
+
+def without_some_videos(rows: DataFrame) -> DataFrame:
+    """Comments of which every fifth lost its video id."""
+    return rows.withColumn("video_id", F.when(F.col("comment_id").cast("long") % 5 != 0, F.col("video_id")))
+
+
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawler status log modelled on events: video = user id, status = event type, seq = event id."""
     ev = table(spark, sf_dir, "events")
