@@ -7,17 +7,18 @@ intersected with a Levenshtein automaton, determinised as words need it, which f
 up to ``EDITS`` edits and beginnings. Hits add up over a context window; hits inside quotation marks count a
 fraction. A logistic regression over a few sums of that kind gives the score.
 
-The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of their id)
-and keeps at most ``MOST_TERMS`` terms; scoring covers every row and the whole text.
+The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of their id
+among the labels that meet a document) and keeps at most ``MOST_TERMS`` terms; scoring covers every row and the whole text.
 
 Defined cases: null and empty texts have no hits and get the score of the intercept; without labels of both
-classes every score is the share of toxic labels (0.5 without any); rows that repeat score alike; a document
+classes among the documents nothing tells toxic texts, every score is 0, no text is called toxic, and a warning is given; rows that repeat score alike; a document
 with several labels counts as toxic if one of them says so. Extra columns pass through; columns named like a
 result are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -262,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled rows outside the held-out fold."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("toxic"))
+    known = known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")       # only labels that meet a document
     known = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))       # at most sample_rows small rows
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "__id")
     one = texts.groupBy(F.xxhash64("text")).agg(F.min("__id").alias("__id"), F.max("toxic").alias("toxic"))
@@ -270,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         totals = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
         n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
         if not n_toxic or not n_clean:
-            share = 0.5 if n_toxic == n_clean else float(n_toxic > 0)
-            return ToxicityModel(weights=[40.0 * (2 * share - 1)] + [0.0] * N_FEATURES)
+            warnings.warn(f"toxicity: {n_toxic} toxic and {n_clean} clean labelled texts, no text will be called toxic", stacklevel=2)
+            return ToxicityModel(weights=[-40.0] + [0.0] * N_FEATURES)
         texts = texts.drop("toxic").join(F.broadcast(one), "__id")
         counts = texts.select("text", "toxic").mapInArrow(_count_terms, "term string, beginning boolean, toxic long, clean long")
         counts = counts.groupBy("term", "beginning").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))

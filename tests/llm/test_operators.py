@@ -285,6 +285,24 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty.select("doc_id", "text"), labels.limit(0))).collect() == []
 
 
+def test_toxicity_without_labels_of_both_classes_keeps_documents(spark, scratch):
+    import corpus_pipeline
+
+    docs, labels, _ = toxic_tables(spark)
+    for name, some in (("none", labels.limit(0)), ("toxic", labels.where("toxic = 1")), ("clean", labels.where("toxic = 0")),
+                       ("elsewhere", labels.withColumn("doc_id", toxicity.F.col("doc_id") + 100_000))):
+        some.write.parquet(f"{scratch}/{name}/labels.parquet")
+        with pytest.warns(UserWarning, match="no text will be called toxic"):
+            kept = corpus_pipeline.drop_toxic(spark, docs, f"{scratch}/{name}").collect()
+        assert Counter(kept) == Counter(docs.collect())
+
+
+def test_toxicity_samples_labels_of_the_documents(spark):
+    docs, labels, _ = toxic_tables(spark)
+    others = spark.range(10_000, 60_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    assert toxicity.fit(docs, labels.union(others), sample_rows=600) == toxicity.fit(docs, labels, sample_rows=600)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcd", min_size=1, max_size=8), min_size=1, max_size=6, unique=True), st.text("abcd", max_size=9))
 def test_lexicon_automaton_finds_what_edit_distance_finds(terms, word):
