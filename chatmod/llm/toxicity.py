@@ -159,13 +159,13 @@ class ToxicityModel:
         return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6)
 
 
-def _quoted(data: np.ndarray, words: Words, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _quoted(data: np.ndarray, offsets: np.ndarray, words: Words, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each word (number ``at`` of text ``doc``) stands between two quotation marks of its text."""
     mark = np.flatnonzero(data == 0x22)
     if not len(mark) or not len(at):
         return np.zeros(len(at), bool)
     owner = np.searchsorted(words.begin, mark)              # the word each mark stands before
-    text = np.searchsorted(words.first, owner, "right") - 1
+    text = np.searchsorted(offsets, mark, "right") - 1
     place = np.searchsorted(mark, words.begin[at])
     first = np.searchsorted(text, doc)
     inside = (place - first) % 2 == 1
@@ -179,7 +179,8 @@ def _features(machine: LexiconAutomaton, data: np.ndarray, offsets: np.ndarray)
     out, count = np.zeros((n, N_FEATURES)), np.zeros(n, np.int64)
     for lo, hi in slices(offsets):
         part = LOWER[data[offsets[lo]:offsets[hi]]]
-        words = Words(part, offsets[lo:hi + 1] - offsets[lo], LETTERS)
+        ends = offsets[lo:hi + 1] - offsets[lo]
+        words = Words(part, ends, LETTERS)
         if not len(words):
             continue
         every = np.arange(len(words))
@@ -194,7 +195,7 @@ def _features(machine: LexiconAutomaton, data: np.ndarray, offsets: np.ndarray)
             continue
         entry, fuzzy = entry[group[hit]], fuzzy[group[hit]]
         doc = np.searchsorted(words.first, hit, "right") - 1
-        quoted = _quoted(part, words, doc, hit)
+        quoted = _quoted(part, ends, words, doc, hit)
         worth = np.array(machine.evidence)[entry] * np.where(quoted, QUOTED, 1.0)
         exact, near = np.where(fuzzy, 0, worth), np.where(fuzzy, worth, 0)
         place = hit + doc * (2 * WINDOW + 1)                # texts a window apart

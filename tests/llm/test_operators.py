@@ -329,6 +329,16 @@ def test_quoted_hits_count_less():
     assert x[0, 0] < x[1, 0] == x[2, 0] and x[0, 4] == 1 and x[1, 4] == x[2, 4] == 0
 
 
+def test_quotations_do_not_depend_on_the_row_before():
+    machine = toxicity.LexiconAutomaton([("badword", False, 3.0)])
+    texts = ['he said "badword"', 'badword he said "so badword" there', "", 'a "', "badword"]
+    alone = [toxicity._features(machine, *spans.utf8(token_files.pa.array([t])))[0][0].tolist() for t in texts]
+    assert [a[4] for a in alone] == [1, 0.5, 0, 0, 0]
+    for order in ([0, 1, 2, 3, 4], [1, 0, 2, 3, 4], [3, 0, 4, 1, 2], [0, 0, 3, 2, 1]):
+        x, _ = toxicity._features(machine, *spans.utf8(token_files.pa.array([texts[i] for i in order])))
+        assert x.tolist() == [alone[i] for i in order]
+
+
 def test_bpe(spark, docs, empty):
     import tiktoken
 
