@@ -1,11 +1,14 @@
 """Personal data: surrogates that keep type, format, script and gender.
 
-Entities are found by pattern: e-mail addresses, telephone numbers, IPv4 addresses, card numbers, secrets
-(quoted hexadecimal strings) and names after a title. An entity's canonical form (digits of a number, a name
+Entities are found by pattern: e-mail addresses, telephone numbers, IPv4 addresses, card numbers (with a fitting
+check digit), secrets (quoted hexadecimal strings) and names after a title; a document's names are then looked for
+in the rest of its text, where they count without a title if not in small letters. An entity's canonical form (digits of a number, a name
 in lower case) with a secret key gives its surrogate: digits for digits in the mention's own punctuation,
 hexadecimal for hexadecimal, a pronounceable name in the same script and letter case, with an ending that
 fits the title's gender. Mentions of one entity in any document and format get one surrogate (coreference);
-"Mr Smith" and "Mr John Smith" share the surname's.
+"Mr Smith" and "Mr John Smith" share the surname's. A name without a telling title takes the gender of the nearest
+earlier mention in its document that has one (else of the first later one); failing that, the only one
+known for it in the corpus.
 
 Distinctness is checked over the corpus: the distinct entities are listed once, and those whose surrogate
 is also another one's, or is itself an entity of the corpus, draw again with the next attempt until no
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -43,11 +47,16 @@ PATTERN = re.compile(
     r"|(?P<secret>(?<=[\"'])[0-9A-Fa-f]{32,128}(?=[\"']))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w))"
-    r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w))"
+    r"|(?P<plain>(?<![\w+])(?<!\d[.-])(?:(?:1[ .-])?\d{3}[ ./-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-](?:\d{5,8}|\d{3,4}[ -]\d{3,4}|\d{2,3}(?:[ -]\d{2,3}){2,3})|0\d(?:[ .]\d\d){4})(?!\w)(?![.-]\d))"
+    r"|(?P<card>(?<![\w.+])(?<!\D-)\d(?:[ -]?\d){12,18}(?!\w))"
     rf"|(?P<title>\b(?:{'|'.join(TITLES)})\b\.?\s+)(?P<name>{_NAME}(?: {_NAME})?)")
 KINDS = ("email", "secret", "ip", "phone", "card", "name")
 _HINTS = ("@", *TITLES)
 _NUMBER = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
+_OWNER = re.compile(r"['’][sS]\b")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 # Syllables of made-up names by script, and endings by gender
 _SYLLABLES = {"latin": ("bal cor den fal gar hol jen kel lam mar nor pel ras sol tam vel wen zor bri dan".split(), {"m": "o", "f": "a", "n": "en"}),
@@ -87,7 +96,9 @@ def entities(kind: str, mention: str, gender: str = "n") -> list[tuple[str, str]
         local, _, domain = mention.lower().rpartition("@")
         return [("local", local), ("domain", domain)]
     if kind in ("phone", "card"):
-        return [(kind, re.sub(r"\D", "", mention))]
+        digits = re.sub(r"\D", "", mention)
+        national = kind == "phone" and len(digits) == 10 and digits[0] != "0" and not mention.startswith("+")
+        return [(kind, "1" + digits if national else digits)]      # ten digits are those after +1
     if kind == "name":
         return [(f"name:{gender}:{_script(w)}", w.lower()) for w in mention.split()]
     return [(kind, mention.lower())]
@@ -98,7 +109,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     while True:
         n = _digest(key, kind, canonical, attempt)
         if kind in ("phone", "card"):
-            keep = len(canonical) - 10 if kind == "phone" and len(canonical) > 10 else 0     # the country code stays
+            keep = max(len(canonical) - 10, canonical[0] == "0", 0) if kind == "phone" else 0    # the country code or the 0 stays
             out = canonical[:keep] + _draw(n, "123456789", 1) + _draw(n >> 8, "0123456789", len(canonical) - keep - 1)
             if kind == "card" and _luhn(canonical) == 0:        # a valid number gets a valid one
                 out = out[:-1] + str((int(out[-1]) - _luhn(out)) % 10)
@@ -134,7 +145,7 @@ def _like(mention: str, canonical: str) -> str:
 def render(kind: str, mention: str, parts: list[str]) -> str:
     """Surrogate parts in the format of a mention."""
     if kind in ("phone", "card"):
-        digits = iter(parts[0])
+        digits = iter(parts[0][len(parts[0]) - len(re.sub(r"\D", "", mention)):])       # without a country code the mention lacks
         return re.sub(r"\d", lambda _: next(digits), mention)
     if kind == "email":
         out = f"{parts[0]}@{parts[1]}"
@@ -144,14 +155,85 @@ def render(kind: str, mention: str, parts: list[str]) -> str:
     return parts[0].upper() if mention.isupper() else parts[0]
 
 
-def find(text: str) -> Iterator[tuple[str, str, str, int, int]]:
+def _card(text: str, start: int, end: int) -> int:
+    """The end of the longest valid card number of whole groups of digits at ``start``, or 0."""
+    best, digits = 0, ""
+    for m in _DIGITS.finditer(text, start, end):
+        if digits and len(m[0]) > 12:       # a group of 13 or more digits is a number of its own
+            break
+        digits += m[0]
+        if len(digits) > 12 and _luhn(digits) == 0:
+            best = m.end()
+        if len(m[0]) > 12:
+            break
+    return best
+
+
+def _patterns(text: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """What ``PATTERN`` finds, left to right."""
+    m = PATTERN.search(text)
+    while m:
+        kind = {"plain": "phone"}.get(m.lastgroup, m.lastgroup)
+        start, end = m.span(m.lastgroup)
+        if kind == "card":
+            end = _card(text, start, end)
+        elif kind == "name":
+            owner = _OWNER.search(text, start, end)
+            end = owner.start() if owner else end
+        if end:
+            yield kind, text[start:end], TITLES[m["title"].strip().rstrip(".")] if kind == "name" else "n", start, end
+        m = PATTERN.search(text, end or _DIGITS.match(text, start).end())
+
+
+def _coreference(text: str, found: list[tuple[str, str, str, int, int]]) -> list[tuple[str, str, str, int, int]]:
+    """``found`` with the other mentions of its names, and with the gender known for names without a telling title."""
+    def known(named: list) -> dict[str, tuple[list[int], list[str]]]:
+        out: dict[str, tuple[list[int], list[str]]] = {}
+        for _, mention, gender, start, _ in named:
+            for w in mention.lower().split():
+                at, genders = out.setdefault(w, ([], []))
+                if gender != "n":
+                    at.append(start)
+                    genders.append(gender)
+        return out
+
+    def gender(words: list[str], start: int, people: dict) -> str:
+        for w in reversed(words):
+            at, genders = people.get(w, ((), ()))
+            if at:
+                return genders[max(bisect_right(at, start) - 1, 0)]
+        return "n"
+
+    people = known([f for f in found if f[0] == "name"])
+    found = [(k, m, gender(m.lower().split(), a, people) if k == "name" and g == "n" else g, a, b) for k, m, g, a, b in found]
+    people = known([f for f in found if f[0] == "name"])
+    names = {w.lower() for k, m, *_ in found if k == "name" for i, w in enumerate(m.split()) if i == 0 or not w[0].islower()}
+    most = max(len(_LETTERS.findall(w)) for w in names)
+    more, place = [], 0
+    for token in _WORD.finditer(text):
+        while place < len(found) and found[place][4] <= token.start():
+            place += 1
+        letters = [m.span() for m in _LETTERS.finditer(text, *token.span())]
+        i = 0
+        while i < len(letters):
+            start, until = letters[i][0], i + 1
+            for j in range(min(i + most, len(letters)), i, -1):
+                word = text[start:letters[j - 1][1]]
+                free = place == len(found) or letters[j - 1][1] <= found[place][3]
+                if free and not word[0].islower() and word.lower() in names:
+                    more.append(("name", word, gender([word.lower()], start, people), start, start + len(word)))
+                    until = j
+                    break
+            i = until
+    return sorted(found + more, key=lambda f: f[3])
+
+
+def find(text: str) -> list[tuple[str, str, str, int, int]]:
     """(kind, mention, gender, start, end) of every entity of a text, left to right."""
     if not (_NUMBER.search(text) or any(h in text for h in _HINTS)):
-        return
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "title" else "name"
-        gender = TITLES[m["title"].strip().rstrip(".")] if kind == "name" else "n"
-        yield kind, m[kind], gender, m.start(kind), m.end(kind)
+        return []
+    found = list(_patterns(text))
+    return _coreference(text, found) if any(f[0] == "name" for f in found) else found
 
 
 def _mentions(text_col: str):
@@ -194,11 +276,14 @@ def _rewrite(text_col: str, key: bytes):
                 if text is None:
                     out.append(None)
                     continue
-                attempts = {(r["kind"], r["canonical"]): r["attempt"] for r in later[i] or ()}
+                drawn = {(r["kind"], r["canonical"]): (r["drawn"], r["attempt"]) for r in later[i] or ()}
                 parts, at = [], 0
                 for kind, mention, gender, start, end in find(text):
                     counts[i, KINDS.index(kind)] += 1
-                    made = [surrogate(key, k, c, attempts.get((k, c), 0)) for k, c in entities(kind, mention, gender)]
+                    made = []
+                    for k, c in entities(kind, mention, gender):
+                        k_drawn, attempt = drawn.get((k, c), (k, 0))
+                        made.append(surrogate(key, k_drawn, c, attempt))
                     parts += [text[at:start], render(kind, mention, made)]
                     at = end
                 out.append("".join(parts) + text[at:])
@@ -227,17 +312,30 @@ def surrogates(mentions: DataFrame, key: bytes) -> DataFrame:
         drawn = cut(drawn.join(again.select("kind", "canonical"), ["kind", "canonical"], "left_anti").union(redrawn))
 
 
+def _known_genders(real: DataFrame) -> DataFrame:
+    """(kind, canonical, drawn): distinct entities with the kind their surrogate is drawn for, which tells a neutral name's
+    gender if the corpus has exactly one for it."""
+    script, told = F.substring_index("kind", ":", -1), F.col("kind").rlike("^name:[fm]:")
+    one = real.where(told).groupBy(script.alias("script"), "canonical").agg(F.min("kind").alias("told"), F.count("*").alias("n"))
+    neutral = real.where(F.col("kind").startswith("name:n:")).withColumn("script", script)
+    names = neutral.join(one.where("n = 1").drop("n"), ["script", "canonical"], "left").select(
+        "kind", "canonical", F.coalesce("told", "kind").alias("drawn"))
+    return names.union(real.where(~F.col("kind").startswith("name:n:")).select("kind", "canonical", F.col("kind").alias("drawn")))
+
+
 def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with safe_text, n_entities and n_<kind>. ``key``: the secret that fixes all surrogates."""
     results = ["safe_text", "n_entities", *[f"n_{k}" for k in KINDS]]
     rows = docs.drop(*results)
     mentions = rows.select(*row_keys(id_col, text_col), text_col).mapInArrow(_mentions(text_col), "k1 long, k2 long, kind string, canonical string")
-    later = surrogates(mentions, key).where("attempt > 0")
+    real = cut(_known_genders(cut(mentions.select("kind", "canonical").distinct())))
+    made = surrogates(real.select(F.col("drawn").alias("kind"), "canonical"), key).select(F.col("kind").alias("drawn"), "canonical", "attempt")
+    later = real.join(made, ["drawn", "canonical"]).where("attempt > 0 OR drawn <> kind")
     if later.isEmpty():
-        marked = rows.withColumn("__later", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
+        marked = rows.withColumn("__later", F.lit(None).cast("array<struct<kind:string,canonical:string,drawn:string,attempt:int>>"))
     else:
         per_row = mentions.join(later, ["kind", "canonical"]).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
-            F.collect_set(F.struct("kind", "canonical", "attempt")).alias("__later"))
+            F.collect_set(F.struct("kind", "canonical", "drawn", "attempt")).alias("__later"))
         keyed = rows.select("*", *[c.alias(f"__{k}") for c, k in zip(row_keys(id_col, text_col), ("k1", "k2"))])
         marked = keyed.join(per_row, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     schema = T.StructType([*marked.schema.fields[:-1], T.StructField("safe_text", T.StringType()),

@@ -400,6 +400,35 @@ def test_surrogates(spark, empty):
     assert pii.replace_personal_data(empty, b"k").collect() == []
 
 
+def test_names_phones_and_cards_in_every_form():
+    found = lambda t: [(k, m, g) for k, m, g, _, _ in pii.find(t)]
+    assert found("Mr John Smith came. Smith said he saw SMITH's smith; Smithson and Smith-led, John") == [
+        ("name", "John Smith", "m"), ("name", "Smith", "m"), ("name", "SMITH", "m"), ("name", "Smith", "m"), ("name", "John", "m")]
+    assert found("Dr Smith, Mrs Smith's house") == [("name", "Smith", "f"), ("name", "Smith", "f")]
+    assert [g for *_, g in found("Mr Lee. Dr Lee. Mrs Lee. Lee")] == ["m", "m", "f", "f"]
+    assert found("Mrs Smith-Jones; Smith-Jones, Smith") == [("name", "Smith-Jones", "f")] * 2
+    assert found("Mr Smith came. He came. Came") == [("name", "Smith came", "m")]
+    for phone in ("212-555-0147", "212.555.0147", "212 555-0147", "1-212-555-0147", "(212) 555-0147", "020 7946 0958", "0171/1234567", "01 42 68 53 00"):
+        assert found(f"call {phone} 24 h") == [("phone", phone, "n")]
+    assert not found("2024-01-15 10:30, 1.234.567, 100 200 300, id 4111111111111112 9807915762804490")
+    card = "4111111111111111"
+    for text in (card, f"7 {card} 3", f"12-{card}", f"9807915762804490 {card}", f"{card} 212", "1 4111 1111 1111 1111"):
+        assert card in [re.sub(r"\D", "", m) for k, m, _ in found(text) if k == "card"], text
+    assert found(f"{card} 212-555-0147") == [("card", card, "n"), ("phone", "212-555-0147", "n")]
+
+
+def test_one_surrogate_per_entity(spark):
+    x = ["Dr Smith", "Mr John Smith came. Smith said", "Prof Lee", "Mr Lee and Mrs Lee", "212-555-0147, +1 (212) 555-0147", "Dr Kim"]
+    rows = pii.replace_personal_data(spark.createDataFrame(list(enumerate(x)), "doc_id long, text string"), b"k").collect()
+    safe = {r.doc_id: r.safe_text for r in rows}
+    smith = safe[0].split()[1]
+    assert safe[1].split()[2] == smith == safe[1].split()[4] and smith.endswith("o") and "Smith" not in safe[1]
+    assert safe[2].split()[1] not in safe[3].split()            # two people: the title tells neither
+    plain, other = safe[4].split(", ")
+    assert re.sub(r"\D", "", other) == "1" + re.sub(r"\D", "", plain) and len(plain) == 12 and "555-0147" not in safe[4]
+    assert {r.doc_id: r.n_name for r in rows} == {0: 1, 1: 2, 2: 1, 3: 2, 4: 0, 5: 1}
+
+
 def test_surrogate_collisions_are_drawn_again(spark, monkeypatch):
     true = pii.surrogate
     # first attempts of all addresses meet in one surrogate
