@@ -41,19 +41,30 @@ RANGES_PER_PARTITION = 4
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = 1000           # pieces handed to the tokenizer as one sequence
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def _tokenizer(path: str) -> ChunkEncoder:
+def _tokenizer(path: str, added_tokens: bool = False) -> ChunkEncoder:
     """Encoder of a tokenizer file. Distinct chunks are split here and passed on as pieces, many at once, if the
-    file's pre-tokenizer is the plain byte-level one; else each is a text of its own."""
-    if path not in _ENCODERS:
+    file's pre-tokenizer is the plain byte-level one; else each is a text of its own. With ``added_tokens`` the strings
+    of the file's added tokens get their ids, as in the library by default: chunks that hold one are texts of their own."""
+    if (path, added_tokens) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         setup = json.loads(tokenizer.to_str())
+        marks = [t["content"].encode("utf-8") for t in setup["added_tokens"]] if added_tokens else []
+        if added_tokens and any(t["rstrip"] or regex.search(r"\s", t["content"]) for t in setup["added_tokens"]):
+            raise ValueError(f"{path}: an added token holds or takes white space, which may lie in two chunks")
+        unchanged = Tokenizer.from_file(path)
+        if not added_tokens:
+            tokenizer.encode_special_tokens = unchanged.encode_special_tokens = True    # their strings in a text are ordinary text
+
+        def whole(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            made = [e.ids for e in unchanged.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
+            return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
+
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if setup["normalizer"] is None and plain.items() <= (setup["pre_tokenizer"] or {}).items():
             tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -62,27 +73,38 @@ def _tokenizer(path: str) -> ChunkEncoder:
             for token, i in tokenizer.get_vocab().items():
                 n_bytes[i] = len(token)             # the byte-level alphabet has a character per byte
 
-            def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            def in_pieces(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 pieces = [piece for chunk in chunks for piece in split(chunk.decode("utf-8"))]
                 parts = [pieces[i:i + PIECES] for i in range(0, len(pieces), PIECES)]
                 made = tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
                 ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
                 ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(c) for c in chunks])) + 1    # tokens cover all bytes
                 return ids, np.diff(ends, prepend=0)
-        else:
+
             def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-                made = [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-                return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made])
+                marked = [i for i, c in enumerate(chunks) if any(m in c for m in marks)]
+                if not marked:
+                    return in_pieces(chunks)
+                rest = sorted(set(range(len(chunks))) - set(marked))
+                out: list = [None] * len(chunks)
+                for at, how in ((marked, whole), (rest, in_pieces)):
+                    if at:
+                        ids, n = how([chunks[i] for i in at])
+                        for i, part in zip(at, np.split(ids, np.cumsum(n)[:-1])):
+                            out[i] = part
+                return np.concatenate(out), np.array([len(part) for part in out])
+        else:
+            encode = whole
 
         _ENCODERS.clear()
-        _ENCODERS[path] = ChunkEncoder(encode)
-    return _ENCODERS[path]
+        _ENCODERS[path, added_tokens] = ChunkEncoder(encode)
+    return _ENCODERS[path, added_tokens]
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, added_tokens: bool):
     @frugal
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(path)
+        encoder = _tokenizer(path, added_tokens)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi, ids, at in encoder.texts(data, offsets):
@@ -206,13 +228,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                      end_id: int = 0) -> str:
-    """Writes the files of ``docs`` and returns their folder (by default a new one in the shared folder)."""
+                      end_id: int = 0, added_tokens: bool = False) -> str:
+    """Writes the files of ``docs`` and returns their folder (by default a new one in the shared folder). ``added_tokens``:
+    whether the strings of the tokenizer's added tokens get their ids; else they are ordinary text."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, f"token-files-{uuid.uuid4().hex}")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_tokenise(tokenizer, end_id), f"doc_id {kind}, tie long, ids binary").write.option(
+    rows.mapInArrow(_tokenise(tokenizer, end_id, added_tokens), f"doc_id {kind}, tie long, ids binary").write.option(
         "compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
 

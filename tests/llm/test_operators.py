@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chatmod.llm import bpe, components, decontaminate, exact_dedup, huffman, language_id, pii, sharding, simhash
+from chatmod.llm import bpe, components, decontaminate, exact_dedup, huffman, language_id, pii, queries, sharding, simhash
 from chatmod.llm import spans, substring_dedup, token_files, toxicity
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -242,6 +242,21 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty, path)).collect() == []
 
 
+def test_token_files_query_gives_added_tokens_their_ids(spark, scratch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "plain text", "a<|endoftext|><|endoftext|>  b \n <|endoftext|>", "<|endoftext|>", None, "é <|endoftext|", "it's  <|endoftext|>it's"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    rows = queries.op7_token_files(spark, scratch).collect()
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, rows)) == want and want[0][2] == 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10_000), min_size=2, max_size=300), st.integers(9, 16))
 def test_huffman_round_trip(weights, limit):
