@@ -130,17 +130,15 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     languages, log_p = fit_text_model(docs, sample_rows=sample_rows)
     kind = pages.schema[id_col].dataType
     names = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "domain", "suffix", "declared")])
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("host", T.StringType()), T.StructField("lang", T.StringType()),
-                        T.StructField("p", T.ArrayType(T.DoubleType()))])
-    if not languages:
-        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.fields[2:]]
-        return pages.select(id_col, F.lit("").alias("host"), *nothing)
     k = len(languages)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),
                         F.substring_index(host, ".", -1).alias("suffix"), F.col(html_col).alias("__html"))
     schema = T.StructType([T.StructField(id_col, kind), *names.fields[:3], names.fields[3], T.StructField("text_ll", T.ArrayType(T.DoubleType()))])
     rows = rows.mapInArrow(_text_evidence(log_p), schema)
+    if not languages:
+        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("text_lang", "string"), ("lang", "string"), ("posterior", "double"), ("p", "array<double>"))]
+        return rows.select(id_col, "host", "suffix", "declared", *nothing)
     text = [F.col("text_ll")[i] for i in range(k)]
     rows = cut(rows.select(id_col, *names.fieldNames(), "text_ll", *[p.alias(f"b{i}") for i, p in enumerate(_normal(text))]))
     beliefs = [f"b{i}" for i in range(k)]

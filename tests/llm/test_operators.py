@@ -480,6 +480,20 @@ def test_language_id(spark, empty):
     assert language_id.identify(pages, docs.limit(0)).count() == len(rows)
 
 
+def test_language_query_without_labelled_documents(spark, scratch):
+    pages = [(1, "http://h.example.de/x", '<html lang="de"><p>x</p>'), (2, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{scratch}/pages.parquet")
+    for name, rows in (("none", []), ("unlabelled", [(1, "some text", None)])):
+        documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        normal = language_id.identify(spark.read.parquet(f"{scratch}/pages.parquet"), spark.createDataFrame([(1, "ein text", "de")], documents.schema))
+        found = language_id.identify(spark.read.parquet(f"{scratch}/pages.parquet"), documents)
+        assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in normal.schema]
+        documents.write.parquet(f"{scratch}/{name}/documents.parquet")
+        spark.read.parquet(f"{scratch}/pages.parquet").write.parquet(f"{scratch}/{name}/pages.parquet")
+        out = sorted(map(tuple, queries.op2_language_id(spark, f"{scratch}/{name}").collect()))
+        assert out == [(1, "h.example.de", "de", "de", None, None, None), (2, "", "", "", None, None, None)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab \n é\x1c'1!")), max_size=30), max_size=8))
 def test_words_and_groups(texts):
