@@ -3,10 +3,11 @@
 Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z in lower case. The windows of
 the benchmark items (``window`` words; a shorter item is one window) become a sorted array of hashes,
 broadcast to the tasks. Tasks hash the windows of each text, look them up, and compare the bytes of every
-hit with the item's window. No row is shuffled.
+hit with the item's window. With one block no row is shuffled.
 
-The benchmark is broadcast in blocks of at most ``block_bytes`` of text (an item is never split); with
-several blocks the texts are scanned once for each.
+The benchmark is broadcast in blocks of at most ``block_bytes`` of text (an item is never split). With several
+blocks the texts are scanned once for each: a block is read, broadcast, its hits are written to the shared folder
+by the digest of their text, and it is released before the next is read; then the texts are joined with all hits.
 
 Defined cases: null texts and items have no words and match nothing; items without an id are listed as
 "null"; an id that repeats in the benchmark is listed once; rows of ``docs`` that repeat are judged alike.
@@ -15,6 +16,7 @@ Extra columns pass through; columns named like a result are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatmod.llm.spans import LOWER, U64, equal_spans, frugal, ramp, slices, utf8, Words
+from chatmod.session import shared_dir
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -161,11 +164,14 @@ def _finish(text: str, clean: bool):
     return finish
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Blocks (key, ids, texts) of at most ``block_bytes`` of text, read one after the other."""
-    spark = items.sparkSession
+def _n_blocks(items: DataFrame, text_col: str, block_bytes: int) -> int:
     size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = -(-2 * size // block_bytes) if size > block_bytes else 1        # blocks half full on average
+    return -(-2 * size // block_bytes) if size > block_bytes else 1     # half full on average
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, n: int):
+    """``n`` blocks (key, ids, texts), each read when it is asked for."""
+    spark = items.sparkSession
     rows = items.where(F.length(text_col) > 0).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"),
                                                       F.col(text_col).alias("t"))
     for b in range(n):
@@ -179,13 +185,27 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` with n_words, n_hit, items (sorted ids) and clean_text (the text without the hit words and
     what stands between them; null unless ``clean``)."""
     rows = docs.drop(*RESULT.fieldNames())
-    rows = rows.select("*", F.lit(None).cast("array<int>").alias("__hit"), F.lit(None).cast("array<string>").alias("__item"))
-    *earlier, last = (_scan(shared, window, text_col) for shared in _blocks(benchmark, item_id, item_text, block_bytes))
-    for scan in earlier:
-        rows = rows.mapInArrow(frugal(scan), rows.schema)
+    nothing = [F.lit(None).cast("array<int>").alias("__hit"), F.lit(None).cast("array<string>").alias("__item")]
+    n = _n_blocks(benchmark, item_text, block_bytes)
+    blocks = _blocks(benchmark, item_id, item_text, n)
     finish = _finish(text_col, clean)
+    if n == 1:
+        rows = rows.select("*", *nothing)
+        scan = _scan(next(blocks), window, text_col)
+        judge = lambda batches: finish(scan(batches))
+    else:
+        folder = shared_dir(docs.sparkSession, f"benchmark-hits-{uuid.uuid4().hex}")
+        texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), *nothing)
+        for shared in blocks:
+            found = texts.mapInArrow(frugal(_scan(shared, window, "text")), texts.schema).where("__hit IS NOT NULL")
+            found.select(F.sha2("text", 256).alias("__text"), "__hit", "__item").write.mode("append").parquet(folder)
+            shared.destroy()
+        hits = docs.sparkSession.read.parquet(folder).groupBy("__text").agg(        # equal texts have equal hits, once per block
+            F.flatten(F.collect_set("__hit")).alias("__hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__item")))).alias("__item"))
+        rows = rows.withColumn("__text", F.sha2(text_col, 256)).join(hits, "__text", "left").drop("__text")
+        judge = finish
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("__hit", "__item")] + RESULT.fields)
-    return rows.mapInArrow(frugal(lambda batches: finish(last(batches))), schema)
+    return rows.mapInArrow(frugal(judge), schema)
 
 
 def contaminated() -> Column:

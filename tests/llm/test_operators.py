@@ -132,6 +132,29 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.remove_documents(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_decontaminate_holds_one_block_at_a_time(spark, docs, monkeypatch):
+    words = [t for _, t, *_ in ROWS if t and len(t.split()) > 30][0].split()
+    bench = spark.createDataFrame([(i, " ".join(words[i:i + 12])) for i in range(12)] + [(i, f"no such item {i}") for i in range(12, 40)], "item_id long, text string")
+    blocks, broadcast = [], spark.sparkContext.broadcast
+
+    def watched(value):
+        assert all(b.gone for b in blocks)
+        block = broadcast(value)
+        block.gone, destroy = False, block.destroy
+        block.destroy = lambda *a: (destroy(*a), setattr(block, "gone", True))
+        blocks.append(block)
+        return block
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    many = decontaminate.find_benchmark(docs, bench, block_bytes=200)
+    assert len(blocks) > 5 and all(b.gone for b in blocks)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    monkeypatch.undo()
+    one = decontaminate.find_benchmark(docs, bench)
+    assert many.schema == one.schema
+    assert Counter(map(str, many.collect())) == Counter(map(str, one.collect())) and one.where("size(items) > 1").count()
+
+
 def fingerprint(text):
     w = re.findall(SPACE, lower(text or ""))
     shingles = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
