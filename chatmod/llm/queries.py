@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmod.llm import bpe, decontaminate, exact_dedup, language_id, pii, sharding, simhash, substring_dedup, token_files, toxicity
+from chatmod.llm import (bpe, conversations, decontaminate, exact_dedup, hard_negatives, language_id, pii, sharding, simhash, substring_dedup, token_files,
+                         toxicity, url_filters)
 from chatmod.llm.frames import table
 
 SURROGATE_KEY = b"registered query"     # a deployment passes its own secret
@@ -78,8 +79,34 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("safe_text").alias("text"), "n_entities", *[f"n_{k}" for k in pii.KINDS])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least edits that repair every conversation after a fixed damage, and a digest of the repaired rows."""
+    rows, known = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repaired(rows, conversations.find_repairs(rows, **known), digests=True, **known)
+
+
+# The rules of the query
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's address."""
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    judged = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives, after every seventh vector's label moved on."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_simhash,
-                                   op6_balanced_shards, op7_token_files, op8_toxicity, op9_byte_bpe, op10_surrogates)}
+                                   op6_balanced_shards, op7_token_files, op8_toxicity, op9_byte_bpe, op10_surrogates,
+                                   op11_conversation_repair, op12_url_filters, op13_hard_negatives)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -112,4 +139,25 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS x
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
        sha256(coalesce(items.x, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_url_filters": r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '\A(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '\A(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(h, x, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                               ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+urls AS (SELECT DISTINCT host, path FROM p),
+fit AS (SELECT host, path, max_by(h || x, length(h || x)) AS rule, max_by(action, length(h || x)) AS action
+        FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path""",
+    "op13_hard_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT pos.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s ON s.anchor_id = pos.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) <= 5""",
 }
