@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chatmod.llm.chunks import ChunkEncoder
-from chatmod.llm.spans import frugal, ramp, utf8
+from chatmod.llm.spans import at_task_end, frugal, ramp, utf8
 
 MOST_STATES = 30_000        # determinised states a worker builds
 MOST_FITS = 150_000         # judged token pairs a worker keeps
@@ -288,15 +288,20 @@ class Utf8Stream:
         return out
 
 
-_WORKER: dict[tuple[str, str], tuple[ChunkEncoder, Transducer]] = {}
+_CHUNKS: dict[tuple[str, str], ChunkEncoder] = {}       # stays with a worker: some 60 bytes for each of TABLE_ROWS chunks
+
+
+@lru_cache(maxsize=1)
+def _machine(path: str) -> Transducer:
+    return Transducer(read_ranks(path))
 
 
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    if (path, pattern) not in _WORKER:
-        machine = Transducer(read_ranks(path))
+    if (path, pattern) not in _CHUNKS:
         pieces = regex.compile(pattern)
 
         def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            machine = _machine(path)
             ids: list[int] = []
             ends = [0]
             for chunk in chunks:
@@ -305,9 +310,9 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
                 ends.append(len(ids))
             return np.array(ids, np.uint32), np.diff(ends)
 
-        _WORKER.clear()
-        _WORKER[path, pattern] = ChunkEncoder(encode, TABLE_ROWS, SLICE_BYTES), machine
-    return _WORKER[path, pattern][0]
+        _CHUNKS.clear()
+        _CHUNKS[path, pattern] = ChunkEncoder(encode, TABLE_ROWS, SLICE_BYTES)
+    return _CHUNKS[path, pattern]
 
 
 @lru_cache(maxsize=1)
@@ -315,6 +320,12 @@ def _decoder(path: str) -> Decoder:
     return Decoder({rank: token for token, rank in read_ranks(path).items()})
 
 
+@at_task_end
+def _forget() -> None:
+    _machine.cache_clear()          # quickly built again, and large
+    _decoder.cache_clear()
+
+
 def _encode(path: str, pattern: str, text: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatmod.llm.spans import LOWER, U64, equal_spans, frugal, ramp, slices, utf8, Words
+from chatmod.llm.spans import LOWER, U64, at_task_end, equal_spans, frugal, ramp, slices, utf8, Words
 from chatmod.session import shared_dir
 
 WINDOW = 10
@@ -74,11 +74,12 @@ class _Windows:
         return both[0], both[1]
 
 
-_BUILT: dict[str, tuple[list[str], dict[int, _Windows]]] = {}    # the last block of this worker
+_BUILT: dict[str, tuple[list[str], dict[int, _Windows]]] = {}    # the last block of this worker's task
+at_task_end(_BUILT.clear)
 
 
 def _block(shared, window: int) -> tuple[list[str], dict[int, _Windows]]:
-    """Names and windows by size of a broadcast block; built once per worker."""
+    """Names and windows by size of a broadcast block; built once per task."""
     key, names, texts = shared.value
     key = f"{key}/{window}"
     if key not in _BUILT:

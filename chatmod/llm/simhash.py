@@ -33,6 +33,8 @@ from chatmod.llm.spans import LOWER, SPACES, U64, frugal, slices, utf8, Words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BUCKET_ROWS = 2048          # distinct fingerprints compared in one bucket
+BLOCK = 1 << 13             # shingles whose bits are added up at a time
+SLICE_BYTES = 1 << 20       # texts at a time; a longer text takes some 12 bytes of memory per byte
 
 
 def fingerprints(words: Words, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,15 +49,16 @@ def fingerprints(words: Words, shingle: int = SHINGLE) -> np.ndarray:
         order = np.argsort(start, kind="stable")
         start, end = start[order], end[order]
     n = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
-    text, digest = words.data.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[s:e], SEED) for s, e in zip(start.tolist(), end.tolist())), U64, len(start))
-    out = np.zeros(len(n), U64)
-    full = np.flatnonzero(n)
-    if len(full):
+    text, digest = memoryview(words.data), xxhash.xxh64_intdigest
+    ones = np.zeros((len(n), 64), np.int32)
+    owner = np.repeat(np.arange(len(n)), n)
+    for lo in range(0, len(start), BLOCK):
+        s, e, own = start[lo:lo + BLOCK], end[lo:lo + BLOCK], owner[lo:lo + BLOCK]
+        h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(s.tolist(), e.tolist())), U64, len(s))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (np.cumsum(n) - n)[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(U64).ravel()
-    return out
+        head = np.flatnonzero(np.diff(own, prepend=-1))
+        ones[own[head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(U64).ravel()
 
 
 def _fingerprint(shingle: int):
@@ -64,8 +67,8 @@ def _fingerprint(shingle: int):
         for batch in batches:
             data, offsets = utf8(batch.column("__text"))
             out = [np.zeros(0, U64)]
-            for lo, hi in slices(offsets):
-                words = Words(LOWER[data[offsets[lo]:offsets[hi]]], offsets[lo:hi + 1] - offsets[lo], ~SPACES)
+            for lo, hi in slices(offsets, SLICE_BYTES):
+                words = Words(LOWER[data[offsets[lo]:offsets[hi]]], offsets[lo:hi + 1] - offsets[lo], ~SPACES, hashed=False)
                 out.append(fingerprints(words, shingle))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k1"), batch.column("k2"),
                                               pa.array(np.concatenate(out).view(np.int64))], names=["id", "k1", "k2", "fp"])

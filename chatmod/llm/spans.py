@@ -25,14 +25,34 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+_AT_TASK_END: list = []
+
+
+def at_task_end(forget):
+    """Registers a function that drops tables a module keeps in its worker."""
+    _AT_TASK_END.append(forget)
+    return forget
+
+
+def release() -> None:
+    for forget in _AT_TASK_END:
+        forget()
+
+
+@at_task_end
+def _forget_powers() -> None:
+    _POWERS[:] = [np.ones(1, U64), np.ones(1, U64)]
+
+
 def frugal(task):
-    """A function over Arrow batches that gives its worker's free memory back when it ends: workers outlive
-    tasks, and several of them share an executor's memory."""
+    """A function over Arrow batches that drops what its worker's modules keep and gives free memory back when it
+    ends: workers outlive tasks, and several of them share an executor's memory."""
     @wraps(task)
     def run(batches):
         try:
             yield from task(batches)
         finally:
+            release()
             pa.default_memory_pool().release_unused()
             with suppress(OSError, AttributeError):         # only the GNU C library has it
                 ctypes.CDLL(None).malloc_trim(0)
@@ -158,10 +178,11 @@ class Words(Bytes):
 
     ``start[i]:start[j] - 1`` are words i to j - 1 joined by one space; ``first[d]`` is the
     first word of text d (``first[-1]``: all words). ``is_word`` tells which bytes words are made of;
-    ``begin`` and ``end`` are the words' places in the input.
+    ``begin`` and ``end`` are the words' places in the input. Without ``hashed`` spans have no hashes, which take
+    most of the memory.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, hashed: bool = True):
         w = is_word[data]
         n = len(data)
         edge = offsets[:-1][offsets[:-1] < n]
@@ -182,7 +203,10 @@ class Words(Bytes):
         letter[self.start[1:] - 1] = False
         out[letter] = data[w]
         self.first = np.searchsorted(begin, offsets)
-        super().__init__(out)
+        if hashed:
+            super().__init__(out)
+        else:
+            self.data = out
 
     def __len__(self) -> int:
         return len(self.start) - 1
