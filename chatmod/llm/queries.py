@@ -91,7 +91,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's address."""
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    row = lambda rule: F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "action"), rule)])
+    rules = spark.range(1).select(F.inline(F.array(*[row(rule) for rule in RULES])))
     judged = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
