@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from chatmod.llm.frames import cut
 from chatmod.llm.spans import frugal
+from chatmod.session import bounded_broadcast
 
 # Costs of the edits
 REROLE, DELETE, INSERT, CUT_OFF = 3, 4, 3, 3
@@ -187,32 +188,35 @@ def digest(text: Column) -> Column:
 
 def _ordered(rows: DataFrame) -> DataFrame:
     """The counted rows with ``again`` (the role and text occur at an earlier turn), in range partitions."""
-    first = rows.groupBy("c", "r", "d").agg(F.min(F.struct(F.col("t").isNotNull().alias("known"), "t")).alias("first"))
-    first = first.select(F.col("c").alias("c1"), F.col("r").alias("r1"), F.col("d").alias("d1"), F.col("first.t").alias("t1"))
+    first = rows.groupBy("c", "r", "d").agg(F.max(F.col("t").isNull()).alias("none"), F.min("t").alias("least"))       # null turns come first
+    first = first.select(F.col("c").alias("c1"), F.col("r").alias("r1"), F.col("d").alias("d1"), F.when(~F.col("none"), F.col("least")).alias("t1"))
     same = F.col("c").eqNullSafe(F.col("c1")) & F.col("r").eqNullSafe(F.col("r1")) & F.col("d").eqNullSafe(F.col("d1"))
-    marked = rows.join(first, same).select("c", "t", "r", "d", "blank", "cut_off", "n", (~F.col("t").eqNullSafe(F.col("t1"))).alias("again"))
+    # one row for each row of the left side at most, so a partition's hash table is no larger than its share
+    marked = rows.join(first.hint("shuffle_hash"), same).select("c", "t", "r", "d", "blank", "cut_off", "n", (~F.col("t").eqNullSafe(F.col("t1"))).alias("again"))
     marked = cut(marked)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return marked.repartitionByRange(parts, "c", "t", "r", "d").sortWithinPartitions("c", "t", "r", "d")
 
 
+NEIGHBOURS = 100_000        # segments told to their neighbours by a broadcast up to this many, by a shuffle beyond
 _COUNTS = ["total", "blank", "duplicate", "truncated", "illegal", "distinct_turns"]
 _SEGMENT = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), *[(c, pa.int64()) for c in _COUNTS], ("min_turn", pa.int64()), ("max_turn", pa.int64()),
                       ("first_role", pa.string()), ("last_role", pa.string()),
-                      ("rows", pa.binary()), ("gone", pa.binary())])
+                      ("rows", pa.binary()), ("gone", pa.binary()), ("edge", pa.bool_())])
 
 
 def _ddl(schema: pa.Schema, conv_type: str) -> str:
-    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {conv_type if f.name == ID else kinds[f.type]}" for f in schema)
 
 
 def _segments(limit: int, conv_type: pa.DataType):
     """Runs of rows of one conversation, as one record each: a byte per row that may stay (its role and whether it is cut
-    off) and the number of rows that must go before each and at the end."""
+    off) and the number of rows that must go before each and at the end. ``edge``: the conversation may go on elsewhere, as
+    only the first and the last of a partition and those cut at ``limit`` can."""
     schema = _SEGMENT.set(0, pa.field(ID, conv_type))
 
-    def records(table: pa.Table, number: int) -> pa.RecordBatch:
+    def records(table: pa.Table, number: int, end: bool) -> pa.RecordBatch:
         n = table.num_rows
         codes = table.column("c").combine_chunks()
         code = np.array(codes.dictionary_encode().indices.fill_null(-1), np.int64)
@@ -242,6 +246,11 @@ def _segments(limit: int, conv_type: pa.DataType):
         other[1:] &= ~((seg[1:] == seg[:-1]) & turn_known[:-1] & real[:-1] & (turn[1:] == turn[:-1]))
         gone = np.where(real, times, 0) - stays
         packed = (role | (late.astype(np.uint8) << 2))
+        edge = np.zeros(len(lo), bool)
+        edge[1:] = code[lo[1:]] == code[lo[:-1]]            # cut at the limit
+        edge[:-1] |= edge[1:]
+        edge[0] |= number & 0xFFFFFFFFFF == 0
+        edge[-1] |= end
         out = {c: [] for c in ("min_turn", "max_turn", "first_role", "last_role", "rows", "gone")}
         for a, b in zip(lo.tolist(), hi.tolist()):
             live = np.flatnonzero(real[a:b]) + a
@@ -258,13 +267,13 @@ def _segments(limit: int, conv_type: pa.DataType):
             out["gone"].append(np.diff(marks).astype("<i8").tobytes())
         columns = {ID: codes.take(pa.array(lo)), "part": np.arange(len(lo)) + number, "total": total(np.where(real, times, 0)),
                    "blank": total(np.where(blank & real, times, 0)), "duplicate": total(np.where(real, duplicate, 0)),
-                   "truncated": total(stays & late), "illegal": total(illegal), "distinct_turns": total(other), **out}
+                   "truncated": total(stays & late), "illegal": total(illegal), "distinct_turns": total(other), "edge": edge, **out}
         return pa.RecordBatch.from_pydict({f.name: pa.array(columns[f.name], f.type) if f.name != ID else columns[ID] for f in schema}, schema=schema)
 
     @frugal
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        held = None
+        held, went_on = None, False
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
@@ -272,19 +281,28 @@ def _segments(limit: int, conv_type: pa.DataType):
             c = table.column("c").combine_chunks().dictionary_encode().indices.fill_null(-1)
             c = np.array(c, np.int64)
             end = len(c) - int(np.argmax(c[::-1] != c[-1])) if len(c) and (c != c[-1]).any() else 0
-            if not end and len(c) >= limit:
+            whole = not end and len(c) >= limit         # and its conversation goes on
+            if whole:
                 end = len(c)
             if end:
-                out = records(table.slice(0, end), number)
+                out = records(table.slice(0, end), number, whole)
+                if went_on:
+                    out = out.set_column(out.schema.get_field_index("edge"), "edge", pa.array([True] + out.column("edge").to_pylist()[1:]))
+                went_on = whole
                 number += out.num_rows
                 yield out
             held = table.slice(end)
         if held is not None and held.num_rows:
-            yield records(held, number)
+            yield records(held, number, True)
 
     return segments
 
 
+_KEPT = [*_COUNTS, "min_turn", "max_turn", "first_role", "role_before", "turn_before"]
+_EDITED = pa.schema([(ID, pa.int64()), ("place", pa.int32()), ("audit", pa.string()), ("cost", pa.int64()), *[(c, pa.int64()) for c in _COUNTS], ("min_turn", pa.int64()),
+                     ("max_turn", pa.int64()), ("first_role", pa.string()), ("role_before", pa.string()), ("turn_before", pa.int64())])
+
+
 # -- solving ----------------------------------------------------------------------------------------------------------
 
 def _solve(work, schema: pa.Schema, limit: int = 1 << 18):
@@ -342,7 +360,8 @@ def _edits(part: pa.RecordBatch, chunks: Chunks, schema: pa.Schema) -> pa.Record
         costs.append(int(DELETE * (gone.sum() + (own_edit == ord("D")).sum()) + INSERT * (put[own].sum() + tail) + REROLE * (own_edit == ord("R")).sum()
                          + chunks.late[own][own_edit != ord("D")].sum()))
         row += n
-    return pa.RecordBatch.from_arrays([part.column(ID), part.column("place"), pa.array(audits, pa.string()), pa.array(costs, pa.int64())], schema=schema)
+    made = {"audit": pa.array(audits, pa.string()), "cost": pa.array(costs, pa.int64())}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
 def _vector(values) -> Column:
@@ -358,13 +377,12 @@ def _settled(parts: DataFrame, conv: str) -> DataFrame:
     schema = pa.schema([(ID, pa.int64()), ("place", pa.int32()), ("before", pa.list_(pa.int32()))])
     ddl = f"{ID} {conv}, place int, before array<int>"
     found = None
-    now = cut(parts.withColumn("after", _vector(GOAL)).withColumn("wrong", F.lit(True)))
+    now = parts.withColumn("after", _vector(GOAL)).withColumn("wrong", F.lit(True))
     while True:
-        arrow = _arrow(schema, now)
-        run = now.where("wrong").select(ID, "place", "rows", "after").mapInArrow(_solve(_before, arrow), ddl)
+        run = now.where("wrong").select(ID, "place", "rows", "after").mapInArrow(_solve(_before, _arrow(schema, now)), ddl)
         found = cut(run if found is None else found.alias("f").join(
-            run.alias("r"), _is_next("f", "r", 0), "left").select(f"f.{ID}", "f.place", F.coalesce("r.before", "f.before").alias("before")))
-        joined = now.alias("a").join(found.alias("b"), _is_next("a", "b", 1), "left")
+            bounded_broadcast(run, NEIGHBOURS).alias("r"), _is_next("f", "r", 0), "left").select(f"f.{ID}", "f.place", F.coalesce("r.before", "f.before").alias("before")))
+        joined = now.alias("a").join(bounded_broadcast(found, NEIGHBOURS).alias("b"), _is_next("a", "b", 1), "left")
         told = F.when(F.col("a.last"), F.col("a.after")).otherwise(F.col("b.before"))
         wrong = F.transform("a.after", lambda x: x - F.array_min("a.after")) != F.transform(told, lambda x: x - F.array_min(told))
         now = cut(joined.select(*[F.col(f"a.{c}") for c in parts.columns], told.alias("after"), wrong.alias("wrong")))
@@ -386,7 +404,7 @@ def _begun(parts: DataFrame, conv: str) -> DataFrame:
     longest = maps.agg(F.max("place")).first()[0] or 0
     by = 1
     while by <= longest:
-        both = maps.alias("b").join(maps.alias("a"), _is_next("a", "b", by), "left")
+        both = maps.alias("b").join(bounded_broadcast(maps, NEIGHBOURS).alias("a"), _is_next("a", "b", by), "left")
         whole = F.when(F.col("a.map").isNull(), F.col("b.map")).otherwise(F.transform("a.map", lambda q: F.element_at(F.col("b.map"), q + 1)))
         maps = cut(both.select(f"b.{ID}", "b.place", whole.alias("map")))
         by *= 2
@@ -402,36 +420,41 @@ def find_repairs(rows: DataFrame, segment: int = SEGMENT, **columns) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_type
 
     parts = cut(ordered.mapInArrow(_segments(segment, to_arrow_type(conv_type)), _ddl(_SEGMENT, conv)))
-    # what a segment must know of the others: a few numbers for each segment, without its rows
+
+    def edits(of: DataFrame) -> DataFrame:
+        return of.select(ID, "place", "rows", "gone", "last", "after", "state", *_KEPT).mapInArrow(_solve(_edits, _arrow(_EDITED, of)), _ddl(_EDITED, conv))
+
+    # conversations that lie within one partition need nothing of other rows
+    alone = {"place": F.lit(1), "last": F.lit(True), "after": _vector(GOAL), "state": F.lit(START), "role_before": F.lit(None).cast("string"),
+             "turn_before": F.lit(None).cast("long")}
+    whole = edits(parts.where("not edge").withColumns(alone))
+    whole = whole.select(ID, F.coalesce(F.col("max_turn") - F.col("min_turn") + 1 - F.col("distinct_turns"), F.lit(0)).alias("gaps"),
+                         "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    # the others: a segment or two of each partition, and those of very long conversations
     order = Window.partitionBy(ID).orderBy("part")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     every = F.count("*").over(Window.partitionBy(ID))
-    known = parts.select("part", F.row_number().over(order).alias("place"), (F.row_number().over(order) == every).alias("last"), (every > 1).alias("several"),
-                         F.last("last_role", ignorenulls=True).over(earlier).alias("role_before"), F.max("max_turn").over(earlier).alias("turn_before"))
-    parts = cut(parts.join(known, "part"))
-    goal = parts.withColumn("after", _vector(GOAL))
-    several = parts.where("several")
-    if several.isEmpty():
-        begun = goal.withColumn("state", F.lit(START))
-    else:
-        settled = cut(_settled(several, conv))
-        states = _begun(settled, conv)
-        known = settled.alias("s").join(states.alias("q"), _is_next("s", "q", 0), "left").select("s.*", F.coalesce("q.state", F.lit(START)).alias("state"))
-        begun = goal.where("not several").withColumn("state", F.lit(START)).unionByName(known)
-    schema = pa.schema([(ID, pa.int64()), ("place", pa.int32()), ("audit", pa.string()), ("cost", pa.int64())])
-    edits = begun.select(ID, "place", "rows", "gone", "last", "after", "state").mapInArrow(
-        _solve(_edits, _arrow(schema, parts)), f"{ID} {conv}, place int, audit string, cost long")
-    edits = edits.groupBy(ID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "audit"))), lambda x: x["audit"]), "").alias("audit"),
-                                  F.sum("cost").alias("cost"))
+    edge = parts.where("edge")
+    known = edge.select("part", F.row_number().over(order).alias("place"), (F.row_number().over(order) == every).alias("last"), (every > 1).alias("several"),
+                        F.last("last_role", ignorenulls=True).over(earlier).alias("role_before"), F.max("max_turn").over(earlier).alias("turn_before"))
+    edge = cut(edge.join(bounded_broadcast(known, NEIGHBOURS), "part"))
+    goal = edge.withColumn("after", _vector(GOAL))
+    begun = goal.where("not several").withColumn("state", F.lit(START))
+    several = edge.where("several")
+    if not several.isEmpty():
+        settled = _settled(several, conv)
+        states = bounded_broadcast(_begun(settled, conv), NEIGHBOURS)
+        begun = begun.unionByName(settled.alias("s").join(states.alias("q"), _is_next("s", "q", 0), "left").select(
+            "s.*", F.coalesce("q.state", F.lit(START)).alias("state")))
     crossing = F.concat("role_before", "first_role")
-    counts = parts.groupBy(ID).agg(
-        F.sum("blank").alias("blank"), F.sum("duplicate").alias("duplicate"), F.sum("truncated").alias("truncated"),
-        F.sum(F.col("illegal") + F.when(F.col("role_before").isNotNull() & F.col("first_role").isNotNull() & ~crossing.isin("su", "ua", "au"), 1)
-              .otherwise(0)).alias("illegal"),
-        F.coalesce(F.max("max_turn") - F.min("min_turn") + 1 - F.sum(F.col("distinct_turns") - (
-            F.coalesce(F.col("min_turn") == F.col("turn_before"), F.lit(False))).cast("int")), F.lit(0)).alias("gaps"))
-    return counts.alias("a").join(edits.alias("b"), F.col(f"a.{ID}").eqNullSafe(F.col(f"b.{ID}"))).select(
-        f"a.{ID}", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    illegal = F.col("illegal") + F.when(F.col("role_before").isNotNull() & F.col("first_role").isNotNull() & ~crossing.isin("su", "ua", "au"), 1).otherwise(0)
+    again = F.coalesce(F.col("min_turn") == F.col("turn_before"), F.lit(False)).cast("int")
+    pieces = F.array_sort(F.collect_list(F.struct("place", "audit")))
+    joined = edits(begun).groupBy(ID).agg(
+        F.coalesce(F.max("max_turn") - F.min("min_turn") + 1 - F.sum(F.col("distinct_turns") - again), F.lit(0)).alias("gaps"),
+        F.sum("blank").alias("blank"), F.sum("duplicate").alias("duplicate"), F.sum("truncated").alias("truncated"), F.sum(illegal).alias("illegal"),
+        F.sum("cost").alias("cost"), F.array_join(F.transform(pieces, lambda x: x["audit"]), "").alias("audit"))
+    return whole.unionByName(joined)
 
 
 # -- the repaired conversations ------------------------------------------------------------------------------------
