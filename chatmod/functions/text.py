@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from chatmod.functions.nfc import compose
 from chatmod.schema import GARBAGE_PATTERN, LINK_PATTERN, WHITESPACE_PATTERN
 
 
@@ -17,18 +16,9 @@ def _nfc(value: str) -> str:
     return value if unicodedata.is_normalized("NFC", value) else unicodedata.normalize("NFC", value)
 
 
-@F.pandas_udf(T.StringType())
-def _nfc_or_null(s: pd.Series) -> pd.Series:
-    return s.map(_nfc, na_action="ignore")
-
-
 def nfc(col: Column) -> Column:
-    """NFC with a JVM-side fast path: ASCII text (as many characters as UTF-8
-    bytes) is already NFC, so only other rows carry their text to Python; the
-    rest cross as nulls. Null becomes the empty string."""
-    text = F.coalesce(col, F.lit(""))
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.coalesce(_nfc_or_null(F.when(~ascii_only, text)), text)
+    """NFC in JVM expressions (``functions.nfc``); null becomes the empty string."""
+    return compose(F.coalesce(col, F.lit("")))
 
 
 def strip_garbage(text: Column) -> Column:
