@@ -60,9 +60,14 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
     By default a comment delivered twice in a batch is counted twice, as the
     original sink does; ``dedup_within_batch=True`` keeps each comment's earliest
     delivery (by topic time, then offset) — a deterministic choice, so a retried
-    batch keeps the same copy."""
+    batch keeps the same copy. With a ``VersionedStore``, offsets that any stream has
+    committed are left out, and the tables change together when the batch commits."""
     if stream_id is None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    writer = store.begin(stream_id, batch_id)
+    if writer is None:                           # committed before the stream's checkpoint was
+        return
+    batch = writer.fresh(batch)
     if dedup_within_batch:
         order = [c for c in ("kafka_timestamp", "offset") if c in batch.columns]
         batch = first_delivery(batch, "comment_id", order)
@@ -71,11 +76,11 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
         cols = [c for c in COMMENT_COLUMNS if c in batch.columns]
         # the comment write fills the cache; the two metric writes then read the
         # cached batch and run as concurrent jobs (small, latency-bound)
-        store.write(batch.select(*cols), "comments", stream_id, batch_id)
-        only_toxic = store.user_filter_scope == "batch"
+        writer.write(batch.select(*cols), "comments", stream_id, batch_id)
+        only_toxic = writer.user_filter_scope == "batch"
         # the writer threads inherit this thread's job properties (the query's job
         # group among them), so stopping the query cancels their jobs too
-        write = inheritable_thread_target(batch.sparkSession)(store.write)
+        write = inheritable_thread_target(batch.sparkSession)(writer.write)
         with ThreadPoolExecutor(max_workers=2) as pool:
             jobs = [pool.submit(write, stream_metric_partials(batch, window, sketch=True), "stream_metric",
                                 stream_id, batch_id),
@@ -85,7 +90,9 @@ def process_batch(batch: DataFrame, batch_id: int, store: PartialStore, stream_i
                 job.result()                     # a failed write fails the batch
         if leaderboards:
             from chatmod.streaming.sinks import emit_leaderboard_changes
-            emit_leaderboard_changes(store, batch, stream_id, batch_id)
+            emit_leaderboard_changes(writer, batch, stream_id, batch_id)
+        writer.record(batch)
+        writer.commit()
     finally:
         batch.unpersist()
 
