@@ -7,6 +7,7 @@ tables; nothing is collected here. Column names match the SQL in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +18,26 @@ from chatmod.functions.policy import apply_policy, top_label
 from chatmod.functions.scoring import LexiconScorer, ModelScorer, lexicon_model_loader, round_score, sigmoid
 from chatmod.functions.text import clean_messages as _clean
 from chatmod.functions.urls import extract_video_id
+from chatmod.operators import file_index as I
 from chatmod.operators import merge as M
+from chatmod.operators import offsets as O
 from chatmod.operators import serving as V
+from chatmod.operators import viewer_ranges as R
+from chatmod.operators.heavy_hitters import top_authors_two_pass
 from chatmod.operators.leaderboard import leaderboard_changes as _changes
 from chatmod.operators.metrics import (stream_metric_partials, unique_viewers, unique_viewers_merged as _uv_merged,
                                        user_metric_partials)
 from chatmod.plans import views
-from chatmod.session import spread_for_cpu
+from chatmod.session import shared_dir, spread_for_cpu
+from chatmod.sources.change_feed import read_changes
 from chatmod.sources.chat_pages import flatten_chat_pages as _flatten
 from chatmod.sources.topic import comment_rejects
 from chatmod.sources.topic import decode_comments as _decode
 from chatmod.sources.topic import parse_published_at as _parse
 from chatmod.sources.topic import snake_case_columns as _snake
 from chatmod.sources.topic import to_keyed_messages as _keyed
-from chatmod.streaming.job import transform_comments
+from chatmod.streaming.job import process_batch, transform_comments
+from chatmod.streaming.versions import VersionedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,6 +410,111 @@ def q_pipeline_user_metric(spark, sf):
     return user_metric_partials(_transformed(spark, sf))
 
 
+# -- counted once, versions, look-ups ------------------------------------------
+
+def _deliveries(spark, sf, rows=views.comments):
+    """Comments with their place on the topic (as in ``views.topic_records``)."""
+    return rows(spark, sf, with_message=False, extra=[(F.length("event_type") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset")])
+
+
+@query("effective_once_metric")
+def q_effective_once_metric(spark, sf):
+    # a stream committed batches 0 to 4, lost its checkpoint and reads the whole topic again
+    topic = _deliveries(spark, sf)
+    done = topic.where(F.col("batch_id") <= 4)
+    again = O.outside_runs(topic, O.offset_runs(done))
+    return stream_metric_partials(done.unionByName(again), "1 hour", viewers="exact")
+
+
+@query("first_over_all_batches")
+def q_first_over_all_batches(spark, sf):
+    # fourteen batches of which seven are redeliveries, taken in three steps; between steps only bitmaps are kept
+    shared_dir(spark)
+    rows = views.with_replay(_deliveries(spark, sf))
+    state, firsts = None, None
+    for lo, hi in ((0, 4), (5, 9), (10, 13)):
+        step = rows.where(F.col("batch_id").between(lo, hi))
+        new = O.first_deliveries(step, ["batch_id"], state=state)
+        firsts = new if firsts is None else firsts.unionByName(new)
+        bits = O.offset_bitmaps(step)
+        state = O.merge_bitmaps(bits if state is None else state.unionByName(bits)).checkpoint()
+    return M.merge_stream_metric(stream_metric_partials(firsts, MERGE_WINDOW, keys=["batch_id"], viewers="exact"))
+
+
+def _versioned_store(spark, sf):
+    """Three versions, compacted after the second, then a second stream that reads everything again."""
+    store = VersionedStore(spark, shared_dir(spark, f"versions-{uuid.uuid4().hex}"))
+    rows = _deliveries(spark, sf, views.scored_comments)
+    for number, (lo, hi) in enumerate(((0, 2), (3, 4), (5, 6))):
+        process_batch(rows.where(F.col("batch_id").between(lo, hi)).drop("batch_id"), number, store, "first", window="1 hour")
+        if number == 1:
+            store.compact()
+    process_batch(rows.drop("batch_id"), 0, store, "second", window="1 hour")
+    return store
+
+
+@query("metric_at_version")
+def q_metric_at_version(spark, sf):
+    return _versioned_store(spark, sf).at(2).stream_metric().select("video_id", "window_start", "window_end", "total_comments", "toxic_count", "toxic_ratio")
+
+
+@query("live_metric_changes")
+def q_live_metric_changes(spark, sf):
+    # the streaming reader follows the store's versions; its rows, written as a table
+    store = _versioned_store(spark, sf)
+    out = f"{store.root}/followed"
+    followed = (read_changes(spark, store.root, "stream_metric").writeStream.format("parquet").option("path", out)
+                .option("checkpointLocation", f"{store.root}/_checkpoints/followed").trigger(availableNow=True).start())
+    followed.awaitTermination()
+    return spark.read.parquet(out).select("commit_version", "video_id", "window_start", "op", "total_comments", "toxic_count")
+
+
+def _indexed(spark, sf):
+    path = shared_dir(spark, f"indexed-{uuid.uuid4().hex}")
+    I.write_indexed(views.scored_comments(spark, sf, with_message=False), path)
+    return path
+
+
+_LOOKED_UP = ["comment_id", "video_id", "author_id", "published_at", "toxic_score"]
+
+
+@query("indexed_ids")
+def q_indexed_ids(spark, sf):
+    # the newest comment of every author, looked up by its id
+    asked = views.table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").cast("string").alias("comment_id"))
+    return I.find_ids(spark, _indexed(spark, sf), asked).select(*_LOOKED_UP)
+
+
+@query("indexed_span")
+def q_indexed_span(spark, sf):
+    # the last day of the served video
+    path = _indexed(spark, sf)
+    last = spark.read.parquet(f"{path}/rows").agg(F.max("published_at")).first()[0]
+    start = spark.range(1).select((F.lit(last) - F.expr("interval 1 day"))).first()[0]
+    return I.find_span(spark, path, SERVED_VIDEO, start, last).select(*_LOOKED_UP)
+
+
+@query("top_toxic_users_two_pass")
+def q_top_toxic_users_two_pass(spark, sf):
+    return top_authors_two_pass(user_metric_partials(views.comments(spark, sf, with_message=False), "1 minute"))
+
+
+@query("viewers_any_span")
+def q_viewers_any_span(spark, sf):
+    # spans of 17 to 680 minutes from every hour of every video: sketches against exact counts
+    rows = views.comments(spark, sf, with_message=False).select("video_id", "author_id", "kafka_timestamp", R.minute_of(F.col("kafka_timestamp")).alias("minute"))
+    hour = F.floor(F.col("minute") / 60).cast("long")
+    spans = rows.select("video_id", hour.alias("h")).distinct().select("video_id", (F.col("h") * 60).alias("first"), (
+        F.col("h") * 60 + (F.pmod("h", F.lit(40)) + 1) * 17 - 1).alias("last"))
+    estimates = R.viewers_of_spans(R.sketch_tree(R.minute_sketches(rows)), spans)
+    # a row meets only the spans of its hour
+    hours = spans.select("*", F.explode(F.sequence(F.floor(F.col("first") / 60), F.floor(F.col("last") / 60))).alias("h"))
+    exact = rows.withColumn("h", hour).join(hours, ["video_id", "h"]).where(F.col("minute").between(F.col("first"), F.col("last")))
+    exact = exact.groupBy("video_id", "first", "last").agg(F.count_distinct("author_id").alias("exact_viewers"))
+    near = F.abs(F.col("unique_viewers") - F.col("exact_viewers")) <= 3 * S.APPROX_DISTINCT_RSD * F.col("exact_viewers")
+    return exact.join(estimates, ["video_id", "first", "last"]).select("video_id", "first", "last", "exact_viewers", near.alias("within_bound"))
+
+
 # -- sources and sinks ------------------------------------------------------
 
 @query("decode_comments")

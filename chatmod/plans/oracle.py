@@ -398,3 +398,34 @@ select case event_id % 11
        kafka_timestamp, cast(event_id as bigint) as "offset", cast(length(video_id) % 3 as integer) as "partition"
 from comments_msg where event_id % 11 < 3""",
 }
+
+_LOOKED_UP = "comment_id, video_id, author_id, published_at, top_score as toxic_score"
+SQL |= {
+    "effective_once_metric": SQL["stream_metric_1h"],
+    "first_over_all_batches": SQL["merge_stream_metric"],
+    "metric_at_version": _with() + """
+select video_id, date_trunc('hour', kafka_timestamp) as window_start, date_trunc('hour', kafka_timestamp) + interval 1 hour as window_end,
+       count(comment_id) as total_comments, cast(sum(cast(top_score > 0.7 as bigint)) as bigint) as toxic_count,
+       round(sum(cast(top_score > 0.7 as bigint)) / count(comment_id), 3) as toxic_ratio
+from scored_comments where batch_id <= 4 group by 1, 2, 3""",
+    "live_metric_changes": _with("""
+by_version as (
+  select case when batch_id <= 2 then 1 when batch_id <= 4 then 2 else 3 end as commit_version, video_id,
+         date_trunc('hour', kafka_timestamp) as window_start, count(comment_id) as n, sum(cast(top_score > 0.7 as bigint)) as t
+  from scored_comments group by 1, 2, 3)""") + """
+select cast(commit_version as bigint) as commit_version, video_id, window_start,
+       case when row_number() over w = 1 then 'insert' else 'update' end as op,
+       cast(sum(n) over w as bigint) as total_comments, cast(sum(t) over w as bigint) as toxic_count
+from by_version window w as (partition by video_id, window_start order by commit_version)""",
+    "indexed_ids": _with() + f"""
+select {_LOOKED_UP} from scored_comments where event_id in (select max(event_id) from events group by user_id)""",
+    "indexed_span": _with() + f"""
+select {_LOOKED_UP} from scored_comments
+where video_id = 'click' and published_at >= (select max(published_at) from scored_comments) - interval 1 day""",
+    "top_toxic_users_two_pass": SQL["top_toxic_users_all"],
+    "viewers_any_span": _with("""
+seen as (select video_id, author_id, epoch_us(kafka_timestamp) // 60000000 as minute from comments),
+spans as (select distinct video_id, minute // 60 * 60 as first, minute // 60 * 60 + ((minute // 60) % 40 + 1) * 17 - 1 as last from seen)""") + """
+select s.video_id, first, last, count(distinct author_id) as exact_viewers, true as within_bound
+from spans s join seen on seen.video_id = s.video_id and minute between first and last group by 1, 2, 3""",
+}
