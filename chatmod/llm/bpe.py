@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chatmod.llm.chunks import ChunkEncoder
+from chatmod.llm.classes import tiktoken_pattern
 from chatmod.llm.spans import at_task_end, frugal, ramp, utf8
 
 MOST_STATES = 30_000        # determinised states a worker builds
@@ -359,6 +360,7 @@ def _decode(path: str, text: bool):
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+    pattern = tiktoken_pattern(pattern)         # letters and numbers as the library knows them
     rows = docs.drop("n_tokens", "ids")
     schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return rows.mapInArrow(frugal(_encode(ranks_path, pattern, text_col)), schema)
@@ -376,6 +378,7 @@ def _decoded_schema(schema: T.StructType, text: bool) -> T.StructType:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids and decoded: encoding and decoding in one pass through Python."""
+    pattern = tiktoken_pattern(pattern)
     rows = docs.drop("n_tokens", "ids", "decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatmod.llm.chunks import ChunkEncoder
+from chatmod.llm.classes import tokenizers_pattern
 from chatmod.llm.huffman import Code, code_lengths, pack, place
 from chatmod.llm.spans import frugal, ramp, slices, utf8
 from chatmod.session import shared_dir
@@ -44,7 +45,7 @@ PIECES = 1000           # pieces handed to the tokenizer as one sequence
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def _tokenizer(path: str, added_tokens: bool = False) -> ChunkEncoder:
+def _tokenizer(path: str, added_tokens: bool = False, pattern: str = PATTERN) -> ChunkEncoder:
     """Encoder of a tokenizer file. Distinct chunks are split here and passed on as pieces, many at once, if the
     file's pre-tokenizer is the plain byte-level one; else each is a text of its own. With ``added_tokens`` the strings
     of the file's added tokens get their ids, as in the library by default: chunks that hold one are texts of their own."""
@@ -68,7 +69,7 @@ def _tokenizer(path: str, added_tokens: bool = False) -> ChunkEncoder:
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if setup["normalizer"] is None and plain.items() <= (setup["pre_tokenizer"] or {}).items():
             tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            split = regex.compile(PATTERN).findall
+            split = regex.compile(pattern).findall
             n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
             for token, i in tokenizer.get_vocab().items():
                 n_bytes[i] = len(token)             # the byte-level alphabet has a character per byte
@@ -101,10 +102,10 @@ def _tokenizer(path: str, added_tokens: bool = False) -> ChunkEncoder:
     return _ENCODERS[path, added_tokens]
 
 
-def _tokenise(path: str, end_id: int, added_tokens: bool):
+def _tokenise(path: str, end_id: int, added_tokens: bool, pattern: str):
     @frugal
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(path, added_tokens)
+        encoder = _tokenizer(path, added_tokens, pattern)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi, ids, at in encoder.texts(data, offsets):
@@ -235,7 +236,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     path = path or shared_dir(spark, f"token-files-{uuid.uuid4().hex}")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_tokenise(tokenizer, end_id, added_tokens), f"doc_id {kind}, tie long, ids binary").write.option(
+    pattern = tokenizers_pattern(PATTERN)       # letters and numbers as the library knows them
+    rows.mapInArrow(_tokenise(tokenizer, end_id, added_tokens, pattern), f"doc_id {kind}, tie long, ids binary").write.option(
         "compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
 
