@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatmod import schema as S
+from chatmod.functions.learned import fit as fit_ngrams
 from chatmod.functions.policy import apply_policy, top_label
 from chatmod.functions.scoring import LexiconScorer, ModelScorer, lexicon_model_loader, round_score, sigmoid
 from chatmod.functions.text import clean_messages as _clean
@@ -362,6 +363,14 @@ def q_score_documents_model(spark, sf):
     return _score_documents(spark, sf, ModelScorer(lexicon_model_loader))
 
 
+@query("score_documents_learned", rows_only=True)
+def q_score_documents_learned(spark, sf):
+    # the model learns from the labelled documents outside the held-out fold, and scores all
+    labels = views.table(spark, sf, "labels").where("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "toxic")
+    known = views.table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return _score_documents(spark, sf, fit_ngrams(known, ["toxic"]).scorer())
+
+
 def _turns(spark, sf):
     """Conversation turns as chat messages (every role, whole texts)."""
     return spread_for_cpu(views.table(spark, sf, "conversations")
