@@ -19,8 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def row_keys(doc_id: str, text: str) -> list:
-    """Two columns that tell input rows apart. Rows equal in both id and text share them, which is
-    harmless wherever equal texts get equal results."""
+    """Two columns that tell input rows apart, whatever the type of the ids. Rows equal in both id and text share them,
+    which is harmless wherever equal texts get equal results."""
     d = F.col(doc_id)
-    return [F.coalesce(d.cast("long"), F.lit(-(1 << 63))).alias("k1"),
+    return [F.coalesce(d.try_cast("long"), F.lit(-(1 << 63))).alias("k1"),
             F.xxhash64(d.cast("string"), d.isNull(), F.col(text), F.col(text).isNull()).alias("k2")]

@@ -38,13 +38,60 @@ MOST_TEXT = 12.0        # bound of the text's log likelihood ratio
 PRIOR_ROWS = 5.0        # pages of the level above that a host or domain starts with
 SMOOTH = 1.0            # pseudo-count of declared languages and suffixes
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
+_OPENS = re.compile(r"(?i)<(?:!--|(script|style|noscript|template)\b)")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?\s*([a-z]{2,3})""")
+
+
+def _without_hidden(page: str) -> str:
+    """The page with comments and the elements that are not shown replaced by a space, in one pass: an end that is missing
+    is looked for once."""
+    parts, at, missing = [], 0, set()
+    found = _OPENS.search(page)
+    while found:
+        name = (found[1] or "").lower()
+        end = -1
+        if name not in missing:
+            if name:
+                close = _CLOSES[name].search(page, found.end())
+                end = close.end() if close else -1
+            else:
+                end = page.find("-->", found.end())
+                end = end + 3 if end >= 0 else -1
+            if end < 0:
+                missing.add(name)
+        if end >= 0:
+            parts += [page[at:found.start()], " "]
+            at = end
+        found = _OPENS.search(page, end if end >= 0 else found.start() + 1)
+    return "".join(parts) + page[at:]
+
+
+def _without_tags(page: str) -> str:
+    """Every ``<`` up to the next ``>`` replaced by a space."""
+    parts, at = [], 0
+    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
+        parts += [page[at:start], " "]
+        at = end + 1
+    return "".join(parts) + page[at:]
 
 
 def visible_text(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return html.unescape(_without_tags(_without_hidden(page)))
+
+
+def declared_language(page: str) -> str:
+    """The language named in the first html tag that names one, two letters; "" without."""
+    found = _HTML.search(page)
+    while found:
+        end = page.find(">", found.end())
+        end = len(page) if end < 0 else end
+        lang = _LANG.search(page, found.end(), end)
+        if lang:
+            return lang[1].lower()[:2]
+        found = _HTML.search(page, end)             # a tag inside this one would hold less of it
+    return ""
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +146,7 @@ def _text_evidence(log_p: np.ndarray):
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = [x or "" for x in batch.column("__html").to_pylist()]
-            declared = [(m[1].lower()[:2] if (m := _DECLARED.search(p)) else "") for p in pages]
+            declared = [declared_language(p) for p in pages]
             data, offsets = utf8(pa.array([visible_text(p) for p in pages], pa.large_string()))
             score = np.zeros((len(pages), len(log_p)))
             for lo, hi in slices(offsets):

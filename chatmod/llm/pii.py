@@ -41,7 +41,7 @@ from chatmod.llm.spans import frugal
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f",
           "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f",
           "Dr": "n", "Prof": "n", "господин": "m", "Господин": "m", "госпожа": "f", "Госпожа": "f"}
-_NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))++"      # possessive: nothing after a name makes it shorter
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@\w(?:[\w-]*\w)?(?:\.\w(?:[\w-]*\w)?)+)"
     r"|(?P<secret>(?<=[\"'])[0-9A-Fa-f]{32,128}(?=[\"']))"
@@ -208,7 +208,7 @@ def _coreference(text: str, found: list[tuple[str, str, str, int, int]]) -> list
     found = [(k, m, gender(m.lower().split(), a, people) if k == "name" and g == "n" else g, a, b) for k, m, g, a, b in found]
     people = known([f for f in found if f[0] == "name"])
     names = {w.lower() for k, m, *_ in found if k == "name" for i, w in enumerate(m.split()) if i == 0 or not w[0].islower()}
-    most = max(len(_LETTERS.findall(w)) for w in names)
+    sizes = sorted({len(_LETTERS.findall(w)) for w in names}, reverse=True)      # in parts: few sizes, however long a name is
     more, place = [], 0
     for token in _WORD.finditer(text):
         while place < len(found) and found[place][4] <= token.start():
@@ -217,7 +217,7 @@ def _coreference(text: str, found: list[tuple[str, str, str, int, int]]) -> list
         i = 0
         while i < len(letters):
             start, until = letters[i][0], i + 1
-            for j in range(min(i + most, len(letters)), i, -1):
+            for j in (i + size for size in sizes if i + size <= len(letters)):
                 word = text[start:letters[j - 1][1]]
                 free = place == len(found) or letters[j - 1][1] <= found[place][3]
                 if free and not word[0].islower() and word.lower() in names:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -539,3 +540,46 @@ def test_groups_hold_when_hashes_collide(monkeypatch):
     i = np.arange(len(words))
     group, first = words.group(*words.span(i, i + 1))
     assert len(first) == 4 and group[0] == group[3] and group[1] == group[4] and group[2] == group[6]
+
+
+# -- hostile texts and ids of other types -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<html ", "<script>", "<script></script ", "<html lang", "&", "--><!"])
+def test_pages_are_read_in_one_pass(part):
+    page = part * (1_000_000 // len(part))
+    begin = time.process_time()
+    language_id.visible_text(page), language_id.declared_language(page)
+    assert time.process_time() - begin < 2
+
+
+def test_scanners_equal_their_patterns():
+    hidden = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
+    declared = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
+    rng = random.Random(1)
+    bits = ["<", "<!--", "-->", "<html ", "<HTML>", "lang=", "lang = 'de'", ' LANG="fr"', ">", "<script>", "</script >", "</ScRipt\n>", "<style", "</style>",
+            "<noscript a>", "x", "é ", "slang=en", "<htmlx lang=es>", "\n", " ", "--", "!", " lang"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert language_id.visible_text(page) == re.sub(r"<[^>]*>", " ", hidden.sub(" ", page))
+        found = declared.search(page)
+        assert language_id.declared_language(page) == (found[1].lower()[:2] if found else "")
+
+
+@pytest.mark.parametrize("part", ["A-", "1 ", "Mr ", "9", "a@", "a.", "Ab ", "+1 "])
+def test_personal_data_is_found_in_one_pass(part):
+    text = "Mr " + part * (200_000 // len(part))
+    begin = time.process_time()
+    pii.find(text)
+    assert time.process_time() - begin < 20
+
+
+def test_ids_may_be_text(spark):
+    copy = "one two three four five six"
+    docs = spark.createDataFrame([("b", copy), ("a", copy.replace(" ", "  ")), ("x1", "other words here"), (None, None)], "doc_id string, text string")
+    exact = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert exact["b"] == ("a", False) and exact["a"] == ("a", True) and exact["x1"] == ("x1", True)
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert near["a"] == near["b"] == "a" and near["x1"] == "x1"
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == ["None", "a", "x1"]
+    assert substring_dedup.remove_repeated_windows(docs).count() == 4
+    assert pii.replace_personal_data(docs, b"key").count() == 4
