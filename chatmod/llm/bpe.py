@@ -36,6 +36,7 @@ from chatmod.llm.spans import at_task_end, frugal, ramp, utf8
 MOST_STATES = 30_000        # determinised states a worker builds
 MOST_FITS = 150_000         # judged token pairs a worker keeps
 TABLE_ROWS = 1 << 19        # distinct chunks a worker remembers
+MOST_PIECES = 1 << 17       # pieces a task remembers
 SLICE_BYTES = 1 << 20       # of text encoded at a time
 FEED = 1 << 16              # ids decoded at a time
 NEVER = 1 << 62
@@ -297,17 +298,28 @@ def _machine(path: str) -> Transducer:
     return Transducer(read_ranks(path))
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> dict[str, list[int]]:
+    """Pieces encoded in this task: new chunks are mostly known pieces with other marks around them."""
+    return {}
+
+
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
     if (path, pattern) not in _CHUNKS:
-        pieces = regex.compile(pattern)
+        pieces = regex.compile(pattern).findall
 
         def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            machine = _machine(path)
+            machine, known = _machine(path), _pieces(path)
             ids: list[int] = []
             ends = [0]
             for chunk in chunks:
-                for piece in pieces.findall(chunk.decode("utf-8")):
-                    ids += machine.encode(piece.encode("utf-8"))
+                for piece in pieces(chunk.decode("utf-8")):
+                    made = known.get(piece)
+                    if made is None:
+                        made = machine.encode(piece.encode("utf-8"))
+                        if len(known) < MOST_PIECES:
+                            known[piece] = made
+                    ids += made
                 ends.append(len(ids))
             return np.array(ids, np.uint32), np.diff(ends)
 
@@ -324,6 +336,7 @@ def _decoder(path: str) -> Decoder:
 @at_task_end
 def _forget() -> None:
     _machine.cache_clear()          # quickly built again, and large
+    _pieces.cache_clear()
     _decoder.cache_clear()
 
 
