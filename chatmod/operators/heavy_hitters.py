@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chatmod import schema as S
 from chatmod.operators.merge import present
 from chatmod.operators.serving import leader_order
-from chatmod.session import bounded_broadcast
+from chatmod.session import bounded_broadcast, shared_dir
 
 SUMMARY = 64                    # counters per video and task
 CANDIDATES_BROADCAST_ROWS = 200_000
@@ -91,8 +91,9 @@ def top_authors_two_pass(user_metrics: DataFrame, k: int = S.LEADERBOARD_SIZE, s
     """``serving.top_authors_all`` of the author totals: (video_id, rank, author_id, author_name, author_image, toxic_count)."""
     rows = user_metrics.where(present("video_id", "author_id"))
     counts = rows.select("video_id", "author_id", F.col("toxic_count").cast("long").alias("n")).where("n > 0")
-    keys, unsure = candidates(author_summaries(counts, size), k)
-    keys = bounded_broadcast(keys.persist(), CANDIDATES_BROADCAST_ROWS)
+    shared_dir(user_metrics.sparkSession)
+    keys, unsure = candidates(author_summaries(counts, size).checkpoint(), k)       # a few counters per task
+    keys = bounded_broadcast(keys, CANDIDATES_BROADCAST_ROWS)
     columns = ["video_id", "author_id", "author_name", "author_image", "toxic_count"]
     named = rows.select(*columns)
     kept = named.join(keys, ["video_id", "author_id"], "left_semi").unionByName(
