@@ -77,25 +77,36 @@ def _tables() -> dict:
             "second": columns[4], "parts": flat, "composed": composed, "width": len(seconds) + 1}
 
 
-def _ranges(codes: set[int], gap: int = 1) -> str:
-    """A regular expression's class body for the code points, holes of less than ``gap`` filled."""
+def _ranges(codes: set[int], gap: int = 1) -> list[tuple[int, int]]:
+    """The code points as ranges, holes of less than ``gap`` filled."""
     out: list[list[int]] = []
     for c in sorted(codes):
         if out and c <= out[-1][1] + gap:
             out[-1][1] = c
         else:
             out.append([c, c])
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+    return [(a, b) for a, b in out]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    """A regular expression's class body for the ranges, halved again and again: a character is compared with the ranges
+    near it only, and one far from all of them with two."""
+    def span(a: int, b: int) -> str:
+        return f"\\x{{{a:X}}}-\\x{{{b:X}}}"
+
+    if len(ranges) <= 3:
+        return "".join(span(a, b) for a, b in ranges)
+    half = len(ranges) // 2
+    return "".join(f"[{span(part[0][0], part[-1][1])}&&[{_class(part)}]]" for part in (ranges[:half], ranges[half:]))
 
 
 @lru_cache(maxsize=1)
 def _patterns() -> tuple[str, str]:
     """(a character that may join the one before it or is replaced, a piece to normalise). The class may hold more than it
-    must; marks known to every Unicode version are one property test."""
-    old = unicodedata.ucd_3_2_0.category
+    must."""
+    odd = _tables()["odd"]
     # white space, the ASCII range and common letters stay outside when holes are filled
-    rest = {c for c in _tables()["odd"] if not old(chr(c)).startswith("M")}
-    inside = rf"\p{{M}}{_ranges({c for c in rest if c < 0x10000}, 16)}{_ranges({c for c in rest if c >= 0x10000}, 1024)}"
+    inside = _class(_ranges({c for c in odd if c < 0x10000}, 16) + _ranges({c for c in odd if c >= 0x10000}, 1024))
     return f"[{inside}]", f"[^{inside}]?[{inside}]+"
 
 

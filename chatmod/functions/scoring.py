@@ -16,6 +16,8 @@ import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -98,12 +100,16 @@ class LexiconScorer(Scorer):
         """Like ``predictions``, but with a single regex pass when the lexicon allows:
         the matches are materialised once in their own projection (higher-order
         functions are not code-generated, so an inline form would rerun the regex
-        per label) and counted per label from there."""
+        per label) and counted per label from there. Text without any of the
+        words as a substring has no matches and is not searched."""
         if not self.single_pass:
             return super().score(df, text_col, out_col)
         all_words = [w for l in S.LABELS for w in self.lexicon.get(l) or []]
         tmp = f"__{out_col}_matches"
-        found = df.withColumn(tmp, F.regexp_extract_all(F.col(text_col), F.lit(lexicon_pattern(all_words)), 1))
+        text = F.col(text_col)
+        holds_one = reduce(or_, [text.contains(w) for w in all_words])
+        found = df.withColumn(tmp, F.when(~holds_one, F.array().cast("array<string>"))
+                              .otherwise(F.regexp_extract_all(text, F.lit(lexicon_pattern(all_words)), 1)))
         fields = []
         for label in S.LABELS:
             words = self.lexicon.get(label) or []

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatmod.functions.nfc import compose
-from chatmod.schema import GARBAGE_PATTERN, LINK_PATTERN, WHITESPACE_PATTERN
+from chatmod.schema import GARBAGE_PATTERN, LINK_PATTERN
+
+WHITESPACE = "\t\n\x0b\f\r"     # with the space, the characters of ``schema.WHITESPACE_PATTERN``
 
 
 def _nfc(value: str) -> str:
@@ -33,6 +35,16 @@ def strip_garbage(text: Column) -> Column:
              .otherwise(text))
 
 
+def single_spaces(df: DataFrame, col: str) -> DataFrame:
+    """Each run of white space becomes one space, as by ``schema.WHITESPACE_PATTERN``. Most runs are one character, which
+    needs no regular expression; it only runs on text with two spaces side by side. The spaced text has its own projection."""
+    spaced = F.col(col)
+    for c in WHITESPACE:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return df.withColumn(col, spaced).withColumn(
+        col, F.when(F.col(col).contains("  "), F.regexp_replace(col, "  +", " ")).otherwise(F.col(col)))
+
+
 def clean_messages(df: DataFrame, message_col: str = "message", out_col: str = "message_clean",
                    normalize: bool = True) -> DataFrame:
     """Drop rows without a message and add the cleaned text column.
@@ -43,5 +55,5 @@ def clean_messages(df: DataFrame, message_col: str = "message", out_col: str = "
     text = nfc(F.col(message_col)) if normalize else F.coalesce(F.col(message_col), F.lit(""))
     tmp = f"__{out_col}_lower"
     lowered = df.dropna(subset=[message_col]).withColumn(tmp, F.lower(text))
-    cleaned = F.trim(F.regexp_replace(strip_garbage(F.col(tmp)), WHITESPACE_PATTERN, " "))
-    return lowered.withColumn(out_col, cleaned).drop(tmp)
+    stripped = lowered.withColumn(tmp, strip_garbage(F.col(tmp)))
+    return single_spaces(stripped, tmp).withColumn(out_col, F.trim(tmp)).drop(tmp)
