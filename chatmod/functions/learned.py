@@ -16,11 +16,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmod import schema as S
-from chatmod.functions.scoring import ModelScorer
+from chatmod.functions.scoring import TEXT_AT_ONCE, ModelScorer, runs
 from chatmod.session import shared_dir
 
 BUCKETS = 1 << 16
@@ -30,6 +31,7 @@ PENALTY = 1e-4
 FIXED = float(1 << 40)      # sums are integers of this many parts
 CALIBRATION_FOLD = 5        # one row in so many is held back to calibrate
 BINS = 64                   # of a margin unit, when calibrating
+FEATURES_AT_ONCE = 1 << 20  # of the features of a batch, so many are taken at once
 NEVER = -40.0               # logit of a label that was not learned
 
 
@@ -69,7 +71,10 @@ def _margins(weights: np.ndarray, rarity: np.ndarray, bucket: np.ndarray, size:
     row = np.repeat(np.arange(len(size)), size)
     norm = np.sqrt(np.bincount(row, value * value, len(size)))
     value = value / np.maximum(norm, 1e-12)[row]
-    return value, np.stack([np.bincount(row, value * w[bucket], len(size)) + w[BUCKETS] for w in weights], axis=1)
+    margins = np.zeros((len(size), len(weights)))
+    for j, w in enumerate(weights):
+        margins[:, j] = np.bincount(row, value * w[bucket], len(size)) + w[BUCKETS]
+    return value, margins
 
 
 class NgramModel:
@@ -80,12 +85,12 @@ class NgramModel:
 
     def predict(self, texts: list[str]) -> np.ndarray:
         out = np.full((len(texts), len(S.LABELS)), NEVER)
-        for lo in range(0, len(texts), 256):
-            part = texts[lo:lo + 256]
+        for lo, hi in runs(np.array([len(t) + 1 for t in texts], np.int64), TEXT_AT_ONCE):
+            part = texts[lo:hi]
             _, margin = _margins(self.weights, self.rarity, *features(part))
             for j, label in enumerate(self.labels):
                 if label in S.LABELS:
-                    out[lo:lo + len(part), S.LABELS.index(label)] = np.clip(margin[:, j] * self.scale[j] + self.shift[j], NEVER, -NEVER)
+                    out[lo:hi, S.LABELS.index(label)] = np.clip(margin[:, j] * self.scale[j] + self.shift[j], NEVER, -NEVER)
         return out
 
     def scorer(self, **options) -> ModelScorer:
@@ -94,27 +99,29 @@ class NgramModel:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        length = np.array(pc.binary_length(batch.column("text")), np.int64)
+        for lo, hi in runs(length + 1, TEXT_AT_ONCE):
+            part = batch.slice(lo, hi - lo)
             bucket, size = features(part.column("text").to_pylist())
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("y"), part.column("held"), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))],
                                              names=["y", "held", "f"])
 
 
-def _rows(batch: pa.RecordBatch, labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = batch.column("f")
-    size = np.array(f.value_lengths(), np.int64)
-    y = np.array(batch.column("y").to_pylist(), np.float64).reshape(-1, labels)
-    return np.array(f.flatten(), np.int64), size, y
+def _rows(batch: pa.RecordBatch, labels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features of some rows in order, number of features of each row, labels of each row), all rows of the batch."""
+    size = np.array(batch.column("f").value_lengths(), np.int64)
+    for lo, hi in runs(size + 1, FEATURES_AT_ONCE):
+        part = batch.slice(lo, hi - lo)
+        y = np.array(part.column("y").to_pylist(), np.float64).reshape(-1, labels)
+        yield np.array(part.column("f").flatten(), np.int64), size[lo:hi], y
 
 
 def _gradient(labels: int, shared):
     def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, rarity = shared.value
         total = np.zeros((labels, BUCKETS + 2), np.int64)        # the last column: the loss
-        for batch in batches:
-            bucket, size, y = _rows(batch, labels)
+        for bucket, size, y in (rows for batch in batches for rows in _rows(batch, labels)):
             value, margin = _margins(weights, rarity, bucket, size)
             known = ~np.isnan(y)
             z = np.where(known, margin, 0)
@@ -134,8 +141,8 @@ def _gradient(labels: int, shared):
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(BUCKETS + 1, np.int64)
     for batch in batches:
-        f = batch.column("f")
-        n[:BUCKETS] += np.bincount(np.array(f.flatten(), np.int64), minlength=BUCKETS)
+        for lo, hi in runs(np.array(batch.column("f").value_lengths(), np.int64) + 1, FEATURES_AT_ONCE):
+            n[:BUCKETS] += np.bincount(np.array(batch.column("f").slice(lo, hi - lo).flatten(), np.int64), minlength=BUCKETS)
         n[BUCKETS] += batch.num_rows
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
@@ -178,7 +185,7 @@ def _calibrated(counts: list, labels: int) -> tuple[np.ndarray, np.ndarray]:
     """Scale and shift of every label's margins, by Newton steps over binned margins."""
     scale, shift = np.ones(labels), np.zeros(labels)
     for j in range(labels):
-        own = [(r.bin / BINS, r.y, r.n) for r in counts if r.label == j]
+        own = sorted((r.bin / BINS, r.y, r.n) for r in counts if r.label == j)      # the same sums in whatever order they came
         if len({y for _, y, _ in own}) < 2:
             continue
         x, y, n = map(np.array, zip(*own))
@@ -235,8 +242,7 @@ def fit(rows: DataFrame, labels: list[str], text_col: str = "text", held: F.Colu
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, r = shared.value
-        for batch in batches:
-            bucket, size, y = _rows(batch, k)
+        for bucket, size, y in (rows for batch in batches for rows in _rows(batch, k)):
             _, margin = _margins(w, r, bucket, size)
             label = np.tile(np.arange(k, dtype=np.int32), len(size))
             keep = ~np.isnan(y.ravel())

@@ -2,8 +2,8 @@
 
 * ``LexiconScorer`` — word-list hit counts, pure JVM expressions (stays inside
   whole-stage codegen, no Python hop). The default.
-* ``ModelScorer`` — any Python model behind an iterator pandas UDF: the model is
-  loaded once per Python worker and fed Arrow batches; NFC normalisation can be
+* ``ModelScorer`` — any Python model behind an iterator Arrow UDF: the model is
+  loaded once per Python worker and fed Arrow batches, some text at a time; NFC normalisation can be
   fused into the same hop so a row crosses the JVM/Python boundary once.
 
 Every scorer returns scores in [0, 1] rounded to 3 places, as doubles.
@@ -20,7 +20,8 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,7 @@ class LexiconScorer(Scorer):
 # ---------------------------------------------------------------------------
 # Model scorer
 # ---------------------------------------------------------------------------
+TEXT_AT_ONCE = 1 << 20             # bytes of text a model is given at once; a longer text comes alone
 MODELS_KEPT = 4                    # models a worker keeps; the one loaded first goes first
 _MODELS: dict[str, object] = {}
 _MODEL_LOCK = threading.Lock()
@@ -140,6 +142,17 @@ def _model_for(key: str, load: Callable[[], object]):
     return model
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of neighbouring items whose sizes add up to at most ``most``; a larger item is a run of its own."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield first, end
+        first = end
+
+
 class ModelScorer(Scorer):
     """Scores with ``model.predict(list[str]) -> ndarray[n, 5]`` of logits.
 
@@ -159,18 +172,22 @@ class ModelScorer(Scorer):
         load, normalize, max_tokens, key = self.load, self.normalize, self.max_tokens, self.key
         ddl = ", ".join(f"{l} double" for l in S.LABELS)
 
-        @F.pandas_udf(ddl)
-        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf(ddl)
+        def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = _model_for(key, load)
-            for s in batches:
-                texts = s.fillna("")
-                if normalize:
-                    texts = texts.map(_nfc)
-                if max_tokens is not None:
-                    texts = texts.map(lambda t: " ".join(t.split()[:max_tokens]))
-                logits = np.asarray(model.predict(texts.tolist()), dtype="float64")
-                probs = np.round(1.0 / (1.0 + np.exp(-logits)), S.SCORE_DECIMALS)
-                yield pd.DataFrame(probs, columns=S.LABELS)
+            for batch in batches:
+                batch = pc.fill_null(batch, "")
+                probs = np.zeros((len(batch), len(S.LABELS)))
+                # only a run of texts at a time is turned into Python strings and tokens, however many rows a batch has
+                for first, end in runs(np.array(pc.binary_length(batch), np.int64), TEXT_AT_ONCE):
+                    texts = batch.slice(first, end - first).to_pylist()
+                    if normalize:
+                        texts = [_nfc(t) for t in texts]
+                    if max_tokens is not None:
+                        texts = [" ".join(t.split()[:max_tokens]) for t in texts]
+                    logits = np.asarray(model.predict(texts), dtype="float64")
+                    probs[first:end] = np.round(1.0 / (1.0 + np.exp(-logits)), S.SCORE_DECIMALS)
+                yield pa.StructArray.from_arrays([pa.array(p) for p in probs.T.copy()], names=S.LABELS)
 
         return predict
 
