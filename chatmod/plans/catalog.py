@@ -319,7 +319,7 @@ def q_trim_status_log(spark, sf):
 # -- text, scoring, policy --------------------------------------------------
 
 def _documents(spark, sf):
-    return spread_for_cpu(views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message")))
+    return spread_for_cpu(views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message")), any_size=True)
 
 
 @query("clean_messages")
@@ -374,7 +374,7 @@ def q_score_documents_learned(spark, sf):
 def _turns(spark, sf):
     """Conversation turns as chat messages (every role, whole texts)."""
     return spread_for_cpu(views.table(spark, sf, "conversations")
-                          .select("conv_id", "turn", F.col("text").alias("message")))
+                          .select("conv_id", "turn", F.col("text").alias("message")), any_size=True)
 
 
 @query("clean_conversations")

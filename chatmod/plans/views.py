@@ -205,9 +205,10 @@ DECOMPOSED = "àáâäçèéêëíîïñóôöùúûüÀÁÂÄÇÈÉÊËÍÎÏÑ
 
 def decomposed(text: Column) -> Column:
     """The text with these letters written as base letter and combining mark."""
+    out = text
     for letter in DECOMPOSED:
-        text = F.replace(text, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
-    return text
+        out = F.replace(out, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(out)      # ASCII text has none of them
 
 
 def without_some_videos(rows: DataFrame) -> DataFrame:

@@ -82,20 +82,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-# Inputs up to this size may be round-robined over the cores when they arrive
-# as fewer files than cores (a shuffle of at most this much is cheap next to
-# whole-text work); larger inputs are never reshuffled for parallelism.
+# Inputs up to this size may be dealt over the cores when they arrive as fewer files than
+# cores (a shuffle of at most this much is cheap next to whole-text work); larger inputs
+# are only reshuffled for callers that ask for it (``any_size``).
 SPREAD_MAX_BYTES = 512 * 1024 * 1024
 
 
 SPREAD_BYTES_PER_TASK = 1024 * 1024   # at least this much input per spread partition
+SPREAD_MAX_BYTES_PER_TASK = 16 * 1024 * 1024   # and at most this much, however few the cores
 
 
-def _small_input_bytes(df: DataFrame, cores: int) -> int | None:
+def _small_input_bytes(df: DataFrame, cores: int, any_size: bool) -> int | None:
     """Total input bytes when ``df`` reads fewer files than cores, totalling at
-    most ``SPREAD_MAX_BYTES``; None otherwise.
+    most ``SPREAD_MAX_BYTES`` unless ``any_size``; None otherwise.
 
-    A Parquet row group is never split, so one small file with one row group is
+    A Parquet row group is never split, so one file with one row group is
     read by one task whatever the split count says. Only file lengths are looked
     up (metadata), and only for fewer files than cores."""
     files = df.inputFiles()
@@ -107,32 +108,39 @@ def _small_input_bytes(df: DataFrame, cores: int) -> int | None:
     for f in files:
         p = fs_path(f)
         total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        if total > SPREAD_MAX_BYTES:
+        if total > SPREAD_MAX_BYTES and not any_size:
             return None
     return total
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin a scan-level ``df`` over the cores when its input cannot use
-    them: fewer files than cores totalling at most ``SPREAD_MAX_BYTES`` (a row
-    group is never split, so one small file is read by one or a few tasks). The
-    CPU-heavy per-row work that follows (whole-text JSON, regex) then runs on
-    up to every core, with at least ``SPREAD_BYTES_PER_TASK`` of input per task
-    (so a wide cluster does not get thousands of near-empty tasks).
+def spread_for_cpu(df: DataFrame, any_size: bool = False) -> DataFrame:
+    """Deal a scan-level ``df`` over the cores when its input cannot use them:
+    fewer files than cores totalling at most ``SPREAD_MAX_BYTES`` (a row group
+    is never split, so one file is read by one or a few tasks). The CPU-heavy
+    per-row work that follows (whole-text JSON, regex) then runs on up to every
+    core, with ``SPREAD_BYTES_PER_TASK`` to ``SPREAD_MAX_BYTES_PER_TASK`` of input
+    per task: a wide cluster does not get thousands of near-empty tasks, and on a
+    narrow one a task's time and memory stay the same as the input grows.
+
+    ``any_size`` is for work whose longest task or largest sort would grow with
+    the row groups of a few large files: there is no limit on their size then, and
+    rows are dealt by the hash of the whole row, which sorts nothing.
 
     Decided from the input files alone — nothing is planned or run (asking a
     DataFrame with shuffles for its partition count would run the shuffles).
-    Large inputs are returned unchanged, so at scale it adds nothing. Meant for
+    Inputs of many files, or above the limit, are returned unchanged. Meant for
     frames read straight from files: after a shuffle the rows are already spread.
     Round-robin repartitioning sorts rows first, so a retried task gets the same
-    rows.
+    rows; those dealt by hash it gets anyway.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        total = _small_input_bytes(df, cores)
+        total = _small_input_bytes(df, cores, any_size)
     except Exception:  # noqa: BLE001 - e.g. no JVM access (Spark Connect): leave as is
         return df
     if total is None:
         return df
-    parts = min(cores, -(-total // SPREAD_BYTES_PER_TASK))
-    return df.repartition(parts) if parts > 1 else df
+    parts = max(min(cores, -(-total // SPREAD_BYTES_PER_TASK)), -(-total // SPREAD_MAX_BYTES_PER_TASK))
+    if parts <= 1:
+        return df
+    return df.repartition(parts, *df.columns) if any_size else df.repartition(parts)
