@@ -11,9 +11,13 @@ tables. ``toxic_score`` and the five label scores are derived from integers
 from __future__ import annotations
 
 import unicodedata
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmod import schema as S
 from chatmod.functions.policy import apply_policy, top_label
@@ -181,23 +185,49 @@ def damaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_SIZE = 200  # items per chat page (pages never grow with the data)
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        yield pa.array([t if t is None else zlib.compress(t) for t in batch.to_pylist()], pa.binary())
+
+
+_PAGE = ("video_id string, page_no long, items array<struct<id: string, snippet: struct<type: string, authorChannelId: string, "
+         "publishedAt: string, textMessageDetails: struct<messageText: {text}>>, "
+         "authorDetails: struct<displayName: string, profileImageUrl: string>>>")
+
+
+def _page(rows: pa.Table) -> pa.Table:
+    """The page of its rows, texts unpacked."""
+    rows = rows.combine_chunks()
+    column = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+    texts = [t if t is None else zlib.decompress(t) for t in column["message"].to_pylist()]
+    details = pa.StructArray.from_arrays([pa.array(texts, pa.binary())], ["messageText"])
+    snippet = pa.StructArray.from_arrays([column["type"], column["author_id"], column["published_at"], details],
+                                         ["type", "authorChannelId", "publishedAt", "textMessageDetails"])
+    author = pa.StructArray.from_arrays([column["author_name"], column["author_image"]], ["displayName", "profileImageUrl"])
+    items = pa.StructArray.from_arrays([column["comment_id"], snippet, author], ["id", "snippet", "authorDetails"])
+    return pa.table({"video_id": column["video_id"].slice(0, 1), "page_no": column["page_no"].slice(0, 1),
+                     "items": pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)})
+
+
 def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events packed into chat API pages of ≤ 200 consecutive events per video;
-    ``error`` events arrive as a non-text item type."""
-    c = comments(spark, sf_dir).withColumn("published_at", iso(F.col("published_at")))
-    item = F.struct(
-        F.col("comment_id").alias("id"),
-        F.struct(
-            F.when(F.col("video_id") == "error", F.lit("superChatEvent")).otherwise(F.lit(S.TEXT_MESSAGE_EVENT)).alias("type"),
-            F.col("author_id").alias("authorChannelId"),
-            F.col("published_at").alias("publishedAt"),
-            F.struct(F.col("message").alias("messageText")).alias("textMessageDetails"),
-        ).alias("snippet"),
-        F.struct(F.col("author_name").alias("displayName"),
-                 F.col("author_image").alias("profileImageUrl")).alias("authorDetails"),
-    )
+    ``error`` events arrive as a non-text item type.
+
+    Every message text has to travel to its page, and a text goes to as many pages
+    as it has events. So each document is compressed once, before the join, and the
+    texts are unpacked where their page is put together; until then nothing larger
+    than a compressed text is sorted or moved."""
+    rows = spread_for_cpu(comments(spark, sf_dir, with_message=False, extra=[doc_key(spark, sf_dir)]))
+    docs = spread_for_cpu(message_docs(spark, sf_dir)).withColumn("message", _packed(F.col("message").cast("binary")))
+    kind = F.when(F.col("video_id") == "error", F.lit("superChatEvent")).otherwise(F.lit(S.TEXT_MESSAGE_EVENT))
     page = (F.col("comment_id").cast("long") / PAGE_SIZE).cast("long")
-    return c.groupBy("video_id", page.alias("page_no")).agg(F.collect_list(item).alias("items"))
+    items = rows.join(docs, on="doc_key", how="inner").select(
+        "video_id", page.alias("page_no"), "comment_id", kind.alias("type"), "author_id",
+        iso(F.col("published_at")).alias("published_at"), "message", "author_name", "author_image")
+    pages = items.groupBy("video_id", "page_no").applyInArrow(_page, _PAGE.format(text="binary"))
+    text = _PAGE.format(text="string").split("items ")[1]
+    return pages.withColumn("items", F.col("items").cast(text))
 
 
 DECOMPOSED = "àáâäçèéêëíîïñóôöùúûüÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"    # letters of the test languages that have a decomposed form
