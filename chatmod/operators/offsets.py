@@ -43,12 +43,29 @@ def _known(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 # -- runs -----------------------------------------------------------------------------------------------------------
 
 def merge_runs(runs: DataFrame, keys: Sequence[str] = ("partition",)) -> DataFrame:
-    """Disjoint runs (keys, lo, hi) that cover the same offsets: overlapping and adjacent ones are joined."""
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    """Disjoint runs (keys, lo, hi) that cover the same offsets: overlapping and adjacent ones are joined.
+
+    Runs are joined among those that begin in the same bucket of offsets first. Across buckets, one row per bucket tells
+    how far the runs before it reach and where the last of them began, so no task sorts the runs of a whole partition."""
+    keys = list(keys)
+    begun = [*keys, "__bucket"]
+    order = Window.partitionBy(*begun).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = runs.select(*keys, "lo", "hi", F.coalesce((F.col("lo") > reach + 1).cast("int"), F.lit(1)).alias("__new"))
+    marked = runs.select(*keys, "lo", "hi", _bucket("lo").alias("__bucket")).withColumn("__new", F.coalesce((F.col("lo") > reach + 1).cast("int"), F.lit(1)))
     numbered = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run")
+    islands = numbered.groupBy(*begun, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (islands.groupBy(*begun).agg(F.max("hi").alias("__top"), F.max("lo").alias("__last"))
+               .withColumn("__reach", F.max("__top").over(earlier))
+               .withColumn("__begins", F.when(F.col("__reach").isNull() | (F.col("__last") > F.col("__reach") + 1), F.col("__last")))
+               .withColumn("__from", F.max("__begins").over(earlier))
+               .select(*[F.col(k).alias(f"__of_{k}") for k in begun], "__reach", "__from"))
+    same = F.lit(True)
+    for k in begun:
+        same &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    start = F.when(F.col("lo") <= F.col("__reach") + 1, F.col("__from")).otherwise(F.col("lo"))
+    whole = islands.join(buckets, same).withColumn("__start", start)
+    return whole.groupBy(*keys, "__start").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__start")
 
 
 def offset_runs(records: DataFrame, keys: Sequence[str] = ("partition",)) -> DataFrame:

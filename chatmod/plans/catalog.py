@@ -453,7 +453,8 @@ def q_first_over_all_batches(spark, sf):
 def _versioned_store(spark, sf):
     """Three versions, compacted after the second, then a second stream that reads everything again."""
     store = VersionedStore(spark, shared_dir(spark, f"versions-{uuid.uuid4().hex}"))
-    rows = _deliveries(spark, sf, views.scored_comments)
+    # each batch is sorted and grouped where it is read, so a task must not read more as the events grow
+    rows = spread_for_cpu(_deliveries(spark, sf, views.scored_comments), any_size=True)
     for number, (lo, hi) in enumerate(((0, 2), (3, 4), (5, 6))):
         process_batch(rows.where(F.col("batch_id").between(lo, hi)).drop("batch_id"), number, store, "first", window="1 hour")
         if number == 1:

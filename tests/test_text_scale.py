@@ -15,6 +15,7 @@ from chatmod import session
 from chatmod.functions import learned as L
 from chatmod.functions import nfc, scoring
 from chatmod.functions.text import clean_messages, single_spaces
+from chatmod.operators import offsets as O
 from chatmod.plans import catalog, views
 
 
@@ -132,3 +133,31 @@ def test_pages_hold_every_text_and_move_it_packed(spark, tables):
     out = {int(r.commentId): r.message for r in catalog.QUERIES["flatten_chat_pages"](spark, folder).collect()}
     assert out == {i: texts[i % len(texts)] for i in range(900) if i % 5 != 2}
     assert pages.where(F.size("items") > views.PAGE_SIZE).count() == 0
+
+
+def test_runs_are_joined_across_buckets_without_a_sort_of_a_partition(spark):
+    rng = random.Random(5)
+    rows = []
+    for part in (0, 1, None):
+        for _ in range(300):
+            lo = rng.randrange(40 * O.BUCKET)
+            rows.append((part, lo, lo + rng.choice([0, 0, 1, 5, 100, O.BUCKET - 1, 3 * O.BUCKET if rng.random() < 0.05 else 2])))
+        for b in range(1, 6):                                      # runs that meet at the border of a bucket, and one that covers others
+            rows += [(part, b * O.BUCKET - 3, b * O.BUCKET - 1), (part, b * O.BUCKET, b * O.BUCKET + 2)]
+    rows += [(2, i, i) for i in range(0, 4000, 2)] + [(2, 10, 3 * O.BUCKET), (3, 7, 7)]
+    want = []
+    for part in {r[0] for r in rows}:
+        out = []
+        for _, lo, hi in sorted((r for r in rows if r[0] == part), key=lambda r: r[1:]):
+            if out and lo <= out[-1][2] + 1:
+                out[-1][2] = max(out[-1][2], hi)
+            else:
+                out.append([part, lo, hi])
+        want += map(tuple, out)
+    frame = spark.createDataFrame(rows, "partition long, lo long, hi long").repartition(5)
+    merged = O.merge_runs(frame)
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(want, key=str)
+    # windows over a whole partition see one row per bucket, not the runs
+    windows = [line for line in _plan(merged).splitlines() if "Window [" in line and "windowspecdefinition(partition" in line]
+    over_runs = [line for line in windows if "__bucket" not in line and ("lo#" in line or "hi#" in line)]
+    assert windows and not over_runs
