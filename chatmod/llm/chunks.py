@@ -46,6 +46,16 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def joinable(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these chunks, ``size`` bytes each, have white space before and none after: joined they are one text of
+    just these chunks. And which have bytes beyond ASCII."""
+    end = np.cumsum(size)
+    start, last = end - size, end - 1
+    space = _spaces(data)
+    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    return space[start] & ~space[last] & ~((data[last] >= 0x1C) & (data[last] <= 0x1F)), wide[end] > wide[start]
+
+
 class _Blob:
     """Bytes that only need comparing."""
 

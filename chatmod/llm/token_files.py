@@ -1,7 +1,8 @@
 """Token ids of a corpus in Huffman-coded files, in ascending id order, and reading them back.
 
-1. Texts are tokenised (the tokenizers library) into a table of ids, the end id appended to each.
-2. Ids are counted over the whole corpus; the counts fix one canonical code of at most ``LIMIT`` bits.
+1. Texts are tokenised (the tokenizers library) into a table of ids, the end id appended to each. Every task adds a row
+   with how often it used each id.
+2. These counts, summed over the whole corpus, fix one canonical code of at most ``LIMIT`` bits.
 3. Each document becomes a bit string with a checkpoint (bits since the last one) every ``STRIDE`` ids. Documents are dealt
    to ranges of the id by percentiles, sorted, and joined to blocks of about ``BLOCK_IDS`` ids.
 
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmod.llm.chunks import ChunkEncoder
+from chatmod.llm.chunks import ChunkEncoder, joinable
 from chatmod.llm.classes import tokenizers_pattern
 from chatmod.llm.huffman import Code, code_lengths, pack, place
 from chatmod.llm.spans import frugal, ramp, slices, utf8
@@ -40,14 +43,27 @@ RANGES_PER_PARTITION = 4
 
 # Fixed value: how the byte-level pre-tokenizer splits texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = 1000           # pieces handed to the tokenizer as one sequence
+ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"    # the same, ASCII texts
+PIECES = 1000           # new pieces whose ids are made at a time
+KNOWN_BYTES = 48 << 20  # of memory for the pieces a worker remembers; then it starts over
+PIECE_BYTES = 200       # about what a piece takes beside its text and ids
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
+def _alphabet(byte_level) -> np.ndarray:
+    """The character by which the byte-level pre-tokenizer writes each byte, which none but it can tell; 0: bytes of no text."""
+    out = np.zeros(256, "<u2")
+    for last in [chr(c) for c in (*range(0x80), *range(0x80, 0x800, 0x40), *range(0x80, 0xC0), *range(0x800, 0x10000, 0x800), *range(0x10000, 0x110000, 0x8000))
+                 if not 0xD800 <= c <= 0xDFFF]:
+        for byte, char in zip(last.encode("utf-8"), "".join(piece for piece, _ in byte_level.pre_tokenize_str(last))):
+            out[byte] = ord(char)
+    return out
+
+
 def _tokenizer(path: str, added_tokens: bool = False, pattern: str = PATTERN) -> ChunkEncoder:
-    """Encoder of a tokenizer file. Distinct chunks are split here and passed on as pieces, many at once, if the
-    file's pre-tokenizer is the plain byte-level one; else each is a text of its own. With ``added_tokens`` the strings
+    """Encoder of a tokenizer file. Distinct chunks are split here and their new pieces passed on to its model,
+    if the file's pre-tokenizer is the plain byte-level one; else each is a text of its own. With ``added_tokens`` the strings
     of the file's added tokens get their ids, as in the library by default: chunks that hold one are texts of their own."""
     if (path, added_tokens) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,32 +74,62 @@ def _tokenizer(path: str, added_tokens: bool = False, pattern: str = PATTERN) ->
         marks = [t["content"].encode("utf-8") for t in setup["added_tokens"]] if added_tokens else []
         if added_tokens and any(t["rstrip"] or regex.search(r"\s", t["content"]) for t in setup["added_tokens"]):
             raise ValueError(f"{path}: an added token holds or takes white space, which may lie in two chunks")
-        unchanged = Tokenizer.from_file(path)
         if not added_tokens:
-            tokenizer.encode_special_tokens = unchanged.encode_special_tokens = True    # their strings in a text are ordinary text
+            tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
 
         def whole(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            made = [e.ids for e in unchanged.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
+            made = [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
             return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
 
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if setup["normalizer"] is None and plain.items() <= (setup["pre_tokenizer"] or {}).items():
-            tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            split = regex.compile(pattern).findall
+            split, split_ascii = regex.compile(pattern).findall, re.compile(ASCII).findall
             n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
             for token, i in tokenizer.get_vocab().items():
                 n_bytes[i] = len(token)             # the byte-level alphabet has a character per byte
+            alphabet = _alphabet(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+            merged = tokenizer.model.tokenize       # the ids of a piece written in the alphabet
+            known: dict[str, bytes] = {}            # pieces and their ids: new chunks are mostly known pieces with other marks around them
+            held = 0
+
+            def learn(pieces: list[str]) -> None:
+                nonlocal held
+                if held > KNOWN_BYTES:
+                    known.clear()
+                    held = 0
+                new = list(set(pieces).difference(known))
+                for lo in range(0, len(new), PIECES):
+                    part = new[lo:lo + PIECES]
+                    text = [piece.encode("utf-8") for piece in part]
+                    ends = list(accumulate(map(len, text)))
+                    written = alphabet[np.frombuffer(b"".join(text), np.uint8)].tobytes().decode("utf-16-le")
+                    ids = [[token.id for token in merged(written[a:b])] for a, b in zip([0, *ends], ends)]
+                    raw = np.array([i for some in ids for i in some], np.uint32).tobytes()
+                    at = list(accumulate((4 * len(some) for some in ids), initial=0))
+                    known.update(zip(part, [raw[a:b] for a, b in pairwise(at)]))
+                    held += PIECE_BYTES * len(part) + ends[-1] + len(raw)
 
             def in_pieces(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-                pieces = [piece for chunk in chunks for piece in split(chunk.decode("utf-8"))]
-                parts = [pieces[i:i + PIECES] for i in range(0, len(pieces), PIECES)]
-                made = tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
-                ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
-                ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(c) for c in chunks])) + 1    # tokens cover all bytes
-                return ids, np.diff(ends, prepend=0)
+                size = np.array([len(c) for c in chunks])
+                plain, wide = joinable(np.frombuffer(b"".join(chunks), np.uint8), size)
+                groups = [np.flatnonzero(plain & ~wide), np.flatnonzero(plain & wide), np.flatnonzero(~plain)]
+                ascii, other, odd = ([chunks[i] for i in group.tolist()] for group in groups)
+                pieces = split_ascii(b"".join(ascii).decode("ascii"))
+                pieces += split(b"".join(other).decode("utf-8"))
+                pieces += [piece for chunk in odd for piece in split(chunk.decode("utf-8"))]
+                learn(pieces)
+                ids = np.frombuffer(b"".join([known[piece] for piece in pieces]), np.uint32)
+                order = np.concatenate(groups)
+                n = np.empty(len(chunks), np.int64)
+                # tokens cover all bytes
+                n[order] = part = np.diff(np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum(size[order])) + 1, prepend=0)
+                first = np.empty(len(chunks), np.int64)
+                first[order] = np.cumsum(part) - part
+                return ids[ramp(first, n)], n
 
             def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-                marked = [i for i, c in enumerate(chunks) if any(m in c for m in marks)]
+                every = b"".join(chunks) if marks else b""
+                marked = [i for i, c in enumerate(chunks) if any(m in c for m in marks)] if any(m in every for m in marks) else []
                 if not marked:
                     return in_pieces(chunks)
                 rest = sorted(set(range(len(chunks))) - set(marked))
@@ -106,7 +152,10 @@ def _tokenise(path: str, end_id: int, added_tokens: bool, pattern: str):
     @frugal
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(path, added_tokens, pattern)
+        counts = np.zeros(0, np.int64)
+        kind = None
         for batch in batches:
+            kind = batch.column("doc_id").type
             data, offsets = utf8(batch.column("text"))
             for lo, hi, ids, at in encoder.texts(data, offsets):
                 n = np.diff(at) + 1
@@ -115,10 +164,19 @@ def _tokenise(path: str, end_id: int, added_tokens: bool, pattern: str):
                 body = np.ones(len(out), bool)
                 body[last] = False
                 out[body], out[last] = ids, end_id
+                one = np.bincount(out, minlength=len(counts))
+                one[:len(counts)] += counts
+                counts = one
                 ends = np.concatenate([[0], 4 * (last + 1)])
                 rows = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), rows], names=["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), rows, pa.nulls(hi - lo, pa.binary())],
+                                                 names=["doc_id", "tie", "ids", "counts"])
+        if kind is not None:            # a last row of the task: each id it used, and how often
+            at = np.flatnonzero(counts)
+            pairs = np.stack([at, counts[at]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())],
+                                             names=["doc_id", "tie", "ids", "counts"])
 
     return tokenise
 
@@ -132,14 +190,10 @@ def _ids(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 @frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(0, np.int64)
     for batch in batches:
-        for _, _, ids, _ in _ids(batch.column("ids")):
-            one = np.bincount(ids, minlength=len(n))
-            one[:len(n)] += n
-            n = one
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(at.astype(np.int64)), "n": pa.array(n[at])})
+        for pairs in batch.column("counts"):
+            at, n = np.frombuffer(pairs.as_py(), "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_pydict({"id": pa.array(at), "n": pa.array(n)})
 
 
 def _bits(lengths: np.ndarray, bounds: list):
@@ -237,11 +291,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     pattern = tokenizers_pattern(PATTERN)       # letters and numbers as the library knows them
-    rows.mapInArrow(_tokenise(tokenizer, end_id, added_tokens, pattern), f"doc_id {kind}, tie long, ids binary").write.option(
+    rows.mapInArrow(_tokenise(tokenizer, end_id, added_tokens, pattern), f"doc_id {kind}, tie long, ids binary, counts binary").write.option(
         "compression", "zstd").parquet(f"{path}/ids")
-    ids = spark.read.parquet(f"{path}/ids")
+    made = spark.read.parquet(f"{path}/ids")
+    ids = made.where("counts is null").drop("counts")
 
-    counted = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use
+    counted = made.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use
     weights = np.zeros(max([r.id for r in counted], default=0) + 1, np.int64)
     for r in counted:
         weights[r.id] = r.n

@@ -266,6 +266,55 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty, path)).collect() == []
 
 
+def test_token_files_count_ids_while_tokenising(spark, scratch):
+    """Every task writes how often it used each id: counting takes no second pass over the ids."""
+    rows = [(i, f"word word{i % 7}, {'é' * (i % 3)} {i}") for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"), f"{scratch}/files")
+    table = spark.read.parquet(f"{folder}/ids")
+    used, counted = Counter(), Counter()
+    for r in table.collect():
+        if r.counts is None:
+            used.update(np.frombuffer(r.ids, "<u4").tolist())
+        else:
+            counted.update(dict(np.frombuffer(r.counts, "<i8").reshape(-1, 2).tolist()))
+    assert used == counted and used[0] == 42
+    assert table.where("counts is not null").count() <= 3
+
+
+@pytest.mark.parametrize("memory", [0, token_files.KNOWN_BYTES])
+def test_pieces_are_learned_once_whatever_surrounds_them(monkeypatch, memory):
+    """Known pieces are not handed to the library again, and ids equal the library's on whole texts."""
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    asked = []
+    real = Tokenizer.from_file(path)
+
+    class Counting:
+        def __init__(self):
+            self.model = self
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return real.model.tokenize(piece)
+
+    monkeypatch.setattr(token_files, "_ENCODERS", {})
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", memory)
+    monkeypatch.setattr("tokenizers.Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: Counting())}))
+    encoder = token_files._tokenizer(path, True, token_files.tokenizers_pattern(token_files.PATTERN))
+    odd = ["", " ", "a ", " a", "a\x1c b", "a \x1c", "\x1f\x1f  x", "a\u2003\u3000b c\u00a0", "it's  we'll\n\n d'été", "3½ ²x", "x\u0085y", "日本 語。", "a<|endoftext|>b",
+           " b,", " b.", " (b", "b\t\tb\r\n", "\U0001f600 \U0001f600!", "'s 's's", "\u00e9t\u00e9 \u00c9T\u00c9", "0 00 0a"]
+    for texts in (odd, odd[::-1], [t + " é " + u for t in odd for u in odd[::3]]):
+        data, offsets = spans.utf8(token_files.pa.array(texts, token_files.pa.string()))
+        got = [part.tolist() for _, _, ids, at in encoder.texts(data, offsets) for part in np.split(ids, at[1:-1])]
+        assert got == [e.ids for e in real.encode_batch(texts, add_special_tokens=False)]
+    if memory:
+        assert asked and len(asked) == len(set(asked))
+
+
 def test_token_files_query_gives_added_tokens_their_ids(spark, scratch):
     from tokenizers import Tokenizer
 
