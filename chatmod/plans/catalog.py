@@ -476,7 +476,8 @@ def q_live_metric_changes(spark, sf):
     followed = (read_changes(spark, store.root, "stream_metric").writeStream.format("parquet").option("path", out)
                 .option("checkpointLocation", f"{store.root}/_checkpoints/followed").trigger(availableNow=True).start())
     followed.awaitTermination()
-    return spark.read.parquet(out).select("commit_version", "video_id", "window_start", "op", "total_comments", "toxic_count")
+    window = F.col("window_start").cast("timestamp_ntz").alias("window_start")      # as in the store; the stream carries instants
+    return spark.read.parquet(out).select("commit_version", "video_id", window, "op", "total_comments", "toxic_count")
 
 
 def _indexed(spark, sf):
