@@ -183,6 +183,9 @@ def damaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_SIZE = 200  # items per chat page (pages never grow with the data)
+GROUP_DOCS, GROUP_LAPS = 1000, 64     # document numbers, and rounds over all documents, whose pages are made in one task
+PAGE_BYTES_AT_ONCE = 4 * 1024 * 1024  # pages are handed on when they hold so much, each item with its text and
+ITEM_BYTES = 200                      # so much for its other fields
 
 
 @F.arrow_udf(T.BinaryType())
@@ -194,20 +197,47 @@ def _packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _PAGE = ("video_id string, page_no long, items array<struct<id: string, snippet: struct<type: string, authorChannelId: string, "
          "publishedAt: string, textMessageDetails: struct<messageText: {text}>>, "
          "authorDetails: struct<displayName: string, profileImageUrl: string>>>")
+_DEALT = ["block", "lap", "is_item", "doc_key", "message", "video_id", "page_no", "comment_id", "type", "author_id",
+          "published_at", "author_name", "author_image"]      # columns of the rows that _pages reads, in order
 
 
-def _page(rows: pa.Table) -> pa.Table:
-    """The page of its rows, texts unpacked."""
-    rows = rows.combine_chunks()
-    column = {name: rows.column(name).combine_chunks() for name in rows.column_names}
-    texts = [t if t is None else zlib.decompress(t) for t in column["message"].to_pylist()]
-    details = pa.StructArray.from_arrays([pa.array(texts, pa.binary())], ["messageText"])
-    snippet = pa.StructArray.from_arrays([column["type"], column["author_id"], column["published_at"], details],
+def _page_batch(keys: list[tuple], starts: list[int], items: list[tuple]) -> pa.RecordBatch:
+    """Pages (video, page number), each with the items from its start to the next one's."""
+    text, *strings = zip(*items)
+    comment, kind, author, published, name, image = (pa.array(c, pa.string()) for c in strings)
+    details = pa.StructArray.from_arrays([pa.array(text, pa.binary())], ["messageText"])
+    snippet = pa.StructArray.from_arrays([kind, author, published, details],
                                          ["type", "authorChannelId", "publishedAt", "textMessageDetails"])
-    author = pa.StructArray.from_arrays([column["author_name"], column["author_image"]], ["displayName", "profileImageUrl"])
-    items = pa.StructArray.from_arrays([column["comment_id"], snippet, author], ["id", "snippet", "authorDetails"])
-    return pa.table({"video_id": column["video_id"].slice(0, 1), "page_no": column["page_no"].slice(0, 1),
-                     "items": pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)})
+    shown = pa.StructArray.from_arrays([name, image], ["displayName", "profileImageUrl"])
+    items = pa.StructArray.from_arrays([comment, snippet, shown], ["id", "snippet", "authorDetails"])
+    video, page = zip(*keys)
+    lists = pa.ListArray.from_arrays(pa.array([*starts, len(items)], pa.int32()), items)
+    return pa.RecordBatch.from_arrays([pa.array(video, pa.string()), pa.array(page, pa.int64()), lists],
+                                      ["video_id", "page_no", "items"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of each group of rows, whose texts come first, unpacked once, and then its items page by page."""
+    group, texts = None, {}
+    keys, starts, items, size = [], [], [], 0
+    for batch in batches:
+        for block, lap, is_item, doc, text, video, page, *item in zip(*(c.to_pylist() for c in batch.columns)):
+            if (block, lap) != group:
+                group, texts = (block, lap), {}
+            if not is_item:
+                texts.setdefault(doc, []).append(text if text is None else zlib.decompress(text))
+                continue
+            for text in texts.get(doc, ()):
+                if not keys or keys[-1] != (video, page):
+                    if size > PAGE_BYTES_AT_ONCE:
+                        yield _page_batch(keys, starts, items)
+                        keys, starts, items, size = [], [], [], 0
+                    keys.append((video, page))
+                    starts.append(len(items))
+                items.append((text, *item))
+                size += ITEM_BYTES + len(text or b"")
+    if keys:
+        yield _page_batch(keys, starts, items)
 
 
 def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,19 +245,30 @@ def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``error`` events arrive as a non-text item type.
 
     Every message text has to travel to its page, and a text goes to as many pages
-    as it has events. So each document is compressed once, before the join, and the
-    texts are unpacked where their page is put together; until then nothing larger
-    than a compressed text is sorted or moved."""
-    rows = spread_for_cpu(comments(spark, sf_dir, with_message=False, extra=[doc_key(spark, sf_dir)]))
-    docs = spread_for_cpu(message_docs(spark, sf_dir)).withColumn("message", _packed(F.col("message").cast("binary")))
-    kind = F.when(F.col("video_id") == "error", F.lit("superChatEvent")).otherwise(F.lit(S.TEXT_MESSAGE_EVENT))
+    as it has events. So pages that share texts are put together in one task: those
+    whose first event points into the same ``GROUP_DOCS`` document numbers, at most
+    ``GROUP_LAPS`` rounds over the documents together. A text then moves once for each
+    group that shows it, compressed, and a page's events, which point to neighbouring
+    documents, move without texts. Which texts a group needs is read from its events:
+    wherever they point, no text moves more often than it has events."""
+    n = F.nullif(doc_count(spark, sf_dir), F.lit(0))        # of no documents there are no pages
     page = (F.col("comment_id").cast("long") / PAGE_SIZE).cast("long")
-    items = rows.join(docs, on="doc_key", how="inner").select(
-        "video_id", page.alias("page_no"), "comment_id", kind.alias("type"), "author_id",
-        iso(F.col("published_at")).alias("published_at"), "message", "author_name", "author_image")
-    pages = items.groupBy("video_id", "page_no").applyInArrow(_page, _PAGE.format(text="binary"))
+    first = (F.col("page_no") % n) * PAGE_SIZE % n
+    kind = F.when(F.col("video_id") == "error", F.lit("superChatEvent")).otherwise(F.lit(S.TEXT_MESSAGE_EVENT))
+    events = (comments(spark, sf_dir, with_message=False, extra=[(F.col("event_id") % n).alias("doc_key")])
+              .where(F.col("doc_key").isNotNull()).withColumn("page_no", page)
+              .withColumns({"block": (first / GROUP_DOCS).cast("long"),
+                            "lap": (F.col("page_no") / (F.greatest(n / PAGE_SIZE, F.lit(1)) * GROUP_LAPS)).cast("long")}))
+    docs = spread_for_cpu(message_docs(spark, sf_dir)).withColumn("message", _packed(F.col("message").cast("binary")))
+    texts = events.select("block", "lap", "doc_key").distinct().join(docs, on="doc_key", how="inner")
+    items = events.select("block", "lap", "doc_key", "video_id", "page_no", "comment_id", "author_id", "published_at",
+                          "author_name", "author_image")
+    dealt = (texts.withColumn("is_item", F.lit(False))
+             .unionByName(items.withColumn("is_item", F.lit(True)), allowMissingColumns=True)
+             .repartition("block", "lap").sortWithinPartitions("block", "lap", "is_item", "video_id", "page_no"))
+    rows = dealt.withColumns({"type": kind, "published_at": iso(F.col("published_at"))}).select(*_DEALT)
     text = _PAGE.format(text="string").split("items ")[1]
-    return pages.withColumn("items", F.col("items").cast(text))
+    return rows.mapInArrow(_pages, _PAGE.format(text="binary")).withColumn("items", F.col("items").cast(text))
 
 
 DECOMPOSED = "àáâäçèéêëíîïñóôöùúûüÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"    # letters of the test languages that have a decomposed form

@@ -135,6 +135,72 @@ def test_pages_hold_every_text_and_move_it_packed(spark, tables):
     assert pages.where(F.size("items") > views.PAGE_SIZE).count() == 0
 
 
+def _shuffled(plan):
+    """Bytes of the rows that the exchanges of an executed plan have moved."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def _events_and_docs(spark, folder, ids, docs):
+    rows = [(i, datetime(2024, 1, 1 + k % 20), k % 7, ["click", "error", None, "view"][k % 4], float(k % 50)) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return [r[3] for r in rows]
+
+
+def test_a_text_moves_once_for_the_pages_that_share_it(spark, scratch):
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x4e00, 0x9fff)) for _ in range(2000)) for _ in range(300)]    # hardly smaller when packed
+    kinds = _events_and_docs(spark, scratch, range(6000), list(enumerate(texts)))
+    out = catalog.QUERIES["flatten_chat_pages"](spark, scratch)
+    assert {int(r.commentId): r.message for r in out.collect()} == {i: texts[i % 300] for i in range(6000) if kinds[i] != "error"}
+    assert 300 * 3000 < _shuffled(out._jdf.queryExecution().executedPlan()) < 6000 * 1000    # texts of 6,000 bytes, 20 events each
+
+
+@pytest.mark.parametrize("docs, groups", [(19, (3, 1)), (19, (1000, 64)), (700, (50, 1)), (1, (1000, 64)), (0, (1000, 64))])
+def test_pages_whatever_the_keys(spark, scratch, monkeypatch, docs, groups):
+    """Ids that come twice, below zero, far apart or not at all, on both sides; items of a page never come in two parts."""
+    monkeypatch.setattr(views, "GROUP_DOCS", groups[0])
+    monkeypatch.setattr(views, "GROUP_LAPS", groups[1])
+    ids = [*range(-450, 900), *[5] * 7, 2**63 - 1, 2 - 2**63, 2**53 + 1, 10**12 + 3, None, None]
+    docs = [(i, [None, "", f"text {i}"][min(i, 2)]) for i in range(docs)]
+    docs += [(3, "again"), (4, None), (None, "no id"), (-2, "minus")] if docs else []
+    kinds = _events_and_docs(spark, scratch, ids, docs)
+    want = {}
+    for i, kind in zip(ids, kinds):
+        key = i if i is None or not docs else (abs(i) % len(docs)) * (1 if i >= 0 else -1)
+        for doc, text in docs:
+            if i is not None and doc == key:
+                want.setdefault((kind, int(i / 200)), []).append((str(i), text, "superChatEvent" if kind == "error" else "textMessageEvent"))
+    pages = views.chat_pages(spark, scratch).collect()
+    assert len(pages) == len(want)
+    for p in pages:
+        got = [(x.id, x.snippet.textMessageDetails.messageText, x.snippet.type) for x in p["items"]]
+        assert sorted(got, key=repr) == sorted(want[p.video_id, p.page_no], key=repr)
+
+
+def test_pages_are_handed_on_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(views, "PAGE_BYTES_AT_ONCE", 1000)
+    packed, rows = views.zlib.compress(b"x" * 300), []
+    for block in range(3):
+        rows += [(block, 0, False, 7, packed, *[None] * 8), (block, 0, False, 8, None, *[None] * 8)]
+        rows += [(block, 0, True, 7 + i % 2, None, None if page == 2 else "v", 10 * block + page, f"{i}", "t", "a", "p", "n", "i")
+                 for page in range(3) for i in range(5)]
+        rows += [(block, 0, True, 9, None, "w", 0, "gone", "t", "a", "p", "n", "i")]          # its text is not among the documents
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.string(), pa.int64()] + [pa.string()] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], views._DEALT)
+    out = list(views._pages(batch.slice(i, 4) for i in range(0, len(rows), 4)))
+    pages = [p for b in out for p in b.to_pylist()]
+    assert len(out) > 3 and [p["page_no"] for p in pages] == [10 * b + p for b in range(3) for p in range(3)]
+    texts = [i["snippet"]["textMessageDetails"]["messageText"] for i in pages[0]["items"]]
+    assert all(len(p["items"]) == 5 for p in pages) and texts == [b"x" * 300, None, b"x" * 300, None, b"x" * 300]
+
+
 def test_runs_are_joined_across_buckets_without_a_sort_of_a_partition(spark):
     rng = random.Random(5)
     rows = []
